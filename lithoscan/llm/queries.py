@@ -8,11 +8,16 @@ from public_tokenizers import path as tokenizer_file
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .brown_lm import score_brown, train_brown
+from .decontaminate import find_leaks
 from .exact_dedup import exact_groups
+from .html_extract import extract_main_text
 from .line_dedup import dedup_lines
+from .near_dedup import near_groups
 from .packing import pack_documents
 from .sharding import shard_records
 from .token_counts import count_tokens
+from .toxicity import score_toxicity, train_toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,19 +39,64 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = extract_main_text(table(spark, sf_dir, "pages"))
+    return pages.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), limit=4096)
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"), width=2, share=80)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard_records(table(spark, sf_dir, "documents"), n_shards=24)
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def _remainder(n: int):
+    """crc32 of doc_id as text, modulo n."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = train_toxicity(documents.where(_remainder(5) != 0), table(spark, sf_dir, "labels"))
+    scored = score_toxicity(documents, model)
+    return scored.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op10_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = train_brown(documents.where(F.coalesce(_remainder(7), F.lit(0)) != 2))
+    scored = score_brown(documents, model)
+    return scored.withColumn("held_out", F.coalesce(_remainder(7) == 2, F.lit(False))).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_line_dedup, op2_packing, op3_exact_dedup, op6_token_counts, op8_sharding)
+        for f in (
+            op1_line_dedup,
+            op2_packing,
+            op3_exact_dedup,
+            op4_decontaminate,
+            op5_html_extract,
+            op6_token_counts,
+            op7_near_dedup,
+            op8_sharding,
+            op9_toxicity,
+            op10_brown_lm,
+        )
     }
 
 
