@@ -56,15 +56,17 @@ def banded_alignment(item: np.ndarray, text: np.ndarray, low: int, high: int, an
     far = len(item) + len(text) + 1
     row = np.abs(diagonals) + np.where(diagonals < 0, far, 0) if anchored else np.zeros(len(diagonals), dtype=np.int64)
     row = np.where((diagonals < 0) | (diagonals > len(text)), far, row)
-    padded = np.concatenate([text.astype(np.int64), [-1]])
+    # Cell (i, d) is text position d + i; positions outside the text cost too much.
+    at = diagonals + np.arange(len(item))[:, None]
+    inside = (at >= 0) & (at < len(text))
+    padded = np.append(text, np.uint32(0xFFFFFFFF))
+    change = (~inside | (padded[np.where(inside, at, -1)] != np.asarray(item)[:, None])).astype(np.int64)
+    barred = np.where((at + 1 < 0) | (at + 1 > len(text)), far, 0)
     ladder = np.arange(len(diagonals))
-    for i, char in enumerate(item):
-        at = diagonals + i
-        same = padded[np.clip(at, -1, len(text))] == char
-        step = row + np.where(same & (at >= 0) & (at < len(text)), 0, 1)
-        skip = np.append(row[1:] + 1, far)  # an item character without a partner
-        row = np.minimum(step, skip)
-        row = np.where((at + 1 < 0) | (at + 1 > len(text)), far, row)
+    skip = np.full(len(diagonals), far)
+    for i in range(len(item)):
+        skip[:-1] = row[1:] + 1  # an item character without a partner
+        row = np.minimum(row + change[i], skip) + barred[i]
         row = np.minimum.accumulate(row - ladder) + ladder  # text characters without a partner
     best = int(row.argmin())
     return int(row[best]), int(diagonals[best]) + len(item)
@@ -116,17 +118,23 @@ class ItemIndex:
         key, count = np.unique(item * (1 << 40) + band + (1 << 39), return_counts=True)
         good = count >= self.needed[key >> 40]
         near: dict[int, list[tuple]] = {}
-        for k in key[good]:
+        for k in key[good][np.argsort(-count[good], kind="stable")]:
             i = int(k >> 40)
             b, w, m = int(k & ((1 << 40) - 1)) - (1 << 39), int(self.budget[i]) + 1, len(self.codes[i])
-            low = b * w - w
+            low, regions = (b - 1) * w, near.setdefault(i, [])
             edge = max(0, low)
-            part = codes[edge : max(edge, (b + 3) * w + m)]
+            stop = max(edge, (b + 3) * w + m)
+            if any(not edits and edge <= start and end <= stop for edits, start, end in regions):
+                continue  # an overlapping band has told of it
+            if (start := text.find(self.texts[i], edge, stop)) >= 0:
+                regions.append((0, start, start + m))
+                continue
+            part = codes[edge:stop]
             edits, end = banded_alignment(self.codes[i], part, low - edge, (b + 3) * w - edge)
             if edits <= self.budget[i]:
                 back, length = banded_alignment(self.codes[i][::-1], part[:end][::-1], -w, w, anchored=True)
                 start = end - length if back <= edits else max(0, end - m)
-                near.setdefault(i, []).append((edits, edge + start, edge + end))
+                regions.append((edits, edge + start, edge + end))
         for i, regions in near.items():  # overlapping bands tell of one region
             taken: list[tuple] = []
             for edits, start, end in sorted(regions):
@@ -210,12 +218,15 @@ def drop_leaks(
     spark = df.sparkSession
     prepare(spark)
     for index in item_blocks(benchmark, item_id, item_text, q, edit_rate, block_chars):
-        shared = spark.sparkContext.broadcast(index)
-
-        @F.pandas_udf("boolean")
-        def clean(batches: Iterator[pd.Series], shared=shared) -> Iterator[pd.Series]:
-            for texts in batches:
-                yield texts.map(lambda t: not shared.value.matches(t)).astype(bool)
-
+        clean = _clean(spark.sparkContext.broadcast(index))
         df = df.where(clean(F.coalesce(df[text_col].cast("string"), F.lit(""))))
     return df
+
+
+def _clean(index):
+    @F.pandas_udf("boolean")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(lambda t: not index.value.matches(t)).astype(bool)
+
+    return clean
