@@ -1,9 +1,9 @@
 """Toxicity by a character n-gram linear classifier with naive Bayes scaling.
 
-A document is the set of its hashed character n-grams.  Over all labelled
-training documents the presence counts of each n-gram per class give its naive
-Bayes log-count ratio; n-grams whose counts differ no more than chance would
-make them are left at zero.  A logistic regression over the presence of the
+A document is the set of its hashed character n-grams.  Over a bounded sample
+of the labelled training documents the presence counts of each n-gram per class
+give its naive Bayes log-count ratio; n-grams whose counts differ no more than
+chance would make them are left at zero.  A logistic regression over the presence of the
 others, scaled by their ratios, gives the score.
 """
 
@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, text_or_empty
+from .common import materialize, prepare, text_or_empty
 
 ORDERS, BITS = (3, 4, 5, 6), 20
-#: Labelled rows the regression is fitted on at most (ratios use all of them).
-MAX_FIT_ROWS = 20_000
+#: Labels the model is fitted on at most: those of the lowest hashes of their id.
+MAX_FIT_ROWS = 10_000
 
 
 def ngram_buckets(text: str) -> np.ndarray:
@@ -128,19 +128,23 @@ def train_toxicity(
     max_fit_rows: int = MAX_FIT_ROWS,
     least_deviation: float = 4.0,
     l2: float = 1e-5,
-    rounds: int = 400,
+    rounds: int = 200,
 ) -> ToxicityModel:
     """Train on the labelled rows of ``df`` (null labels and ids are left out;
     of repeated labels the larger holds; any label but 0 is toxic).
 
+    ``max_fit_rows`` labels at most are used, chosen by the hash of their id;
+    that bounds what is broadcast, so texts are never shuffled for training.
+
     Without a row of either class the model gives the prior to every text."""
     prepare(df.sparkSession)
     marks = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     marks = marks.groupBy(F.col(id_col).cast("long").alias("_id")).agg(
         F.max((F.col(label_col) != 0).cast("int")).alias("_toxic")
     )
+    marks = materialize(marks.orderBy(F.xxhash64("_id"), "_id").limit(max_fit_rows), "fit_labels")
     rows = df.select(F.col(id_col).cast("long").alias("_id"), text_or_empty(text_col).alias("_text"))
-    rows = rows.join(marks, "_id").select("_id", "_toxic", "_text")
+    rows = rows.join(F.broadcast(marks), "_id").select("_id", "_toxic", "_text")
 
     counts = rows.select("_toxic", "_text").mapInArrow(_presence, "bucket long, clean long, toxic long")
     counts = counts.groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
@@ -161,8 +165,7 @@ def train_toxicity(
     buckets = np.array([b for b, _ in chosen], dtype=np.int64)
     ratios = np.array([r for _, r in chosen])
 
-    sample = rows.select("_id").distinct().orderBy(F.xxhash64("_id"), "_id").limit(max_fit_rows)
-    fitted = rows.join(sample, "_id", "left_semi").select("_toxic", "_text").mapInArrow(
+    fitted = rows.select("_toxic", "_text").mapInArrow(
         _chosen(buckets), "_toxic int, _found array<int>"
     )
     found, toxic = [], []
