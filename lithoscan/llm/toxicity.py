@@ -91,11 +91,10 @@ def _chosen(buckets: np.ndarray):
     return run
 
 
-def _fit(rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, l2: float, rounds: int):
-    """Logistic regression over scaled presence, by accelerated gradient steps."""
-    sizes = np.array([len(r) for r in rows])
-    doc = np.repeat(np.arange(len(rows)), sizes)
-    col = np.concatenate(rows) if len(rows) else np.empty(0, dtype=np.int64)
+def _fit(doc: np.ndarray, col: np.ndarray, labels: np.ndarray, ratios: np.ndarray, l2: float, rounds: int):
+    """Logistic regression over scaled presence, by accelerated gradient steps.
+    Document ``doc[i]`` holds n-gram ``col[i]``."""
+    rows = labels
     scale = ratios[col]
     # The steepest curvature, by power iteration on the scaled presence matrix.
     v = np.random.default_rng(0).normal(size=len(ratios))
@@ -168,11 +167,13 @@ def train_toxicity(
     fitted = rows.select("_toxic", "_text").mapInArrow(
         _chosen(buckets), "_toxic int, _found array<int>"
     )
-    found, toxic = [], []
-    for r in fitted.toLocalIterator():  # as many rows as max_fit_rows, but for repeats of an id
-        found.append(np.array(r["_found"], dtype=np.int64))
-        toxic.append(r["_toxic"])
-    weights, bias = _fit(found, np.array(toxic, dtype=float), ratios, l2, rounds)
+    # As many rows as max_fit_rows (but for repeats of an id), of few n-grams each.
+    told = fitted.toArrow()
+    found = told.column("_found").combine_chunks()
+    sizes = np.diff(found.offsets.to_numpy())
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    toxic = told.column("_toxic").to_numpy().astype(float)
+    weights, bias = _fit(doc, found.values.to_numpy().astype(np.int64), toxic, ratios, l2, rounds)
     return ToxicityModel(buckets, ratios, weights, bias)
 
 
