@@ -13,7 +13,7 @@ GOLDEN = [
 
 
 def test_scores_words_and_grams(spark):
-    df = spark.createDataFrame(GOLDEN[:], "text string, query string, want double")
+    df = spark.createDataFrame([(t, q, float(w)) for t, q, w in GOLDEN], "text string, query string, want double")
     got = df.select("want", fuzzy_score(F.col("text"), F.col("query")).alias("score")).collect()
     assert all(r.score == pytest.approx(r.want) for r in got), got
     row = spark.range(1).select(
