@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import clipped, fuzzy_score, initials, ngrams, split_words
-from .operators import graph, index, search
+from .operators import csharp, graph, index, search, xml_defs
 
 QUERIES, SQL = {}, {}
 
@@ -328,3 +328,86 @@ def distinct_union(spark, d):
 @query("SELECT DISTINCT event_type AS key, user_id AS value FROM events")
 def posting_lists(spark, d):
     return index.posting_lists(_read(spark, d, "events"), "event_type", "user_id")
+
+
+# ---- definitions and declarations read from text ----
+
+def _def_files(spark, d):
+    key, name = F.col("p_partkey"), F.concat(F.lit("Part_"), F.col("p_partkey").cast("string"))
+    text = F.concat(
+        F.lit("<Defs><PartDef"), F.when(key % 10 == 0, F.concat(F.lit(' Abstract="True" Name="'), name, F.lit('"'))).otherwise(""),
+        F.when(key > 0, F.concat(F.lit(' ParentName="Part_'), F.floor(key / 3).cast("string"), F.lit('"'))).otherwise(""), F.lit(">"),
+        F.when(key % 10 != 0, F.concat(F.lit("<defName>"), name, F.lit("</defName>"))).otherwise(""),
+        F.lit("<label>"), "p_name", F.lit("</label>"),
+        F.when(key % 2 == 0, F.concat(F.lit("<size>"), F.col("p_size").cast("string"), F.lit("</size>"))).otherwise(""),
+        F.lit("<tags><li>"), key.cast("string"), F.lit("</li></tags></PartDef></Defs>"),
+    )
+    return _read(spark, d, "part").select(F.concat(F.lit("defs/"), key.cast("string"), F.lit(".xml")).alias("path"), text.alias("content"))
+
+
+@query("""SELECT 'defs/' || p_partkey || '.xml' AS path, 'PartDef' AS def_type, 'Part_' || p_partkey AS def_name,
+  CASE WHEN p_partkey > 0 THEN 'Part_' || (p_partkey // 3) END AS parent_name, p_name AS label, p_partkey % 10 = 0 AS is_abstract FROM part""")
+def xml_def_extract(spark, d):
+    found = xml_defs.extract_defs(_def_files(spark, d))
+    return found.select("path", "def_type", "def_name", "parent_name", "label", "is_abstract")
+
+
+@query(r"""WITH found AS (
+  SELECT unnest([{'t': 'partdef', 'f': 'PartDef'}, {'t': 'label', 'f': 'PartDef.label'}, {'t': 'tags', 'f': 'PartDef.tags'},
+                 {'t': p_partkey::VARCHAR, 'f': 'PartDef.tags.li'}]) AS x, p_partkey FROM part
+  UNION ALL SELECT unnest([{'t': 'defname', 'f': 'PartDef.defName'}, {'t': 'part_' || p_partkey, 'f': 'PartDef.defName'}]), p_partkey FROM part WHERE p_partkey % 10 <> 0
+  UNION ALL SELECT unnest([{'t': 'size', 'f': 'PartDef.size'}, {'t': p_size::VARCHAR, 'f': 'PartDef.size'}]), p_partkey FROM part WHERE p_partkey % 2 = 0
+  UNION ALL SELECT {'t': unnest(regexp_split_to_array(lower(p_name), '\W+')), 'f': 'PartDef.label'}, p_partkey FROM part)
+SELECT x.t AS token, x.f AS field_path, count(DISTINCT p_partkey) AS n FROM found WHERE length(x.t) >= 3 GROUP BY ALL""")
+def xml_token_index(spark, d):
+    found = xml_defs.def_tokens(xml_defs.extract_defs(_def_files(spark, d)))
+    return found.groupBy("token", "field_path").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH RECURSIVE up AS (
+  SELECT p_partkey AS own, p_partkey AS k, 0 AS d FROM part UNION ALL SELECT own, k // 3, d + 1 FROM up WHERE k > 0)
+SELECT 'Part_' || own AS name, max(d) + 1 AS depth, string_agg(k::VARCHAR, ',' ORDER BY d DESC) AS tags,
+  coalesce(min_by(p_size, d) FILTER (WHERE k % 2 = 0)::VARCHAR, '') AS size,
+  coalesce('Part_' || min_by(k, d) FILTER (WHERE k % 10 <> 0), '') AS def_name, min_by(p_name, d) AS label
+FROM up JOIN part ON p_partkey = k GROUP BY own""")
+def xml_def_resolve(spark, d):
+    found = xml_defs.extract_defs(_def_files(spark, d))
+    whole = xml_defs.resolve_defs(found, found.select(F.col("def_name").alias("name")))
+    text = {c: F.expr(f"xpath_string(xml, '/PartDef/{p}')").alias(c) for c, p in (("size", "size"), ("def_name", "defName"), ("label", "label"))}
+    tags = F.array_join(F.expr("xpath(xml, '/PartDef/tags/li/text()')"), ",").alias("tags")
+    return whole.select("name", "depth", tags, *text.values())
+
+
+def _code_files(spark, d):
+    key, name = F.col("p_partkey"), _camel(F.col("p_name"))
+    text = F.concat(
+        F.lit("using System;\nnamespace "), F.regexp_replace("p_brand", "#", ""), F.lit("\n{\n  /* class No { } */\n  public class Part_"),
+        key.cast("string"), F.when(key > 0, F.concat(F.lit(" : Part_"), F.floor(key / 3).cast("string"), F.lit(", IPart"))).otherwise(""),
+        F.lit("\n  {\n    "),
+        F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("public int "), name, F.lit("(string a, int b = 1) { if (a == null) { return 0; } return b; }")))
+        .otherwise(F.concat(F.lit("private string "), name, F.lit(' = "class X { }";'))),
+        F.lit("\n  }\n}\n"),
+    )
+    return _read(spark, d, "part").select(F.concat(F.lit("src/"), key.cast("string"), F.lit(".cs")).alias("path"), text.alias("content"))
+
+
+@query("""SELECT 'src/' || p_partkey || '.cs' AS path, replace(p_brand, '#', '') || '.Part_' || p_partkey AS full_name,
+  'Part_' || p_partkey AS short_name, 'Class' AS kind, CASE WHEN p_partkey > 0 THEN 'Part_' || (p_partkey // 3) END AS base_name FROM part""")
+def csharp_types(spark, d):
+    return csharp.types_of(csharp.scan_declarations(_code_files(spark, d)))
+
+
+_NAME = "array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(left(w, 1)) || substr(w, 2)), '')"
+
+
+@query(f"""SELECT 'src/' || p_partkey || '.cs' AS path, replace(p_brand, '#', '') || '.Part_' || p_partkey AS type_name,
+  {_NAME} AS member_name, CASE WHEN p_size % 2 = 0 THEN 'Method' ELSE 'Field' END AS member_type FROM part""")
+def csharp_members(spark, d):
+    return csharp.members_of(csharp.scan_declarations(_code_files(spark, d)))
+
+
+@query(f"""WITH t AS (SELECT 'src/' || p_partkey || '.cs' AS path, replace(p_brand, '#', '') || '.Part_' || p_partkey AS full_name, p_size, {_NAME} AS n FROM part)
+SELECT path, 'Class: ' || full_name || ' ' AS signature FROM t
+UNION ALL SELECT path, CASE WHEN p_size % 2 = 0 THEN '  Method: int ' || n || '(string a, int b)' ELSE '  Field: string ' || n END FROM t""")
+def csharp_outline(spark, d):
+    return csharp.outline(csharp.scan_declarations(_code_files(spark, d))).select("path", "signature")
