@@ -225,7 +225,9 @@ def near_groups(
     apart = rest.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
     more = materialize(confirmed(materialize(apart, "second_pairs"), texts, width, share), "links")
     if not more.isEmpty():
-        roots = connected_components(links.unionByName(more))
+        # The components so far are stars already: only what joins them is left to contract.
+        stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots = connected_components(stars.unionByName(more))
 
     placed = nodes.join(roots, "node", "left").select("_print", "_rep", F.coalesce("root", "node").alias("root"))
     placed = materialize(placed, "placed")
