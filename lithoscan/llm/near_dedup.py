@@ -10,6 +10,13 @@ sparse one, and no region is ever expanded into all its pairs.
 Candidates are confirmed on full shingle sets in two rounds.  First each node
 is compared with its best candidates, which links groups of copies up; then
 all candidates that still lie in different components are compared.
+
+What the forest misses is found by an exact prefix filter.  Two linked sets
+share one of the rarest shingles of each, a fifth of the set, in any order
+common to all sets.  Only rows of shingles that nodes of different components
+share are paired: in short lists all with all; in long ones first all with the
+few best linked nodes, as long as that finds links, and then all that still
+lie in different components, in tiles of bounded size.
 """
 
 from __future__ import annotations
@@ -27,6 +34,12 @@ from .components import connected_components
 from .shingles import mixed, overlap, shingle_set
 
 TREES, DEPTH, MIN_PREFIX, NEIGHBOURS = 20, 6, 3, 3
+#: Nodes of one shingle from which its list is long, the best linked ones that
+#: the others are compared with, and the side of a tile.
+LONG, CENTRES, TILE = 64, 4, 256
+#: One node in SAMPLE is counted for the order of shingles, in which the COMMON
+#: most frequent ones come last.  Any order is exact, a good one is fast.
+SAMPLE, COMMON = 16, 500_000
 
 
 def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -43,23 +56,41 @@ def min_hashes(values: np.ndarray, n: int) -> np.ndarray:
     return (low >> np.uint64(32)).astype(">u4")
 
 
+def parities(values: np.ndarray) -> bytes:
+    """Of each cell that the set's hashes fall into, whether they are odd in
+    number; a power of two of cells, as many as the set has members at least."""
+    cells = 1 << max(6, int(len(values)).bit_length())
+    odd = np.bincount((values & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """A lower bound of the number of members that only one of two sets has."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _sign(width: int, hashes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, prints, signatures = [], [], []
+            sizes, prints, signatures, bits = [], [], [], []
             for text in batch.column("_text"):
                 values = shingle_set(text.as_py(), width)
                 sizes.append(len(values))
                 prints.append(hashlib.blake2b(values.tobytes(), digest_size=16).digest())
                 signatures.append(min_hashes(values, hashes).tobytes() if len(values) else b"")
+                bits.append(parities(values))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("_id"),
                     pa.array(sizes, pa.int64()),
                     pa.array(prints, pa.binary()),
                     pa.array(signatures, pa.binary()),
+                    pa.array(bits, pa.binary()),
                 ],
-                names=["_id", "_n", "_print", "_sig"],
+                names=["_id", "_n", "_print", "_sig", "_bits"],
             )
 
     return run
@@ -158,13 +189,171 @@ def _confirm(width: int, share: int):
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, share: int) -> DataFrame:
     """The pairs whose full shingle sets are similar enough.  The text of ``a``
-    comes first in its group, then its few partners."""
-    stars = pairs.select("a", "b").unionByName(pairs.select("a", F.col("a").alias("b")).distinct())
-    told = stars.join(texts.withColumnRenamed("node", "b"), "b").select("a", "b", "_text")
-    dealt = told.repartition("a").sortWithinPartitions("a", "b")  # a < b: the centre sorts first
+    comes first in its group, then its few partners; many are dealt over
+    several groups."""
+    groups = pairs.groupBy("a").agg(F.floor(F.count(F.lit(1)) / TILE + 1).alias("_groups"))
+    pairs = pairs.join(groups, "a").select("a", F.pmod(F.xxhash64("b"), "_groups").alias("_g"), "b")
+    stars = pairs.unionByName(pairs.select("a", "_g", F.col("a").alias("b")).distinct())
+    told = stars.join(texts.withColumnRenamed("node", "b"), "b").select("a", "_g", "b", "_text")
+    dealt = told.repartition("a", "_g").sortWithinPartitions("a", "_g", "b")  # a < b: the centre sorts first
     return dealt.mapInArrow(_confirm(width, share), "a long, b long")
 
 
+def _shingles(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column("_text"):
+                values = shingle_set(text.as_py(), width).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(values)], names=["token"])
+
+    return run
+
+
+def _prefixes(width: int, share: int, common):
+    """The rows ``(token, node, n, at, part)`` of the first shingles of each set
+    of ``n``: a set it is linked to cannot miss them all.  Common shingles are
+    dealt over many parts, others are in part 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, times = common.value
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                tokens, nodes, sizes, places, parts = ([np.empty(0, np.int64)] for _ in range(5))
+                for node, text in zip(part.column("node").to_pylist(), part.column("_text"), strict=True):
+                    values = shingle_set(text.as_py(), width)
+                    often = np.zeros(len(values), np.int64)
+                    if len(known):
+                        at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+                        often = np.where(known[at] == values, times[at], 0)
+                        order = np.argsort(often, kind="stable")
+                        values, often = values[order], often[order]
+                    n = len(values)
+                    first = n + (-share * n) // 100 + 1
+                    tokens.append(values[:first].view(np.int64))
+                    places.append(np.arange(len(tokens[-1])))
+                    nodes.append(np.full(len(tokens[-1]), node))
+                    sizes.append(np.full(len(tokens[-1]), n))
+                    parts.append(np.where(often[:first] > 0, 1 + node % 1024, 0))
+                cols = zip((tokens, nodes, sizes, places, parts), KINDS, strict=True)
+                cols = [pa.array(np.concatenate(x), k) for x, k in cols]
+                yield pa.RecordBatch.from_arrays(cols, names=["token", "node", "n", "at", "part"])
+
+    return run
+
+
+KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+
+
+def shared_prefixes(texts: DataFrame, width: int, share: int) -> DataFrame:
+    """``(token, node, n, at)`` of prefix shingles that several nodes have."""
+    spark = texts.sparkSession
+    sample = texts.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).select("_text")
+    counts = sample.mapInArrow(_shingles(width), "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    top = counts.where("n > 2").orderBy(F.col("n").desc(), "token").limit(COMMON).toArrow()
+    known, times = top.column("token").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    order = np.argsort(known)
+    common = spark.sparkContext.broadcast((known[order], times[order]))  # COMMON rows at most
+    kind = "token long, node long, n int, at int, part int"
+    rows = texts.select("node", "_text").mapInArrow(_prefixes(width, share, common), kind)
+    # Common shingles need no look: what a node has alone is dropped later.
+    own = Window.partitionBy("token", "part")
+    rows = rows.withColumns({"_low": F.min("node").over(own), "_high": F.max("node").over(own)})
+    return materialize(rows.where("part > 0 OR _low < _high").select("token", "node", "n", "at"), "shared_prefixes")
+
+
+def _paired(left: DataFrame, right: DataFrame, on: list[str], share: int, *more) -> DataFrame:
+    """Pairs of different components that can be linked, by their sizes and the
+    places of the shingle: if it is the first they share, no more are shared
+    than come from there on.  Linked sets pass at the first at least."""
+    x, y = left.alias("x"), right.alias("y")
+    most = F.expr("least(x.n - x.at, y.n - y.at)")
+    able = (100 + share) * most >= share * F.expr("x.n + y.n")
+    met = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in on]
+    met += [F.expr("x.root != y.root"), able, *more]
+    joined = x.join(y, met)
+    return joined.select(F.expr("least(x.node, y.node)").alias("a"), F.expr("greatest(x.node, y.node)").alias("b")).distinct()
+
+
+def _close(share: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = zip(batch.column("_na").to_pylist(), batch.column("_nb").to_pylist(), strict=True)
+            bits = zip(batch.column("_ba").to_pylist(), batch.column("_bb").to_pylist(), strict=True)
+            good = [(100 + share) * differing(*b) <= (100 - share) * sum(n) for n, b in zip(sizes, bits, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
+def plausible(pairs: DataFrame, nodes: DataFrame, share: int) -> DataFrame:
+    """The pairs whose parities do not rule them out: no linked pair is lost,
+    and texts are only sent for the others."""
+    for end in ("a", "b"):
+        facts = nodes.select(F.col("node").alias(end), F.col("_n").alias(f"_n{end}"), F.col("_bits").alias(f"_b{end}"))
+        pairs = pairs.join(facts, end)
+    return pairs.select("a", "b", "_na", "_nb", "_ba", "_bb").mapInArrow(_close(share), "a long, b long")
+
+
+def exact_rest(
+    nodes: DataFrame,
+    texts: DataFrame,
+    roots: DataFrame,
+    links: DataFrame,
+    tried: DataFrame,
+    width: int,
+    share: int,
+    long: int,
+) -> DataFrame:
+    """``roots (node, root)`` with all links that join different components.
+    Pairs that were ``tried`` and still lie apart are not linked."""
+    shared = shared_prefixes(texts, width, share)
+
+    def crossing(held: DataFrame) -> DataFrame:
+        placed = held.select("token", "node", "n", "at").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        spans = placed.groupBy("token").agg(
+            F.min("root").alias("_low"), F.max("root").alias("_high"), F.count(F.lit(1)).alias("k")
+        )
+        spans = spans.where("_low < _high").select("token", "k")
+        return materialize(placed.join(spans, "token"), "crossing")
+
+    def link(pairs: DataFrame) -> bool:
+        nonlocal roots, links, tried
+        pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = materialize(plausible(pairs, nodes, share), "exact_pairs")
+        more = materialize(confirmed(pairs, texts, width, share), "links")
+        tried = tried.select("a", "b").unionByName(pairs)
+        if more.isEmpty():
+            return False
+        links = links.unionByName(more)
+        stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots = connected_components(stars.unionByName(more))
+        return True
+
+    rows = crossing(shared)
+    short, rest = rows.where(F.col("k") <= long), rows.where(F.col("k") > long)
+    if link(_paired(short, short, ["token"], share, F.expr("x.node < y.node"))):
+        rest = crossing(rest)
+    while not rest.isEmpty():
+        ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("_degree"))
+        best = F.row_number().over(Window.partitionBy("token").orderBy(F.coalesce("_degree", F.lit(0)).desc(), "node"))
+        centres = rest.join(ends, "node", "left").withColumn("_r", best).where(F.col("_r") <= CENTRES)
+        if link(_paired(centres, rest, ["token"], share)):
+            rest = crossing(rest)
+            continue
+        block = F.pmod(F.xxhash64("node"), F.floor((F.col("k") - 1) / TILE) + 1)
+        blocks = rest.withColumn("_block", block)
+        other = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("k") - 1) / TILE)))
+        tiles = blocks.withColumn("_other", other).withColumns(
+            {"_t": F.least("_block", "_other"), "_u": F.greatest("_block", "_other")}
+        )
+        # Of a tile of two blocks only the pairs across: the others have their own tile.
+        across = F.expr("x.node < y.node AND (x._t = x._u OR x._block != y._block)")
+        link(_paired(tiles, tiles, ["token", "_t", "_u"], share, across))
+        break
+    return roots
+
+
 def near_groups(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -175,6 +364,7 @@ def near_groups(
     depth: int = DEPTH,
     min_prefix: int = MIN_PREFIX,
     reach: int = NEIGHBOURS,
+    long: int = LONG,
 ) -> DataFrame:
     """``(id, n_shingles, component_id, kept)`` of every row.
 
@@ -186,25 +376,23 @@ def near_groups(
     its id.  An empty table gives an empty result; other columns are not
     carried.
 
-    Pairs with exactly the limit's similarity of 0.8 share the first three of a
-    tree's hashes with probability 0.51, and so in one of 20 trees but for
-    1 in 10^6; each link then has to be next to its partner, or to be joined
-    to it by others, in one of these trees."""
+    The forest finds most links; those it misses, as between an original and
+    very many copies that are not linked to one another, are found by the exact
+    prefix filter, so the components are those of all links."""
     spark = df.sparkSession
     prepare(spark)
     text = text_or_empty(text_col)
     rows = df.select(id_or_lowest(id_col).alias("_id"), text.alias("_text"))
-    signed = materialize(
-        rows.mapInArrow(_sign(width, trees * depth), "_id long, _n long, _print binary, _sig binary"), "signatures"
-    )
-    nodes = signed.where("_n > 0").groupBy("_print").agg(F.min("_id").alias("_rep"), F.first("_sig").alias("_sig"))
+    kind = "_id long, _n long, _print binary, _sig binary, _bits binary"
+    signed = materialize(rows.mapInArrow(_sign(width, trees * depth), kind), "signatures")
+    same = [F.first(c).alias(c) for c in ("_sig", "_n", "_bits")]
+    nodes = signed.where("_n > 0").groupBy("_print").agg(F.min("_id").alias("_rep"), *same)
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     pairs = materialize(forest_candidates(nodes, trees, depth, min_prefix, reach), "pairs")
 
-    # Texts of the nodes that have a candidate.  A print is also checked, as
-    # rows may repeat an id with another text.
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = nodes.select("node", "_rep").join(wanted, "node")
+    # Texts of the nodes.  A print is also checked, as rows may repeat an id
+    # with another text.
+    wanted = nodes.select("node", "_rep")
     texts = rows.join(wanted.withColumnRenamed("_rep", "_id"), "_id").select("node", "_id", "_text")
     repeated = signed.groupBy("_id").count().where("count > 1")
     if not repeated.isEmpty():
@@ -228,6 +416,7 @@ def near_groups(
         # The components so far are stars already: only what joins them is left to contract.
         stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
         roots = connected_components(stars.unionByName(more))
+    roots = exact_rest(nodes, texts, roots, links.unionByName(more), pairs, width, share, long)
 
     placed = nodes.join(roots, "node", "left").select("_print", "_rep", F.coalesce("root", "node").alias("root"))
     placed = materialize(placed, "placed")

@@ -63,6 +63,38 @@ def test_near_groups_against_brute_force(spark, width):
     assert Counter(map(tuple, got)) == components(data, width)
 
 
+@pytest.mark.parametrize("copies, options", [(100, {}), (3000, {}), (300, {"trees": 1, "reach": 1, "long": 8})])
+def test_near_copies_that_only_the_original_links(spark, copies, options):
+    rng = random.Random(11)
+    own = [f"w{i}" for i in range(300)]
+    data = [(copies, " ".join(own))]  # not the lowest id
+    for copy in range(copies):
+        text = list(own)
+        for at in rng.sample(range(5, 295), 6):
+            text[at] = f"x{copy}x{at}"
+        data.append((copy, " ".join(text)))
+    sets = [shingles(t, 5) for _, t in data[:12]]
+    similar = [[100 * len(a & b) >= 80 * len(a | b) for b in sets] for a in sets]
+    assert all(similar[0]) and sum(map(sum, similar[1:])) <= 2 * 11 + 6  # hardly any pair of copies
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    assert {r.component_id for r in near_groups(df, **options).collect()} == {0}
+
+
+def test_near_groups_without_the_forest(spark):
+    rng, data = random.Random(5), []
+    for base in range(4):
+        own = sentence(rng, 60).split(" ")
+        for copy in range(25):
+            text = list(own)
+            for _ in range(rng.randrange(6)):
+                text[rng.randrange(len(text))] = f"new{rng.randrange(9)}"
+            data.append((100 * base + copy, " ".join(text)))
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    for long in (1, 64):  # no list of a shingle is short, or all are
+        got = near_groups(df, width=2, trees=1, depth=6, min_prefix=6, long=long).collect()
+        assert Counter(map(tuple, got)) == components(data, 2)
+
+
 def test_drop_near_copies_and_empty_tables(spark):
     assert near_groups(empty(spark)).count() == drop_near_copies(empty(spark)).count() == 0
     df = frame(spark).where("doc_id BETWEEN 0 AND 34 AND text != 'another text under the same id'").dropDuplicates(["doc_id"])
