@@ -11,18 +11,24 @@ Candidates are confirmed on full shingle sets in two rounds.  First each node
 is compared with its best candidates, which links groups of copies up; then
 all candidates that still lie in different components are compared.
 
-What the forest misses is found by an exact prefix filter.  Two linked sets
-share one of the rarest shingles of each, a fifth of the set, in any order
-common to all sets.  Only rows of shingles that nodes of different components
-share are paired: in short lists all with all; in long ones first all with the
-few best linked nodes, as long as that finds links, and then all that still
-lie in different components, in tiles of bounded size.
+What the forest misses is found exactly, by the pigeonhole principle.  Sets of
+one size class are cut into the same number of parts by the hash of their
+members; two linked sets differ in few members, so most of their parts are
+equal.  A set's parts are ordered by size, the fullest first: of those, as many
+as members can differ, and one more, cannot all be missed by a linked set.
+Equal parts of several members hardly occur by chance, however many documents
+there are.  Nodes of different components that share a part are compared: in
+short lists all with all; in long ones first all with the few best linked
+nodes, as long as that finds links, and then all that still lie in different
+components, in tiles of bounded size.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,29 +37,38 @@ from pyspark.sql import functions as F
 
 from .common import id_or_lowest, materialize, null_id, prepare, text_or_empty
 from .components import connected_components
-from .shingles import mixed, overlap, shingle_set
+from .shingles import mixed, overlap, shingle_sets
 
-TREES, DEPTH, MIN_PREFIX, NEIGHBOURS = 20, 6, 3, 3
-#: Nodes of one shingle from which its list is long, the best linked ones that
-#: the others are compared with, and the side of a tile.
+#: Trees, hashes from one tree's start to the next, hashes that a crowded region
+#: is ordered by, hashes that candidates share, and places looked ahead.
+TREES, STEP, DEPTH, MIN_PREFIX, NEIGHBOURS = 20, 6, 12, 3, 3
+#: Nodes of one part from which its list is long, the best linked ones that the
+#: others are compared with, and the side of a tile.
 LONG, CENTRES, TILE = 64, 4, 256
-#: One node in SAMPLE is counted for the order of shingles, in which the COMMON
-#: most frequent ones come last.  Any order is exact, a good one is fast.
-SAMPLE, COMMON = 16, 500_000
+#: Bits of the table, the same at any size, that tells which parts may be shared.
+#: A full table rules out less, and more rows are shuffled; none is lost.
+SHARED_BITS = 1 << 26
 
 
+@cache
 def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
     seeds = mixed(np.arange(1, 2 * n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return seeds[:n] | np.uint64(1), seeds[n:]
+    seeds = (seeds >> np.uint64(32)).astype(np.uint32)
+    return seeds[:n, None] | np.uint32(1), seeds[n:, None]
 
 
 def min_hashes(values: np.ndarray, n: int) -> np.ndarray:
-    """``n`` big-endian 32-bit minima of multiply-shift hashes of the set."""
+    """``n`` big-endian 32-bit minima of permutations of the set's hashes."""
     mult, add = _permutations(n)
-    low = np.full(n, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(values), 4096):
-        np.minimum(low, (values[at : at + 4096, None] * mult + add).min(axis=0), out=low)
-    return (low >> np.uint64(32)).astype(">u4")
+    short = (values >> np.uint64(32)).astype(np.uint32)
+    low = np.full(n, np.iinfo(np.uint32).max, dtype=np.uint32)
+    room = np.empty((n, 256), np.uint32)
+    for at in range(0, len(short), 256):
+        some = short[None, at : at + 256]
+        found = np.multiply(some, mult, out=room[:, : some.shape[1]])
+        found += add
+        np.minimum(low, found.min(axis=1), out=low)
+    return low.astype(">u4")
 
 
 def parities(values: np.ndarray) -> bytes:
@@ -76,8 +91,7 @@ def _sign(width: int, hashes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, prints, signatures, bits = [], [], [], []
-            for text in batch.column("_text"):
-                values = shingle_set(text.as_py(), width)
+            for values in shingle_sets(batch.column("_text").to_pylist(), width):
                 sizes.append(len(values))
                 prints.append(hashlib.blake2b(values.tobytes(), digest_size=16).digest())
                 signatures.append(min_hashes(values, hashes).tobytes() if len(values) else b"")
@@ -85,12 +99,13 @@ def _sign(width: int, hashes: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("_id"),
+                    batch.column("_th"),
                     pa.array(sizes, pa.int64()),
                     pa.array(prints, pa.binary()),
                     pa.array(signatures, pa.binary()),
                     pa.array(bits, pa.binary()),
                 ],
-                names=["_id", "_n", "_print", "_sig", "_bits"],
+                names=["_id", "_th", "_n", "_print", "_sig", "_bits"],
             )
 
     return run
@@ -150,10 +165,14 @@ def _neighbours(depth: int, min_prefix: int, reach: int):
 PAIRS = "a long, b long, lcp int, edge boolean, tree int, key binary"
 
 
-def forest_candidates(nodes: DataFrame, trees: int, depth: int, min_prefix: int, reach: int) -> DataFrame:
-    """``nodes (node, _sig)`` to distinct pairs ``(a, b, score)``, a < b."""
-    width = 4 * depth
-    slices = [F.struct(F.lit(t).alias("tree"), F.substring("_sig", t * width + 1, width).alias("key")) for t in range(trees)]
+def forest_candidates(nodes: DataFrame, trees: int, step: int, depth: int, min_prefix: int, reach: int) -> DataFrame:
+    """``nodes (node, _sig)`` to distinct pairs ``(a, b, score)``, a < b.
+
+    A tree's key starts with ``step`` hashes of its own and goes on with those
+    of the next trees up to ``depth``: only regions where many nodes share the
+    first ones are ordered by the others."""
+    around = F.concat("_sig", F.substring("_sig", 1, 4 * depth))
+    slices = [F.struct(F.lit(t).alias("tree"), F.substring(around, 4 * t * step + 1, 4 * depth).alias("key")) for t in range(trees)]
     rows = nodes.select("node", F.explode(F.array(*slices)).alias("_s")).select("_s.tree", "_s.key", "node")
     order = ["tree", "key", "node"]
     stream = _neighbours(depth, min_prefix, reach)
@@ -172,8 +191,7 @@ def _confirm(width: int, share: int):
         for batch in batches:
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             out = []
-            for x, y, text in zip(a, b, batch.column("_text"), strict=True):
-                own = shingle_set(text.as_py(), width)
+            for x, y, own in zip(a, b, shingle_sets(batch.column("_text").to_pylist(), width), strict=True):
                 if x == y:
                     centre, values = x, own
                 elif centre == x:
@@ -199,76 +217,111 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, share: int) -> Dat
     return dealt.mapInArrow(_confirm(width, share), "a long, b long")
 
 
-def _shingles(width: int):
+@cache
+def _class_bounds() -> list[int]:
+    """Sizes at which a size class begins: each is about half as wide as that."""
+    bounds = [1]
+    while bounds[-1] < 1 << 40:
+        bounds.append(max(bounds[-1] + 1, -(-bounds[-1] * 3 // 2)))
+    return bounds
+
+
+def size_classes(n: int, share: int) -> Iterator[tuple[int, int, int]]:
+    """``(class, parts, differing)`` for each class that a set of ``n`` is told
+    in: its own, where it is the smaller of two linked sets, and those of the
+    smaller sets that it may be linked to.  ``differing`` bounds the members
+    that only one of two linked sets has, ``parts`` is the same for a class."""
+    bounds = _class_bounds()
+    own = bisect_right(bounds, n) - 1
+    least = -(-share * n // 100)
+    for c in range(bisect_right(bounds, least) - 1, own + 1):
+        largest = bounds[c + 1] - 1
+        most = (100 - share) * largest // share  # of the class
+        differing = (100 - share) * n // share if c == own else (100 - share) * (n + largest) // (100 + share)
+        if most:
+            yield c, most + 2 + most // 8, min(differing, most)
+
+
+def part_tokens(values: np.ndarray, share: int) -> np.ndarray:
+    """Tokens of a set's parts, such that linked sets that are not equal have one
+    in common."""
+    out = []
+    for c, parts, differing in size_classes(len(values), share):
+        salt = np.uint64((c + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+        if (100 - share) * (_class_bounds()[c + 1] - 1) // share == 1:
+            # One member at most: the set itself and all that lack one of it.
+            out.append(mixed(np.append(values.sum() - values, values.sum()) + salt))
+            continue
+        place = ((values >> np.uint64(32)) % np.uint64(parts)).astype(np.uint16 if parts < 1 << 16 else np.int64)
+        order = np.argsort(place, kind="stable")
+        count = np.bincount(place, minlength=parts)
+        sums = np.zeros(parts, np.uint64)
+        filled = np.flatnonzero(count)
+        sums[filled] = np.add.reduceat(values[order], (np.cumsum(count) - count)[filled])
+        token = mixed(sums + np.arange(1, parts + 1, dtype=np.uint64) * salt)
+        # The fullest parts have the lowest tokens: the first byte tells how empty one is.
+        token = (token >> np.uint64(8)) | (np.uint64(255) - np.minimum(count, 255).astype(np.uint64) << np.uint64(56))
+        out.append(np.partition(token, differing)[: differing + 1])
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
+def _parts(width: int, share: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column("_text"):
-                values = shingle_set(text.as_py(), width).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(values)], names=["token"])
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                sets = list(shingle_sets(part.column("_text").to_pylist(), width))
+                found = [part_tokens(values, share).view(np.int64) for values in sets]
+                ends = np.cumsum([0, *map(len, found)])
+                tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *found])))
+                sizes = pa.array([len(v) for v in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("node"), sizes, tokens], names=["node", "n", "tokens"])
 
     return run
 
 
-def _prefixes(width: int, share: int, common):
-    """The rows ``(token, node, n, at, part)`` of the first shingles of each set
-    of ``n``: a set it is linked to cannot miss them all.  Common shingles are
-    dealt over many parts, others are in part 0."""
+def _maybe_shared(table):
+    """The tokens whose bit is set, one row each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, times = common.value
+        bits = table.value
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                tokens, nodes, sizes, places, parts = ([np.empty(0, np.int64)] for _ in range(5))
-                for node, text in zip(part.column("node").to_pylist(), part.column("_text"), strict=True):
-                    values = shingle_set(text.as_py(), width)
-                    often = np.zeros(len(values), np.int64)
-                    if len(known):
-                        at = np.minimum(np.searchsorted(known, values), len(known) - 1)
-                        often = np.where(known[at] == values, times[at], 0)
-                        order = np.argsort(often, kind="stable")
-                        values, often = values[order], often[order]
-                    n = len(values)
-                    first = n + (-share * n) // 100 + 1
-                    tokens.append(values[:first].view(np.int64))
-                    places.append(np.arange(len(tokens[-1])))
-                    nodes.append(np.full(len(tokens[-1]), node))
-                    sizes.append(np.full(len(tokens[-1]), n))
-                    parts.append(np.where(often[:first] > 0, 1 + node % 1024, 0))
-                cols = zip((tokens, nodes, sizes, places, parts), KINDS, strict=True)
-                cols = [pa.array(np.concatenate(x), k) for x, k in cols]
-                yield pa.RecordBatch.from_arrays(cols, names=["token", "node", "n", "at", "part"])
+            tokens = batch.column("tokens")
+            flat = tokens.flatten().to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), np.diff(tokens.offsets.to_numpy()))
+            bit = flat & (SHARED_BITS - 1)
+            good = np.flatnonzero(bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
+            at = pa.array(row[good])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(flat[good]), batch.column("node").take(at), batch.column("n").take(at)], names=["token", "node", "n"]
+            )
 
     return run
 
 
-KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+def shared_parts(texts: DataFrame, width: int, share: int) -> DataFrame:
+    """``(token, node, n)`` of parts that several nodes have, and a few more.
 
-
-def shared_prefixes(texts: DataFrame, width: int, share: int) -> DataFrame:
-    """``(token, node, n, at)`` of prefix shingles that several nodes have."""
+    Tokens are counted with partial aggregation; a table of ``SHARED_BITS`` bits
+    tells tasks which rows to pass on, so those of parts that one node has are
+    shuffled once, as a count."""
     spark = texts.sparkSession
-    sample = texts.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).select("_text")
-    counts = sample.mapInArrow(_shingles(width), "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    top = counts.where("n > 2").orderBy(F.col("n").desc(), "token").limit(COMMON).toArrow()
-    known, times = top.column("token").to_numpy().view(np.uint64), top.column("n").to_numpy()
-    order = np.argsort(known)
-    common = spark.sparkContext.broadcast((known[order], times[order]))  # COMMON rows at most
-    kind = "token long, node long, n int, at int, part int"
-    rows = texts.select("node", "_text").mapInArrow(_prefixes(width, share, common), kind)
-    # Common shingles need no look: what a node has alone is dropped later.
-    own = Window.partitionBy("token", "part")
-    rows = rows.withColumns({"_low": F.min("node").over(own), "_high": F.max("node").over(own)})
-    return materialize(rows.where("part > 0 OR _low < _high").select("token", "node", "n", "at"), "shared_prefixes")
+    told = materialize(texts.select("node", "_text").mapInArrow(_parts(width, share), "node long, n long, tokens array<long>"), "part_tokens")
+    counts = told.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("k"))
+    bit = F.col("token").bitwiseAND(F.lit(SHARED_BITS - 1)) + 1  # pages of 2^15 bits are counted from 1
+    pages = counts.where("k > 1").groupBy(F.bitmap_bucket_number(bit).alias("page"))
+    pages = pages.agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()  # SHARED_BITS at most
+    bits = np.zeros(SHARED_BITS // 8, np.uint8)
+    for page in pages:
+        bits[(page["page"] - 1) << 12 : page["page"] << 12] = np.frombuffer(page["bits"], np.uint8)
+    rows = told.mapInArrow(_maybe_shared(spark.sparkContext.broadcast(bits)), "token long, node long, n long")
+    return materialize(rows, "shared_parts")
 
 
 def _paired(left: DataFrame, right: DataFrame, on: list[str], share: int, *more) -> DataFrame:
-    """Pairs of different components that can be linked, by their sizes and the
-    places of the shingle: if it is the first they share, no more are shared
-    than come from there on.  Linked sets pass at the first at least."""
+    """Pairs of different components whose sizes allow a link."""
     x, y = left.alias("x"), right.alias("y")
-    most = F.expr("least(x.n - x.at, y.n - y.at)")
-    able = (100 + share) * most >= share * F.expr("x.n + y.n")
+    able = F.lit(100) * F.expr("least(x.n, y.n)") >= F.lit(share) * F.expr("greatest(x.n, y.n)")
     met = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in on]
     met += [F.expr("x.root != y.root"), able, *more]
     joined = x.join(y, met)
@@ -307,10 +360,10 @@ def exact_rest(
 ) -> DataFrame:
     """``roots (node, root)`` with all links that join different components.
     Pairs that were ``tried`` and still lie apart are not linked."""
-    shared = shared_prefixes(texts, width, share)
+    shared = shared_parts(texts, width, share)
 
     def crossing(held: DataFrame) -> DataFrame:
-        placed = held.select("token", "node", "n", "at").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        placed = held.select("token", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         spans = placed.groupBy("token").agg(
             F.min("root").alias("_low"), F.max("root").alias("_high"), F.count(F.lit(1)).alias("k")
         )
@@ -321,6 +374,8 @@ def exact_rest(
         nonlocal roots, links, tried
         pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
         pairs = materialize(plausible(pairs, nodes, share), "exact_pairs")
+        if pairs.isEmpty():
+            return False
         more = materialize(confirmed(pairs, texts, width, share), "links")
         tried = tried.select("a", "b").unionByName(pairs)
         if more.isEmpty():
@@ -332,7 +387,7 @@ def exact_rest(
 
     rows = crossing(shared)
     short, rest = rows.where(F.col("k") <= long), rows.where(F.col("k") > long)
-    if link(_paired(short, short, ["token"], share, F.expr("x.node < y.node"))):
+    if link(_paired(short, short, ["token"], share, F.expr("x.node < y.node"))) and not rest.isEmpty():
         rest = crossing(rest)
     while not rest.isEmpty():
         ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("_degree"))
@@ -361,6 +416,7 @@ def near_groups(
     width: int = 5,
     share: int = 80,
     trees: int = TREES,
+    step: int = STEP,
     depth: int = DEPTH,
     min_prefix: int = MIN_PREFIX,
     reach: int = NEIGHBOURS,
@@ -382,23 +438,21 @@ def near_groups(
     spark = df.sparkSession
     prepare(spark)
     text = text_or_empty(text_col)
-    rows = df.select(id_or_lowest(id_col).alias("_id"), text.alias("_text"))
-    kind = "_id long, _n long, _print binary, _sig binary, _bits binary"
-    signed = materialize(rows.mapInArrow(_sign(width, trees * depth), kind), "signatures")
+    rows = df.select(id_or_lowest(id_col).alias("_id"), F.xxhash64(text).alias("_th"), text.alias("_text"))
+    kind = "_id long, _th long, _n long, _print binary, _sig binary, _bits binary"
+    signed = materialize(rows.mapInArrow(_sign(width, trees * step), kind), "signatures")
     same = [F.first(c).alias(c) for c in ("_sig", "_n", "_bits")]
-    nodes = signed.where("_n > 0").groupBy("_print").agg(F.min("_id").alias("_rep"), *same)
+    nodes = signed.where("_n > 0").groupBy("_print").agg(F.min(F.struct("_id", "_th")).alias("_r"), *same)
+    nodes = nodes.select("_print", F.col("_r._id").alias("_rep"), F.col("_r._th").alias("_th"), "_sig", "_n", "_bits")
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    pairs = materialize(forest_candidates(nodes, trees, depth, min_prefix, reach), "pairs")
-
-    # Texts of the nodes.  A print is also checked, as rows may repeat an id
-    # with another text.
-    wanted = nodes.select("node", "_rep")
-    texts = rows.join(wanted.withColumnRenamed("_rep", "_id"), "_id").select("node", "_id", "_text")
-    repeated = signed.groupBy("_id").count().where("count > 1")
-    if not repeated.isEmpty():
-        texts = texts.mapInArrow(_sign_text(width), "node long, _print binary, _text string")
-        texts = texts.join(nodes.select("node", "_print"), ["node", "_print"]).dropDuplicates(["node"])
-    texts = materialize(texts.select("node", "_text"), "texts")
+    pairs = materialize(forest_candidates(nodes, trees, step, depth, min_prefix, reach), "pairs")
+
+    # Texts of the nodes, by id and text: rows may repeat an id with another text.
+    wanted = nodes.select("node", F.col("_rep").alias("_id"), "_th")
+    texts = rows.join(wanted, ["_id", "_th"]).select("node", "_text")
+    if not signed.groupBy("_id", "_th").count().where("count > 1").isEmpty():
+        texts = texts.dropDuplicates(["node"])
+    texts = materialize(texts, "texts")
 
     both = pairs.select("a", "b", "score", F.col("a").alias("x")).unionByName(
         pairs.select("a", "b", "score", F.col("b").alias("x"))
@@ -420,7 +474,8 @@ def near_groups(
 
     placed = nodes.join(roots, "node", "left").select("_print", "_rep", F.coalesce("root", "node").alias("root"))
     placed = materialize(placed, "placed")
-    lowest = placed.groupBy("root").agg(F.min("_rep").alias("_component"))
+    # Written first, so that Spark can split the join of a component that is very large.
+    lowest = materialize(placed.groupBy("root").agg(F.min("_rep").alias("_component")), "components")
     placed = placed.join(lowest, "root").select("_print", "_component")
     done = signed.select("_id", "_n", "_print").join(placed, "_print", "left")
     component = F.when(F.col("_n") > 0, F.col("_component")).otherwise(F.col("_id"))
@@ -433,19 +488,6 @@ def near_groups(
     )
 
 
-def _sign_text(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = (shingle_set(t.as_py(), width) for t in batch.column("_text"))
-            prints = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), pa.array(prints, pa.binary()), batch.column("_text")],
-                names=["node", "_print", "_text"],
-            )
-
-    return run
-
-
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``df`` that are kept, in their own columns: one document of
     each component.  Rows must have distinct ids (as exact deduplication leaves
