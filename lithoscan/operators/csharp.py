@@ -8,6 +8,7 @@ of declarations per file; everything after that is DataFrame work.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -112,10 +113,11 @@ def declarations(code: str | None) -> list[tuple]:
         return []
     masked = _BLANKED.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), code)
     found, scopes, begin, skip_to, file_namespace = [], [], 0, 0, []
+    breaks = [m.start() for m in re.finditer("\n", code)]
 
     def add(kind, type_name, name, base, type_params, value_type, params, start, end):
         first = re.compile(r"\S|\Z").search(masked, start).start()
-        line = code.count("\n", 0, first) + 1
+        line = bisect_left(breaks, first) + 1
         found.append((kind, type_name, name, base, type_params, value_type, params, start, end - start, line))
 
     def path():

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialize
+
 
 def inheritors(types: DataFrame, symbol: str) -> DataFrame:
-    """``(full_name, path)`` of direct children: their base is the symbol, its
-    last segment, or a full name whose short name is the symbol."""
+    """``(full_name, path, paths)`` of direct children: their base is the symbol, its
+    last segment, or a full name whose short name is the symbol.  ``paths`` are
+    all of a child's files, ``path`` the smallest."""
     last = symbol.rpartition(".")[2]
     named = types.where(F.lower("short_name") == symbol.lower()).select(F.lower("full_name").alias("_base"))
     spark = types.sparkSession
     asked = spark.createDataFrame([(symbol.lower(),), (last.lower(),)], "_base string").unionByName(named).distinct()
     found = types.join(asked, F.lower(types["base_name"]) == asked["_base"], "left_semi")
-    return found.groupBy(F.lower("full_name").alias("_key")).agg(F.min("full_name").alias("full_name"), F.min("path").alias("path")).drop("_key")
+    return found.groupBy(F.lower("full_name").alias("_key")).agg(F.min("full_name").alias("full_name"), F.min("path").alias("path"), F.array_sort(F.collect_set("path")).alias("paths")).drop("_key")
 
 
 def resolutions(types: DataFrame) -> DataFrame:
@@ -25,31 +28,50 @@ def resolutions(types: DataFrame) -> DataFrame:
     return both.groupBy("key").agg(F.min(F.struct("_p", "full_name")).alias("_m")).select("key", F.col("_m.full_name").alias("child"))
 
 
+def ancestries(steps: DataFrame, most: int) -> DataFrame:
+    """``steps (key, item, next)``, one row per key, to ``(key, items)``: the item of
+    each key and of those that ``next`` leads to, ``most`` at the most.
+
+    Chains are doubled: one join puts behind each chain the chain of where it
+    ends, so a few joins by key reach any depth, for any number of keys."""
+    chains, length = steps.select("key", F.array("item").alias("items"), "next"), 1
+    while length < most:
+        chains = materialize(chains, "chains")
+        if chains.where("next IS NOT NULL").isEmpty():
+            break
+        far = chains.select(F.col("key").alias("_key"), F.col("items").alias("_items"), F.col("next").alias("_next"))
+        both = chains.join(far, chains["next"] == far["_key"], "left")
+        longer = F.when(F.col("_items").isNull(), F.col("items")).otherwise(F.concat("items", "_items"))
+        chains = both.select("key", longer.alias("items"), F.col("_next").alias("next"))
+        length *= 2
+    return chains.select("key", F.slice("items", 1, most).alias("items"))
+
+
+def _first_times(items: Column, mark) -> Column:
+    """The items up to the first one whose mark has come before: from there on a
+    chain only repeats itself."""
+    marks = F.transform(items, mark)
+    return F.filter(items, lambda x, i: F.array_position(marks, mark(x)) == i + 1)
+
+
 def inheritance_chains(types: DataFrame, names: DataFrame, most: int = 21) -> DataFrame:
     """``names (name)`` to ``(name, depth, child, parent)`` edges upward.
 
     A parent that no name resolves to is the last edge; chains stop before a
     repeated child and after ``most`` edges.  Declarations in several files
     count by the smallest path."""
-    spark = types.sparkSession
     key = resolutions(types)
     links = (
         types.where("base_name IS NOT NULL")
         .groupBy(F.col("full_name").alias("child"))
         .agg(F.min_by("base_name", F.struct("path", "base_name")).alias("parent"))
     )
-    links = links.join(key.withColumnRenamed("child", "next"), F.lower("parent") == F.col("key"), "left").drop("key")
-    start = names.join(key, F.lower("name") == F.col("key")).select("name", "child")
-    links.createOrReplaceTempView("_chain_links")
-    start.createOrReplaceTempView("_chain_start")
-    return spark.sql(f"""
-        WITH RECURSIVE up(name, depth, child, parent, next, seen) AS (
-          SELECT s.name, 1, l.child, l.parent, l.next, array(lower(l.child)) FROM _chain_start s JOIN _chain_links l USING (child)
-          UNION ALL
-          SELECT u.name, u.depth + 1, l.child, l.parent, l.next, array_append(u.seen, lower(l.child))
-          FROM up u JOIN _chain_links l ON l.child = u.next
-          WHERE u.depth < {int(most)} AND NOT array_contains(u.seen, lower(l.child)))
-        SELECT name, depth, child, parent FROM up""")
+    links = links.join(key.withColumnRenamed("child", "next"), F.lower("parent") == F.col("key"), "left")
+    steps = links.select(F.col("child").alias("key"), F.struct("child", "parent").alias("item"), "next")
+    start = names.join(key, F.lower("name") == F.col("key")).select("name", F.col("child").alias("key"))
+    found = start.join(ancestries(steps, most), "key")
+    edges = F.posexplode(_first_times(F.col("items"), lambda x: F.lower(x["child"])))
+    return found.select("name", edges.alias("_i", "_e")).select("name", (F.col("_i") + 1).alias("depth"), "_e.child", "_e.parent")
 
 
 def def_ancestors(defs: DataFrame, names: DataFrame, most: int = 15) -> DataFrame:
@@ -58,22 +80,18 @@ def def_ancestors(defs: DataFrame, names: DataFrame, most: int = 15) -> DataFram
 
     A parent is looked up by base name, then by definition name; a node that
     has been met before ends the chain."""
-    spark = defs.sparkSession
-    cols = [F.struct("path", "def_type", "def_name", "parent_name").alias("node")]
-    by_elem = defs.where("def_name_elem IS NOT NULL").select(F.lower("def_name_elem").alias("key"), *cols)
-    by_attr = defs.where("name_attr IS NOT NULL").select(F.lower("name_attr").alias("key"), *cols)
+    node = F.struct("path", "def_type", "def_name", "parent_name").alias("item")
+    by_elem = defs.where("def_name_elem IS NOT NULL").select(F.lower("def_name_elem").alias("key"), node)
+    by_attr = defs.where("name_attr IS NOT NULL").select(F.lower("name_attr").alias("key"), node)
 
     def first(a: DataFrame, b: DataFrame) -> DataFrame:
         both = a.withColumn("_p", F.lit(0)).unionByName(b.withColumn("_p", F.lit(1)))
-        return both.groupBy("key").agg(F.min(F.struct("_p", "node")).alias("_m")).select("key", "_m.node.*")
-
-    names.join(first(by_elem, by_attr), F.lower("name") == F.col("key")).drop("key").createOrReplaceTempView("_def_start")
-    first(by_attr, by_elem).createOrReplaceTempView("_def_parents")
-    return spark.sql(f"""
-        WITH RECURSIVE up(name, depth, def_type, def_name, path, parent_name, seen) AS (
-          SELECT name, 0, def_type, def_name, path, parent_name, array(def_name || chr(0) || path) FROM _def_start
-          UNION ALL
-          SELECT u.name, u.depth + 1, p.def_type, p.def_name, p.path, p.parent_name, array_append(u.seen, p.def_name || chr(0) || p.path)
-          FROM up u JOIN _def_parents p ON p.key = lower(u.parent_name)
-          WHERE u.depth < {int(most) - 1} AND NOT array_contains(u.seen, p.def_name || chr(0) || p.path))
-        SELECT name, depth, def_type, def_name, path FROM up""")
+        return both.groupBy("key").agg(F.min(F.struct("_p", "item"))["item"].alias("item"))
+
+    above = first(by_attr, by_elem).withColumn("next", F.lower("item.parent_name"))
+    above = ancestries(above, most - 1).withColumnRenamed("key", "next")
+    start = names.join(first(by_elem, by_attr), F.lower("name") == F.col("key")).withColumn("next", F.lower("item.parent_name"))
+    found = start.select("name", "item", "next").join(above, "next", "left")
+    items = F.concat(F.array("item"), F.coalesce("items", F.array().cast(above.schema["items"].dataType)))
+    nodes = F.posexplode(_first_times(items, lambda x: F.struct(x["def_name"], x["path"])))
+    return found.select("name", nodes.alias("depth", "_n")).select("name", "depth", "_n.def_type", "_n.def_name", "_n.path")

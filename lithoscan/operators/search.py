@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clipped, fuzzy_score, lines_of, ngrams, whole_word
+from ..functions.text import clipped, lines_of, ngrams, whole_word, with_fuzzy_score
 
 MEMBER = ["type_name", "member_name", "member_type", "path"]
 
@@ -20,7 +20,7 @@ def _best(rows: DataFrame, size: Column, order: list, most: int) -> DataFrame:
 
 def score_names(names: DataFrame, query: str, most: int = 20) -> DataFrame:
     """``(name, score)``: the best names with a score over 0; the shorter first."""
-    scored = names.select("name", fuzzy_score(F.col("name"), query).alias("score")).where("score > 0")
+    scored = with_fuzzy_score(names.select("name"), F.col("name"), query).where("score > 0")
     return _best(scored, F.length("name"), ["name"], most)
 
 
@@ -35,9 +35,9 @@ def ngram_candidates(grams: DataFrame, query: str, most: int = 500) -> DataFrame
 def fuzzy_types(names: DataFrame, grams: DataFrame, query: str, most: int = 20, few: int = 50) -> DataFrame:
     """Best names; long queries score only those that share most 2-grams, unless these are few."""
     if len(query) > 4:
-        found = ngram_candidates(grams, query)
-        if found.limit(few).count() >= few:
-            names = found.select("name")
+        found = ngram_candidates(grams, query).select("name").collect()  # 500 rows at most
+        if len(found) >= few:
+            names = names.sparkSession.createDataFrame(found, "name string")
     return score_names(names, query, most)
 
 
@@ -53,7 +53,7 @@ def collapse_aliases(hits: DataFrame, types: DataFrame) -> DataFrame:
 
 def search_files(files: DataFrame, query: str, most: int = 30) -> DataFrame:
     """``(path, stem, score)``: files by the score of their stem."""
-    scored = files.select("path", "stem", fuzzy_score(F.col("stem"), query).alias("score")).where("score > 0").distinct()
+    scored = with_fuzzy_score(files.select("path", "stem"), F.col("stem"), query).where("score > 0").distinct()
     return _best(scored, F.length("stem"), ["stem", "path"], most)
 
 
@@ -80,13 +80,14 @@ def search_members(keys: DataFrame, keywords: list[str], most: int = 30, fuzzy_k
     by_key = Window.partitionBy("asked").orderBy("key")
     short = alike.where("length(word) = 2").withColumn("_r", F.row_number().over(by_key)).where(F.col("_r") <= prefix_keys).drop("_r")
     alike = alike.where("length(word) >= 3").unionByName(short)
-    alike = alike.withColumn("score", fuzzy_score(F.col("key"), F.col("word"))).where("score >= 60")
+    alike = with_fuzzy_score(alike, F.col("key"), F.col("word")).where("score >= 60")
     rank = F.row_number().over(Window.partitionBy("asked").orderBy(F.col("score").desc(), "key"))
     alike = alike.withColumn("_r", rank).where(F.col("_r") <= fuzzy_keys).select("key")
     hit = asked.select(F.col("word").alias("key")).unionByName(alike)
     counts = keys.join(F.broadcast(hit), "key").groupBy(*MEMBER).agg(F.count(F.lit(1)).alias("hits"))
     bonus = F.least(F.col("hits") - 1, F.lit(5)) * 10.0
-    scored = counts.select(*MEMBER, F.least(fuzzy_score(F.col("member_name"), "".join(keywords)) + bonus, F.lit(100.0)).alias("score"))
+    scored = with_fuzzy_score(counts, F.col("member_name"), "".join(keywords))
+    scored = scored.select(*MEMBER, F.least(F.col("score") + bonus, F.lit(100.0)).alias("score"))
     return _best(scored, F.length("member_name"), MEMBER, most)
 
 
@@ -104,8 +105,9 @@ def search_defs(defs: DataFrame, query: str, most: int = 50) -> DataFrame:
     weighted = [("def_name_elem", 1.2), ("name_attr", 1.0), ("label", 0.8)]
     found = F.explode(F.array(*[F.struct(F.col(c).alias("text"), F.lit(w).alias("weight")) for c, w in weighted])).alias("_t")
     rows = defs.select("def_type", "def_name", "path", "is_abstract", found)
-    score = fuzzy_score(F.col("_t.text"), query) * F.col("_t.weight") * F.when(F.col("is_abstract"), 0.5).otherwise(1.0)
-    scored = rows.select("def_type", "def_name", "path", score.alias("score")).where("score > 0")
+    score = F.col("score") * F.col("_t.weight") * F.when(F.col("is_abstract"), 0.5).otherwise(1.0)
+    scored = with_fuzzy_score(rows, F.col("_t.text"), query)
+    scored = scored.select("def_type", "def_name", "path", score.alias("score")).where("score > 0")
     return _best(best_per_def(scored), F.length("def_name"), ["def_name", "def_type"], most)
 
 
@@ -138,6 +140,8 @@ def grep(files: DataFrame, pattern: str, ignore_case: bool = True, ext: str | No
     extension is applied before the cap, so no hit is hidden by it."""
     if ext:
         files = files.where(F.endswith(F.lower("path"), F.lit(ext.lower())))
+    if not pattern:
+        raise ValueError("pattern cannot be empty")
     found = matching_lines(files, ("(?i)" if ignore_case else "") + pattern, per_file)
     return found.select("path", "line_no", F.trim("line").alias("preview")).orderBy("path", "line_no").limit(most)
 

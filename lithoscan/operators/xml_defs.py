@@ -16,10 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.scratch import materialize
 from . import graph
 
 # Elements whose children are appended on inheritance, in any case.
-LIST_CONTAINERS = """
+LIST_CONTAINERS = frozenset("""
     comps stages modExtensions lifeStages hediffGivers parts verbs tools abilities hediffFilters disallowedTraits
     tags weaponTags apparelTags tradeTags thoughtContexts recipeUsers thingCategories researchPrerequisites
     skillRequirements descriptionHyperlinks forcedTraits disallowedTraitsWithDegree nullifyingTraitDegrees
@@ -27,7 +28,8 @@ LIST_CONTAINERS = """
     requirementSet fixedIngredientFilter defaultIngredientFilter requirementTags exclusionTags blacklistedGenders
     whiteListedGenders hediffClassList requiredHediffs requiredGeneDefs disallowedGenes startingResearchProjects
     addDesignators addDesignatorGroups
-""".lower().split()
+""".split())
+_GATHERED = {name.lower() for name in LIST_CONTAINERS}
 
 # Elements that name a class, beside all that end in Class or Worker.
 CLASS_ELEMENTS = "modextension thinktree lordjob drawstyletype workertype worlddrawlayer designatortype".split()
@@ -120,7 +122,7 @@ def _overlay(base: ET.Element, own: ET.Element) -> None:
     if own.get("Inherit", "").lower() == "false" or (len(own) == 0 and own.text):
         base[:], base.text = copy.deepcopy(list(own)), own.text
         return
-    gathers = _local(base).lower() in LIST_CONTAINERS
+    gathers = _local(base).lower() in _GATHERED
     for piece in own:
         twin = None if gathers or _local(piece) == "li" else base.find(piece.tag)
         if twin is None:
@@ -178,7 +180,10 @@ def resolve_defs(defs: DataFrame, names: DataFrame) -> DataFrame:
     """``names (name)`` to ``(name, def_type, depth, xml, classes)``: the definition
     with all it inherits, its type that of the root ancestor.  Unknown names
     give no rows; a chain ends before a repeat and after 15 nodes."""
-    chain = graph.def_ancestors(defs, names.distinct())
+    # Parsed once, with the names that may come from the same parse.
+    names = materialize(names.distinct(), "asked")
+    defs = materialize(defs.select("path", "position", "def_type", "def_name", "def_name_elem", "name_attr", "parent_name", "xml"), "defs")
+    chain = graph.def_ancestors(defs, names)
     first = defs.groupBy("path", "def_name").agg(F.min_by("xml", "position").alias("xml"))
     steps = chain.join(first, ["path", "def_name"])
     # A chain has 15 nodes at the most, so these lists are small.

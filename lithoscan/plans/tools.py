@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import lines_of
 from ..operators import csharp, graph, index, search, xml_defs
+from ..sources.files import is_allowed, one_file
 from .query import parse
+from .render import chain_lines, file_name
 
 Sections = dict[str, DataFrame]
 
@@ -51,23 +53,29 @@ class Corpus:
     files: DataFrame
     found: DataFrame
     defs: DataFrame
+    #: Folders that requests may read from, and whether that is checked.
+    roots: tuple[str, ...] = ()
+    checked: bool = True
 
     @property
     def types(self) -> DataFrame:
         return csharp.types_of(self.found)
 
 
-def _paths_of(names: DataFrame, types: DataFrame, missing: str) -> DataFrame:
-    """``names (name, ...)`` with the smallest path of each as a full, else as a
-    short type name.  The names are a display's few rows, so they are broadcast."""
+def paths_of_names(names: DataFrame, types: DataFrame, missing: str) -> DataFrame:
+    """``names (name, ...)`` with all ``paths`` of each as a full, else as a short type
+    name, and the smallest as ``path``.  The names are a display's few rows, so
+    they are broadcast."""
     keyed = types.select(F.explode(F.array(
         F.struct(F.lower("full_name").alias("key"), F.lit(0).alias("rank")),
         F.struct(F.lower("short_name").alias("key"), F.lit(1).alias("rank")),
     )).alias("k"), "path").select("k.*", "path")
     asked = names.select(F.lower("name").alias("key")).distinct()
-    first = keyed.join(F.broadcast(asked), "key").groupBy("key").agg(F.min(F.struct("rank", "path")).alias("_m"))
+    per_rank = keyed.join(F.broadcast(asked), "key").groupBy("key", "rank").agg(F.array_sort(F.collect_set("path")).alias("paths"))
+    first = per_rank.groupBy("key").agg(F.min_by("paths", "rank").alias("paths"))
     joined = names.join(first, F.lower("name") == F.col("key"), "left")
-    return joined.select(*names.columns, F.coalesce("_m.path", F.lit(missing)).alias("path"))
+    none = F.array(F.lit(missing))
+    return joined.select(*names.columns, F.coalesce(F.col("paths")[0], F.lit(missing)).alias("path"), F.coalesce("paths", none).alias("paths"))
 
 
 def locate(corpus: Corpus, raw: str) -> Sections:
@@ -78,7 +86,7 @@ def locate(corpus: Corpus, raw: str) -> Sections:
         names = index.name_dictionary(types)
         hits = search.collapse_aliases(search.fuzzy_types(names, index.name_ngrams(names), asked["types"]), types)
         hits = hits.orderBy(F.col("score").desc(), F.length("name"), "name").limit(10)
-        out["types"] = _paths_of(hits, types, "unknown")
+        out["types"] = paths_of_names(hits, types, "unknown")
     if "members" in asked:
         hits = search.search_members(index.member_keys(csharp.members_of(corpus.found)), asked["members"])
         place = Window.partitionBy("member_type").orderBy(F.col("score").desc(), F.length("member_name"), *search.MEMBER)
@@ -87,7 +95,8 @@ def locate(corpus: Corpus, raw: str) -> Sections:
         out["defs"] = search.search_defs(corpus.defs, asked["defs"], 10)
     if "content" in asked:
         hits = search.search_content(xml_defs.def_tokens(corpus.defs), asked["content"], 10)
-        out["content"] = hits.withColumn("fields", F.slice("fields", 1, 3))
+        more = F.greatest(F.size("fields") - 3, F.lit(0))
+        out["content"] = hits.withColumns({"more_fields": more, "fields": F.slice("fields", 1, 3)})
     out = {k: v for k, v in out.items() if not v.isEmpty()}
     if not out:
         out = {"files": search.search_files(corpus.files, raw, 10)}
@@ -114,7 +123,7 @@ def inspect(corpus: Corpus, name: str) -> Sections:
         return {
             "definition": whole.select("def_type", "depth", shortened(F.split("xml", "\n")).alias("xml")),
             "type_files": search.paths_of_type(types, found["def_type"]),
-            "classes": _paths_of(linked, types, "not indexed"),
+            "classes": paths_of_names(linked, types, "not indexed"),
         }
     paths = search.paths_of_type(types, name)
     if paths.isEmpty():
@@ -126,8 +135,28 @@ def inspect(corpus: Corpus, name: str) -> Sections:
     }
 
 
-def resolve_path(files: DataFrame, path: str) -> str | None:
-    """The path of one file by its path, else its stem, else its name, in any case."""
+def inspect_lines(sections: Sections) -> DataFrame:
+    """``(section, place, text)`` of what an inspect request found."""
+    if "definition" in sections:
+        xml = sections["definition"].select(F.posexplode("xml").alias("place", "text"))
+        files = F.array_join(F.transform("paths", file_name), ", ")
+        linked = F.concat(F.lit("- `"), "name", F.lit("` ("), files, F.lit(")"))
+        parts = {"definition": xml, "classes": sections["classes"].select("place", linked.alias("text"))}
+    else:
+        order = F.row_number().over(Window.orderBy("path", "type_name", "place")) - 1  # the outline of one type
+        parts = {
+            "chain": chain_lines(sections["chain"]).withColumnRenamed("depth", "place"),
+            "outline": sections["outline"].select(order.alias("place"), F.col("signature").alias("text")),
+        }
+    rows = [part.select(F.lit(name).alias("section"), "place", "text") for name, part in parts.items()]
+    return rows[0].unionByName(rows[1])
+
+
+def resolve_path(files: DataFrame, path: str, roots: tuple[str, ...] = (), checked: bool = True) -> str | None:
+    """The path of one file by its absolute path, where that lies below an allowed
+    root, or as the corpus has it; else by its stem, else its name, in any case."""
+    if os.path.isabs(path) and os.path.isfile(path) and roots and is_allowed(path, list(roots), checked):
+        return path
     asked, name = path.lower(), F.lower(F.element_at(F.split("path", "/"), -1))
     rank = F.when(F.lower("path") == asked, 0).when(F.lower("stem") == asked, 1).when(name == asked, 2)
     row = files.select(rank.alias("_r"), "path").where("_r IS NOT NULL").agg(F.min(F.struct("_r", "path")).alias("m")).first()
@@ -141,19 +170,22 @@ def read_code(
     """The source of a whole type, else of a member, else ``count`` lines from the
     0-based ``start``, with how many ``more`` follow.  A file, type or member that
     is not there, or a start behind the last line, is a ``LookupError``."""
-    own = resolve_path(corpus.files, path)
+    own = resolve_path(corpus.files, path, corpus.roots, corpus.checked)
     if own is None:
         raise LookupError(path)
-    here = corpus.found.where(F.col("path") == own)
+    files, here = corpus.files.where(F.col("path") == own), corpus.found.where(F.col("path") == own)
+    if files.isEmpty():  # an allowed file that is not in the corpus
+        files = one_file(corpus.files.sparkSession, own)
+        here = csharp.scan_declarations(files)
     if extract_class:
         rows = csharp.type_source(here, extract_class)
     elif method:
         rows = csharp.member_source(here, method, class_name)
     else:
         total = F.size(lines_of(F.col("content"))).alias("_n")
-        n = corpus.files.where(F.col("path") == own).select(total).first()["_n"]
+        n = files.select(total).first()["_n"]
         more = max(0, n - max(0, start) - count)
-        rows = search.line_slice(corpus.files, own, start, count).withColumn("more", F.lit(more))
+        rows = search.line_slice(files, own, start, count).withColumn("more", F.lit(more))
     if rows.isEmpty():
         raise LookupError(extract_class or method or f"{path}:{start}")
     return rows

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.text import clipped, fuzzy_score, initials, ngrams, split_words
+from .functions.text import clipped, initials, marked_words, split_words, with_fuzzy_score
 from .operators import csharp, graph, index, search, xml_defs
+from .plans import render, tools
+from .plans.query import parse
 
 QUERIES, SQL = {}, {}
 
@@ -148,7 +150,9 @@ _PROBES = ["RdWg", "redwidget15", "OldBolt", "rb", "gear", "blueboltt", "idget1"
 @query("WITH " + TYPES + ", q(q) AS (VALUES " + ", ".join(f"('{p}')" for p in _PROBES) + f") SELECT short_name AS name, q, round({score_sql('short_name', 'q')}, 6) AS score FROM types, q")
 def fuzzy_score_pairs(spark, d):
     each = F.explode(F.array(*map(F.lit, _PROBES))).alias("q")
-    return types(spark, d).select(F.col("short_name").alias("name"), each).withColumn("score", F.round(fuzzy_score(F.col("name"), F.col("q")), 6))
+    names = types(spark, d).select(F.col("short_name").alias("name")).withColumn("_words", marked_words(F.col("name")))
+    pairs = names.select("name", "_words", each)
+    return _rounded(with_fuzzy_score(pairs, F.col("name"), F.col("q"), words=F.col("_words")).drop("_words"))
 
 
 @query("WITH " + TYPES + f" SELECT full_name AS name, unnest({words_sql('full_name')}) AS word FROM types")
@@ -262,7 +266,7 @@ def hit_count_truncation(spark, d):
 @query("WITH " + TYPES + " SELECT min(full_name) AS full_name, min(path) AS path FROM types WHERE lower(base_name) IN (SELECT lower(short_name) FROM types WHERE path = 'src/7.cs') GROUP BY lower(full_name)")
 def inheritors(spark, d):
     name = types(spark, d).where("path = 'src/7.cs'").first()["short_name"]
-    return graph.inheritors(types(spark, d), name)
+    return graph.inheritors(types(spark, d), name).select("full_name", "path")
 
 
 @query("WITH RECURSIVE " + TYPES + """, up(name, depth, child, parent) AS (SELECT full_name, 1, full_name, base_name FROM types WHERE base_name IS NOT NULL
@@ -411,3 +415,168 @@ SELECT path, 'Class: ' || full_name || ' ' AS signature FROM t
 UNION ALL SELECT path, CASE WHEN p_size % 2 = 0 THEN '  Method: int ' || n || '(string a, int b)' ELSE '  Field: string ' || n END FROM t""")
 def csharp_outline(spark, d):
     return csharp.outline(csharp.scan_declarations(_code_files(spark, d))).select("path", "signature")
+
+
+# ---- displays, requests and their parts ----
+
+_BASE = "string_split(path, '/')[-1]"
+_HITS = FILES + """, h AS (SELECT path, line_no, line, row_number() OVER (PARTITION BY path ORDER BY line_no) AS r FROM file_lines WHERE regexp_matches(line, '(?i)\\bth[a-z]*ing\\b') AND line_no <= 20001),
+hits AS (SELECT path, line_no, trim(line) AS preview FROM h WHERE r <= 5 ORDER BY path, line_no LIMIT 100),
+blocks AS (SELECT path, list('  L' || line_no || ': ' || preview ORDER BY line_no) AS l FROM hits GROUP BY path)"""
+
+
+@query("WITH " + _HITS + f""" SELECT path, '`' || {_BASE} || '`' || chr(10) || array_to_string(l[1:3], chr(10)) ||
+  CASE WHEN len(l) > 3 THEN chr(10) || '  ... +' || (len(l) - 3) || ' more in this file' ELSE '' END AS text FROM blocks ORDER BY path LIMIT 50""")
+def regex_display(spark, d):
+    return render.regex_blocks(search.grep(files(spark, d), r"\bth[a-z]*ing\b"))
+
+
+@query("WITH " + _HITS + " SELECT count(*) AS total, count(*) >= 100 AS truncated FROM hits")
+def regex_totals(spark, d):
+    return render.totals(search.grep(files(spark, d), r"\bth[a-z]*ing\b"), 100)
+
+
+@query("WITH " + FILES + """, h AS (SELECT path, line_no, line, row_number() OVER (PARTITION BY path ORDER BY line_no) AS r FROM file_lines WHERE path ILIKE '%_1.fr' OR path ILIKE '%7.FR'),
+m AS (SELECT path, line_no, trim(line) AS preview, row_number() OVER (PARTITION BY path ORDER BY line_no) AS k FROM h WHERE line_no <= 20001 AND regexp_matches(line, 'Le'))
+SELECT path, line_no, preview FROM m WHERE k <= 5 AND path ILIKE '%7.FR' ORDER BY path, line_no LIMIT 100""")
+def regex_by_suffix(spark, d):
+    return search.grep(files(spark, d), "Le", ignore_case=False, ext="7.FR")
+
+
+@query("WITH " + FILES + f""", h AS (SELECT path, line_no, trim(line) AS t, row_number() OVER (PARTITION BY path ORDER BY line_no) AS r FROM file_lines WHERE ext IN ('en', 'fr') AND regexp_matches(line, '(?i)(^|[^\\p{{L}}\\p{{N}}_])license($|[^\\p{{L}}\\p{{N}}_])')),
+hits AS (SELECT path, line_no, CASE WHEN length(t) > 100 THEN left(t, 97) || '...' ELSE t END AS preview FROM h WHERE r <= 3 ORDER BY path, line_no LIMIT 50)
+SELECT path, '[C#] `' || {_BASE} || '`' || chr(10) || string_agg('  L' || line_no || ': ' || preview, chr(10) ORDER BY line_no) AS text FROM hits GROUP BY path""")
+def usages_display(spark, d):
+    return render.usage_blocks(search.usages(files(spark, d), "License", ("en", "fr")))
+
+
+@query("WITH " + FILES + " SELECT line_no, 'L' || line_no || ': ' || line AS text FROM file_lines WHERE path = (SELECT path FROM files WHERE stem = 'doc_3') AND line_no BETWEEN 2 AND 6")
+def numbered_lines(spark, d):
+    path = files(spark, d).where("stem = 'doc_3'").first()["path"]
+    return render.numbered_lines(search.line_slice(files(spark, d), path, 1, 5))
+
+
+_ASKED = ['t:Foo m:Bar "x y" http://z', "type:Foo bar", "D:a d:b c", "f: p:w", "plain words", ""]
+
+
+@query("""SELECT * FROM (VALUES
+  ('t:Foo m:Bar "x y" http://z', 'Foo', 'Bar', NULL, NULL, 'x y|http://z', 'Foo Bar x y http://z', 'members,types'),
+  ('type:Foo bar', 'Foo', NULL, NULL, NULL, 'bar', 'Foo bar', 'members,types'),
+  ('D:a d:b c', NULL, NULL, NULL, 'b', 'c', 'b c', 'content,defs,members'),
+  ('f: p:w', NULL, NULL, 'w', NULL, '', 'w', 'members'),
+  ('plain words', NULL, NULL, NULL, NULL, 'plain|words', 'plain words', 'content,defs,members,types'),
+  ('', NULL, NULL, NULL, NULL, '', '', 'defs,types')) AS t(raw, type, method, field, definition, keywords, combined, sections)""")
+def parsed_queries(spark, d):
+    rows = []
+    for raw in _ASKED:
+        q = parse(raw)
+        rows.append((raw, q.type, q.method, q.field, q.definition, "|".join(q.keywords), q.combined(), ",".join(sorted(q.sections()))))
+    return spark.createDataFrame(rows, "raw string, type string, method string, field string, definition string, keywords string, combined string, sections string")
+
+
+@query("WITH " + MEMBERS + f""", keys AS (SELECT DISTINCT unnest(list_concat(list_filter(list_transform({words_sql('member_name')}, lambda w: lower(w)), lambda w: length(w) >= 2), [lower(member_name)])) AS key, * FROM members),
+near AS (SELECT key FROM (SELECT DISTINCT key FROM keys) WHERE starts_with(key, 're') ORDER BY key LIMIT 50),
+top AS (SELECT key FROM (SELECT key, {score_sql('key', chr(39) + 're' + chr(39))} AS s FROM near) WHERE s >= 60 ORDER BY s DESC, key LIMIT 10),
+hit AS (SELECT 're' AS key UNION ALL SELECT key FROM top),
+cnt AS (SELECT type_name, member_name, member_type, path, count(*) AS h FROM keys JOIN hit USING (key) GROUP BY ALL),
+s AS (SELECT type_name, member_name, member_type, path, least({score_sql('member_name', chr(39) + 're' + chr(39))} + least(h - 1, 5) * 10.0, 100.0)::DOUBLE AS score FROM cnt)
+SELECT type_name, member_name, member_type, path, round(score, 6) AS score FROM s ORDER BY s.score DESC, length(member_name), type_name, member_name, member_type, path LIMIT 30""")
+def member_short_keyword(spark, d):
+    return _rounded(search.search_members(index.member_keys(members(spark, d)), ["Re"]))
+
+
+@query("WITH " + TYPES + """, twice AS (SELECT * FROM types UNION ALL SELECT full_name, short_name, base_name, replace(path, 'src/', 'gen/') FROM types)
+SELECT min(full_name) AS full_name, '- `' || min(full_name) || '` (' || string_agg(DISTINCT string_split(path, '/')[-1], ', ') || ')' AS text
+FROM twice WHERE lower(base_name) IN (SELECT lower(short_name) FROM types WHERE path = 'src/7.cs') GROUP BY lower(full_name)""")
+def inheritor_files(spark, d):
+    one = types(spark, d).cache()
+    name = one.where("path = 'src/7.cs'").first()["short_name"]
+    twice = one.unionByName(one.withColumn("path", F.replace("path", F.lit("src/"), F.lit("gen/"))))
+    found = graph.inheritors(twice, name)
+    return render.inheritor_lines(found.withColumn("paths", F.array_distinct(F.transform("paths", render.file_name))))
+
+
+_METHOD = "'public int ' || n || '(string a, int b = 1) { if (a == null) { return 0; } return b; }'"
+
+
+@query(f"""WITH t AS (SELECT p_partkey AS k, 'src/' || p_partkey || '.cs' AS path, replace(p_brand, '#', '') || '.Part_' || p_partkey AS type_name, p_size, {_NAME} AS n FROM part)
+SELECT path, type_name, 'Method' AS kind, n AS name, 7 AS line, {_METHOD} AS source FROM t WHERE p_size % 2 = 0 AND lower(n) = 'redwidget'""")
+def csharp_member_source(spark, d):
+    found = csharp.member_source(csharp.scan_declarations(_code_files(spark, d)), "RedWidget")
+    return found.withColumn("source", F.btrim("source", F.lit(" \n")))
+
+
+@query(f"""WITH t AS (SELECT p_partkey AS k, 'src/' || p_partkey || '.cs' AS path, replace(p_brand, '#', '') || '.Part_' || p_partkey AS type_name, p_size, {_NAME} AS n FROM part WHERE p_partkey = 7)
+SELECT path, type_name, 'Class' AS kind, 5 AS line, '/* class No {{ }} */' || chr(10) || '  public class Part_7 : Part_2, IPart' || chr(10) || '  {{' || chr(10) || '    ' ||
+  CASE WHEN p_size % 2 = 0 THEN {_METHOD} ELSE 'private string ' || n || ' = "class X {{ }}";' END || chr(10) || '  }}' AS source FROM t""")
+def csharp_type_source(spark, d):
+    found = csharp.type_source(csharp.scan_declarations(_code_files(spark, d)), "part_7")
+    return found.withColumn("source", F.btrim("source", F.lit(" \n")))
+
+
+@query("SELECT 'src/' || p_partkey || '.cs' AS path FROM part WHERE p_partkey % 1000 <> 1")
+def csharp_size_guard(spark, d):
+    rows = _code_files(spark, d)
+    large = F.regexp_extract("path", "(\\d+)", 1).cast("long") % 1000 == 1
+    padded = rows.withColumn("content", F.when(large, F.rpad("content", csharp.MAX_BYTES + 1, " ")).otherwise(F.col("content")))
+    return csharp.scan_declarations(padded).select("path").distinct()
+
+
+@query("""SELECT p_partkey AS k, unnest(range(4)) AS place, unnest([p_brand, 'Worker_' || p_partkey, 'Comp_' || p_size, p_type || '.Think']) AS name FROM part""")
+def linked_classes(spark, d):
+    text = F.concat(
+        F.lit("<PartDef><label>no</label><thingClass> "), "p_brand", F.lit(" </thingClass><otherWorker>Worker_"), F.col("p_partkey").cast("string"),
+        F.lit('</otherWorker><li Class="Comp_'), F.col("p_size").cast("string"), F.lit('"/><li Class="comp_'), F.col("p_size").cast("string"),
+        F.lit('"/><ThinkTree>'), "p_type", F.lit(".Think</ThinkTree></PartDef>"),
+    )
+    found = _read(spark, d, "part").select(F.col("p_partkey").alias("k"), xml_defs.linked_classes(text).alias("c"))
+    return found.select("k", F.posexplode("c").alias("place", "name"))
+
+
+_CODE_TYPES = "ctypes AS (SELECT replace(p_brand, '#', '') || '.Part_' || p_partkey AS full_name, 'Part_' || p_partkey AS short_name, 'src/' || p_partkey || '.cs' AS path FROM part)"
+
+
+def _code_types(spark, d):
+    return csharp.types_of(csharp.scan_declarations(_code_files(spark, d)))
+
+
+@query("WITH " + _CODE_TYPES + """, asked AS (SELECT 'PART_' || range AS name FROM range(-3, 12) UNION ALL SELECT full_name FROM ctypes WHERE path IN ('src/5.cs', 'src/50.cs'))
+SELECT name, coalesce((SELECT min(path) FROM ctypes WHERE lower(full_name) = lower(name)), (SELECT min(path) FROM ctypes WHERE lower(short_name) = lower(name)), 'not indexed') AS path FROM asked""")
+def names_to_code(spark, d):
+    types_ = _code_types(spark, d)
+    asked = spark.range(-3, 12).select(F.concat(F.lit("PART_"), F.col("id").cast("string")).alias("name"))
+    asked = asked.unionByName(types_.where("path IN ('src/5.cs', 'src/50.cs')").select(F.col("full_name").alias("name")))
+    return tools.paths_of_names(asked, types_, "not indexed").select("name", "path")
+
+
+@query("""WITH t AS (SELECT p_partkey AS k, list_transform(range(1, p_partkey % 400 + 2), lambda i: i::VARCHAR) AS l FROM part)
+SELECT k, array_to_string(CASE WHEN len(l) > 300 THEN list_concat(l[1:200], ['... ' || (len(l) - 250) || ' lines ...'], l[len(l) - 49:]) ELSE l END, ',') AS lines FROM t""")
+def shortened_lines(spark, d):
+    lines = F.transform(F.sequence(F.lit(1), (F.col("p_partkey") % 400 + 1).cast("int")), lambda i: i.cast("string"))
+    return _read(spark, d, "part").select(F.col("p_partkey").alias("k"), F.array_join(tools.shortened(lines), ",").alias("lines"))
+
+
+_LOCATED = "names AS (SELECT min(name) AS name FROM (SELECT full_name AS name FROM ctypes UNION ALL SELECT short_name FROM ctypes) GROUP BY lower(name))"
+
+
+@query("WITH " + _CODE_TYPES + f""", {_LOCATED}, s AS (SELECT name, {score_sql('name', chr(39) + 'Pa' + chr(39))} AS score FROM names),
+hits AS (SELECT name, s.score FROM s WHERE s.score > 0 ORDER BY s.score DESC, length(name), name LIMIT 20),
+best AS (SELECT lower(short_name) AS k, arg_max(name, (score, length(name), name)) AS f FROM hits JOIN (SELECT DISTINCT full_name, short_name FROM ctypes) ON full_name = name GROUP BY 1),
+merged AS (SELECT coalesce(f, name) AS name, max(score) AS score FROM hits LEFT JOIN best ON k = lower(name) GROUP BY 1),
+shown AS (SELECT name, score, row_number() OVER (ORDER BY score DESC, length(name), name) - 1 AS place FROM merged QUALIFY place < 10)
+SELECT 'types' AS section, place, '- `' || name || '` (' || printf('%.0f', score) || '%) - ' || coalesce((SELECT min(string_split(path, '/')[-1]) FROM ctypes WHERE lower(full_name) = lower(name)), (SELECT min(string_split(path, '/')[-1]) FROM ctypes WHERE lower(short_name) = lower(name))) AS text FROM shown""")
+def locate_display(spark, d):
+    found = csharp.scan_declarations(_code_files(spark, d)).cache()
+    corpus = tools.Corpus(files(spark, d), found, defs(spark, d))
+    return render.locate_lines(tools.locate(corpus, "t:Pa"))
+
+
+@query("""WITH RECURSIVE up(k, depth) AS (SELECT 150, 1 UNION ALL SELECT k // 3, depth + 1 FROM up WHERE k // 3 > 0),
+t AS (SELECT p_partkey AS k, replace(p_brand, '#', '') || '.Part_' || p_partkey AS full_name, 'src/' || p_partkey || '.cs' AS path, p_size, """ + _NAME + """ AS n FROM part)
+SELECT 'chain' AS section, depth AS place, full_name || ' --> Part_' || (up.k // 3) AS text FROM up JOIN t ON t.k = up.k
+UNION ALL SELECT 'outline', 0, 'Class: ' || full_name || ' ' FROM t WHERE k = 150
+UNION ALL SELECT 'outline', 1, CASE WHEN p_size % 2 = 0 THEN '  Method: int ' || n || '(string a, int b)' ELSE '  Field: string ' || n END FROM t WHERE k = 150""")
+def inspect_display(spark, d):
+    found = csharp.scan_declarations(_code_files(spark, d)).cache()
+    corpus = tools.Corpus(files(spark, d), found, defs(spark, d).where("def_name = 'none'"))
+    return tools.inspect_lines(tools.inspect(corpus, "part_150"))

@@ -43,6 +43,11 @@ def scan_files(spark: SparkSession, root: str, suffixes: tuple[str, ...] = ("cs"
     return _shape(raw, root)
 
 
+def one_file(spark: SparkSession, path: str) -> DataFrame:
+    """One file, wherever it lies, in the columns of a scan."""
+    return _shape(spark.read.format("binaryFile").load(path), os.path.dirname(path))
+
+
 def stream_files(spark: SparkSession, root: str, suffixes: tuple[str, ...] = ("cs", "xml")) -> DataFrame:
     """The same as a stream: each file once, when it appears."""
     root = root if "://" in root else os.path.abspath(root)
@@ -71,7 +76,7 @@ def list_folder(spark: SparkSession, path: str, limit: int = 100) -> tuple[DataF
     """``(name)`` of a folder's entries, folders with ``/``, at most ``limit``; and whether there are more."""
     names = []
     with os.scandir(path) as entries:
-        for entry in entries:
+        for entry in entries:  # in no order: a limit shows any
             names.append((entry.name + "/" * entry.is_dir(),))
             if len(names) > limit:
                 break

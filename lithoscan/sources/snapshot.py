@@ -1,4 +1,5 @@
-"""Snapshots of the index relations: one Parquet table each, and a manifest written last."""
+"""Snapshots of the index relations: one Parquet table each, and a manifest of
+their digests, written last and beside the older ones, which stay as they are."""
 
 from __future__ import annotations
 
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VERSION = 1
-MANIFEST = "version int, fingerprint string, folder string, built_at timestamp, relations map<string,bigint>"
+MANIFEST = "version int, fingerprint string, folder string, built_at timestamp, relations map<string,string>"
 
 
 class Rejected(Exception):
@@ -24,22 +25,29 @@ def fingerprint(*roots: list[str]) -> str:
     return hashlib.sha256(repr((VERSION, kinds)).encode()).hexdigest()
 
 
+def digest(rows: DataFrame) -> str:
+    """Number of rows and a hash of their contents, in any order."""
+    each = F.xxhash64(F.to_json(F.struct(*rows.columns))) if rows.columns else F.lit(0)
+    told = rows.select(each.alias("h")).agg(F.count(F.lit(1)), F.bit_xor("h"), F.sum(F.col("h").cast("decimal(20,0)"))).first()
+    return " ".join(map(str, told))
+
+
 def save(spark: SparkSession, relations: dict[str, DataFrame], path: str, mark: str) -> None:
     """Write the relations to a new folder below ``path``, then the manifest that names it."""
     folder = uuid.uuid4().hex
     for name, rows in relations.items():
         rows.write.parquet(f"{path}/{folder}/{name}")
-    counts = {name: spark.read.parquet(f"{path}/{folder}/{name}").count() for name in relations}
-    row = spark.createDataFrame([(VERSION, mark, folder, counts)], "version int, fingerprint string, folder string, relations map<string,bigint>")
-    row.withColumn("built_at", F.current_timestamp()).coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+    told = {name: digest(spark.read.parquet(f"{path}/{folder}/{name}")) for name in relations}
+    row = spark.createDataFrame([(VERSION, mark, folder, told)], "version int, fingerprint string, folder string, relations map<string,string>")
+    row.withColumn("built_at", F.current_timestamp()).coalesce(1).write.mode("append").json(f"{path}/manifest")
 
 
 def load(spark: SparkSession, path: str, mark: str) -> dict[str, DataFrame]:
     """The relations of the last snapshot; :class:`Rejected` with the reason where
     there is none, it has another version or fingerprint, or a table is
-    missing or has another number of rows."""
+    missing or holds other rows."""
     try:
-        manifest = spark.read.schema(MANIFEST).json(f"{path}/manifest").first()
+        manifest = spark.read.schema(MANIFEST).json(f"{path}/manifest").orderBy(F.col("built_at").desc(), "folder").first()
     except AnalysisException as error:
         raise Rejected("manifest missing") from error
     if manifest is None or manifest.relations is None:
@@ -54,6 +62,9 @@ def load(spark: SparkSession, path: str, mark: str) -> dict[str, DataFrame]:
             found[name] = spark.read.parquet(f"{path}/{manifest.folder}/{name}")
         except AnalysisException as error:
             raise Rejected(f"table missing: {name}") from error
-        if found[name].count() != rows:
+        now = digest(found[name])
+        if now.split(" ")[0] != rows.split(" ")[0]:
             raise Rejected(f"row count mismatch: {name}")
+        if now != rows:
+            raise Rejected(f"digest mismatch: {name}")
     return found

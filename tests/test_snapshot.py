@@ -21,6 +21,9 @@ def test_snapshot(spark, tmp_path):
     spark.range(4).write.mode("overwrite").parquet(got["types"].inputFiles()[0].rpartition("/")[0])
     with pytest.raises(snapshot.Rejected, match="row count mismatch: types"):
         snapshot.load(spark, path, mark)
+    spark.range(1, 4).write.mode("overwrite").parquet(got["types"].inputFiles()[0].rpartition("/")[0])
+    with pytest.raises(snapshot.Rejected, match="digest mismatch: types"):
+        snapshot.load(spark, path, mark)
     for p in (tmp_path / "s").glob("*/types"):
         shutil.rmtree(p)
     with pytest.raises(snapshot.Rejected, match="table missing: types"):

@@ -2,6 +2,7 @@ import pytest
 
 from lithoscan.operators import csharp, xml_defs
 from lithoscan.plans import tools
+from lithoscan.plans.requests import request
 
 from .test_sources import CODE, DEFS
 
@@ -45,6 +46,29 @@ def test_read(corpus):
             tools.read_code(corpus, **bad)
 
 
+def test_requests_by_name(corpus, tmp_path):
+    ask = lambda called, **given: [r.text for r in request(corpus, called, **given).collect()]
+    assert "- `Game.Core.Belt` (100%) - Belt.cs" in ask("locate", query="Game.Core.Belt")
+    assert "- `Apparel` (Belt.cs)" in ask("inspect", name="belt") and "Wear" not in ask("inspect", name="belt")
+    assert any("L" in t and "[XML] `Belts.xml`" in t for t in ask("trace", symbol="Apparel", mode="usages"))
+    assert ask("read_code", path="/s/belt.cs", startLine=1, lineCount=1) == ["L2: namespace Game.Core"]
+    assert ask("search_regex", pattern="mass", fileFilter=".CS") == ["`Belt.cs`\n  L12: [Pure] public float Mass { get; set; } = 2f;"]
+    bad = [("locate", {}), ("locate", {"query": ""}), ("search_regex", {"pattern": ""}), ("read_code", {"path": "belt", "lineCount": 0})]
+    bad += [("list_directory", {"path": "/", "limit": "x"}), ("trace", {"symbol": "x"})]
+    for name, given in bad:
+        with pytest.raises(ValueError):
+            request(corpus, name, **given)
+    with pytest.raises(LookupError):
+        request(corpus, "none")
+    with pytest.raises(PermissionError):
+        request(corpus, "list_directory", path=str(tmp_path))
+    (tmp_path / "Other.cs").write_text("class Other {\n}\n")
+    open_corpus = tools.Corpus(corpus.files, corpus.found, corpus.defs, (str(tmp_path),))
+    assert [r.text for r in request(open_corpus, "list_directory", path=str(tmp_path)).collect()] == ["Other.cs"]
+    rows = request(open_corpus, "read_code", path=str(tmp_path / "Other.cs"), extractClass="Other").collect()
+    assert rows[0].text.startswith("class Other {")
+
+
 def test_shortened(spark):
     rows = spark.range(1).selectExpr("sequence(1, 301) AS a", "sequence(1, 300) AS b")
     long, short = rows.select(*[tools.shortened(rows[c].cast("array<string>")) for c in "ab"]).first()
