@@ -17,10 +17,10 @@ members; two linked sets differ in few members, so most of their parts are
 equal.  A set's parts are ordered by size, the fullest first: of those, as many
 as members can differ, and one more, cannot all be missed by a linked set.
 Equal parts of several members hardly occur by chance, however many documents
-there are.  Nodes of different components that share a part are compared: in
-short lists all with all; in long ones first all with the few best linked
-nodes, as long as that finds links, and then all that still lie in different
-components, in tiles of bounded size.
+there are.  The nodes that share a part are compared inside tasks, in tiles of
+bounded size, by small parity sketches, which rule out no linked pair; only pairs
+of different components that pass are confirmed.  In very long lists all nodes are
+first compared with the few best linked ones, as long as that finds links.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_or_lowest, materialize, null_id, prepare, text_or_empty
@@ -42,12 +42,13 @@ from .shingles import mixed, overlap, shingle_sets
 #: Trees, hashes from one tree's start to the next, hashes that a crowded region
 #: is ordered by, hashes that candidates share, and places looked ahead.
 TREES, STEP, DEPTH, MIN_PREFIX, NEIGHBOURS = 20, 6, 12, 3, 3
-#: Nodes of one part from which its list is long, the best linked ones that the
-#: others are compared with, and the side of a tile.
-LONG, CENTRES, TILE = 64, 4, 256
-#: Bits of the table, the same at any size, that tells which parts may be shared.
-#: A full table rules out less, and more rows are shuffled; none is lost.
-SHARED_BITS = 1 << 26
+#: Nodes of one part from which all are first compared with a few of them, the best
+#: linked ones; a tile's side; pairs of one node that are confirmed in one group.
+CROWD, CENTRES, TILE, GROUP = 2048, 4, 1024, 256
+#: Bits of the tables, the same at any size, that tell which parts may be shared
+#: and which nodes' texts may be wanted.  A full table rules out less, and more
+#: rows are shuffled; none is lost.
+SHARED_BITS, WANTED_BITS = 1 << 26, 1 << 24
 
 
 @cache
@@ -79,23 +80,21 @@ def parities(values: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def differing(a: bytes, b: bytes) -> int:
-    """A lower bound of the number of members that only one of two sets has."""
-    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
+def differing(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Lower bounds of the numbers of members that only one of two sets has."""
+    width = min(len(one), others.shape[1])
+    one, others = (x.reshape(-1, x.shape[-1] // width, width) for x in (one[None], others))
+    return np.bitwise_count(np.bitwise_xor.reduce(one, axis=1) ^ np.bitwise_xor.reduce(others, axis=1)).sum(axis=1, dtype=np.int64)
 
 
 def _sign(width: int, hashes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, prints, signatures, bits = [], [], [], []
+            sizes, prints, signatures = [], [], []
             for values in shingle_sets(batch.column("_text").to_pylist(), width):
                 sizes.append(len(values))
                 prints.append(hashlib.blake2b(values.tobytes(), digest_size=16).digest())
                 signatures.append(min_hashes(values, hashes).tobytes() if len(values) else b"")
-                bits.append(parities(values))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("_id"),
@@ -103,9 +102,8 @@ def _sign(width: int, hashes: int):
                     pa.array(sizes, pa.int64()),
                     pa.array(prints, pa.binary()),
                     pa.array(signatures, pa.binary()),
-                    pa.array(bits, pa.binary()),
                 ],
-                names=["_id", "_th", "_n", "_print", "_sig", "_bits"],
+                names=["_id", "_th", "_n", "_print", "_sig"],
             )
 
     return run
@@ -205,14 +203,43 @@ def _confirm(width: int, share: int):
     return run
 
 
+def _bit_table(bit: Column, rows: DataFrame, size: int) -> np.ndarray:
+    """Sets the bits of all rows; ``size`` bits come to the driver at most."""
+    bit = bit + 1  # pages of 2^15 bits are counted from 1
+    pages = rows.groupBy(F.bitmap_bucket_number(bit).alias("page"))
+    bits = np.zeros(size // 8, np.uint8)
+    for page in pages.agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect():
+        bits[(page["page"] - 1) << 12 : page["page"] << 12] = np.frombuffer(page["bits"], np.uint8)
+    return bits
+
+
+def _is_set(bits: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    return (bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _wanted(table):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node = batch.column("node").to_numpy()
+            bit = ((node >> 33) * 40503 + (node & ((1 << 33) - 1))) & (WANTED_BITS - 1)
+            yield batch.filter(pa.array(_is_set(table.value, bit)))
+
+    return run
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, share: int) -> DataFrame:
     """The pairs whose full shingle sets are similar enough.  The text of ``a``
     comes first in its group, then its few partners; many are dealt over
-    several groups."""
-    groups = pairs.groupBy("a").agg(F.floor(F.count(F.lit(1)) / TILE + 1).alias("_groups"))
+    several groups.  Only texts of nodes that may be in a pair are shuffled."""
+    groups = pairs.groupBy("a").agg(F.floor(F.count(F.lit(1)) / GROUP + 1).alias("_groups"))
     pairs = pairs.join(groups, "a").select("a", F.pmod(F.xxhash64("b"), "_groups").alias("_g"), "b")
     stars = pairs.unionByName(pairs.select("a", "_g", F.col("a").alias("b")).distinct())
-    told = stars.join(texts.withColumnRenamed("node", "b"), "b").select("a", "_g", "b", "_text")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    low = F.col("node").bitwiseAND(F.lit((1 << 33) - 1))
+    bit = (F.shiftright("node", 33) * 40503 + low).bitwiseAND(F.lit(WANTED_BITS - 1))
+    table = texts.sparkSession.sparkContext.broadcast(_bit_table(bit, nodes, WANTED_BITS))
+    own = texts.mapInArrow(_wanted(table), "node long, _text string").withColumnRenamed("node", "b")
+    told = stars.join(own, "b").select("a", "_g", "b", "_text")
     dealt = told.repartition("a", "_g").sortWithinPartitions("a", "_g", "b")  # a < b: the centre sorts first
     return dealt.mapInArrow(_confirm(width, share), "a long, b long")
 
@@ -274,8 +301,8 @@ def _parts(width: int, share: int):
                 found = [part_tokens(values, share).view(np.int64) for values in sets]
                 ends = np.cumsum([0, *map(len, found)])
                 tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *found])))
-                sizes = pa.array([len(v) for v in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("node"), sizes, tokens], names=["node", "n", "tokens"])
+                sizes, bits = pa.array([len(v) for v in sets], pa.int64()), pa.array(map(parities, sets), pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("node"), sizes, bits, tokens], names=["node", "n", "bits", "tokens"])
 
     return run
 
@@ -290,90 +317,101 @@ def _maybe_shared(table):
             flat = tokens.flatten().to_numpy()
             row = np.repeat(np.arange(batch.num_rows), np.diff(tokens.offsets.to_numpy()))
             bit = flat & (SHARED_BITS - 1)
-            good = np.flatnonzero(bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
+            good = np.flatnonzero(_is_set(bits, bit))
             at = pa.array(row[good])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(flat[good]), batch.column("node").take(at), batch.column("n").take(at)], names=["token", "node", "n"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(flat[good]), batch.column("node").take(at)], names=["token", "node"])
 
     return run
 
 
-def shared_parts(texts: DataFrame, width: int, share: int) -> DataFrame:
-    """``(token, node, n)`` of parts that several nodes have, and a few more.
+def shared_parts(told: DataFrame) -> DataFrame:
+    """``told (node, tokens)`` to ``(token, node)`` of parts that several nodes
+    have, and a few more.
 
     Tokens are counted with partial aggregation; a table of ``SHARED_BITS`` bits
     tells tasks which rows to pass on, so those of parts that one node has are
     shuffled once, as a count."""
-    spark = texts.sparkSession
-    told = materialize(texts.select("node", "_text").mapInArrow(_parts(width, share), "node long, n long, tokens array<long>"), "part_tokens")
     counts = told.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("k"))
-    bit = F.col("token").bitwiseAND(F.lit(SHARED_BITS - 1)) + 1  # pages of 2^15 bits are counted from 1
-    pages = counts.where("k > 1").groupBy(F.bitmap_bucket_number(bit).alias("page"))
-    pages = pages.agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()  # SHARED_BITS at most
-    bits = np.zeros(SHARED_BITS // 8, np.uint8)
-    for page in pages:
-        bits[(page["page"] - 1) << 12 : page["page"] << 12] = np.frombuffer(page["bits"], np.uint8)
-    rows = told.mapInArrow(_maybe_shared(spark.sparkContext.broadcast(bits)), "token long, node long, n long")
+    bits = _bit_table(F.col("token").bitwiseAND(F.lit(SHARED_BITS - 1)), counts.where("k > 1"), SHARED_BITS)
+    rows = told.select("node", "tokens").mapInArrow(_maybe_shared(told.sparkSession.sparkContext.broadcast(bits)), "token long, node long")
     return materialize(rows, "shared_parts")
 
 
-def _paired(left: DataFrame, right: DataFrame, on: list[str], share: int, *more) -> DataFrame:
-    """Pairs of different components whose sizes allow a link."""
-    x, y = left.alias("x"), right.alias("y")
-    able = F.lit(100) * F.expr("least(x.n, y.n)") >= F.lit(share) * F.expr("greatest(x.n, y.n)")
-    met = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in on]
-    met += [F.expr("x.root != y.root"), able, *more]
-    joined = x.join(y, met)
-    return joined.select(F.expr("least(x.node, y.node)").alias("a"), F.expr("greatest(x.node, y.node)").alias("b")).distinct()
+def _compare(share: int):
+    """Rows sorted by tile to the pairs of different components, and of a tile of
+    two blocks of different blocks, that sizes and sketches do not rule out."""
+
+    def found(tile: list[tuple]) -> Iterator[tuple[int, int]]:
+        node, root, size, block = (np.array([r[i] for r in tile]) for i in range(4))
+        width = min(len(r[4]) for r in tile)
+        # The widest sketches are folded until all are as long as the shortest.
+        bits = np.stack([np.bitwise_xor.reduce(np.frombuffer(r[4], np.uint8).reshape(-1, width)) for r in tile])
+        bits = bits.view(np.uint64)
+        names, group, count = np.unique(root, return_inverse=True, return_counts=True)
+        one, largest = len(np.unique(block)) == 1, count.argmax()
+        # Each pair once: the largest component's nodes are met by all others.
+        order = np.argsort(group == largest, kind="stable")
+        node, group, size, block, bits = (x[order] for x in (node, group, size, block, bits))
+        for i in range(len(node) - count[largest]):
+            rest = slice(i + 1, None)
+            able = (group[rest] != group[i]) & (100 * np.minimum(size[rest], size[i]) >= share * np.maximum(size[rest], size[i]))
+            if not one:
+                able &= block[rest] != block[i]
+            at = np.flatnonzero(able) + i + 1
+            if len(at):
+                apart = differing(bits[i], bits[at])
+                for j in at[(100 + share) * apart <= (100 - share) * (size[i] + size[at])].tolist():
+                    yield (int(node[i]), int(node[j])) if node[i] < node[j] else (int(node[j]), int(node[i]))
 
-
-def _close(share: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(pairs: set) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+        key, tile, pairs = None, [], set()
         for batch in batches:
-            sizes = zip(batch.column("_na").to_pylist(), batch.column("_nb").to_pylist(), strict=True)
-            bits = zip(batch.column("_ba").to_pylist(), batch.column("_bb").to_pylist(), strict=True)
-            good = [(100 + share) * differing(*b) <= (100 - share) * sum(n) for n, b in zip(sizes, bits, strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            cols = [batch.column(c).to_pylist() for c in ("token", "_t", "_u", "node", "root", "n", "_block", "bits")]
+            for token, t, u, *row in zip(*cols, strict=True):
+                if (token, t, u) != key:
+                    pairs.update(found(tile) if len(tile) > 1 else ())
+                    key, tile = (token, t, u), []
+                    if len(pairs) > 100_000:
+                        yield out(pairs)
+                        pairs = set()
+                tile.append(row)
+        pairs.update(found(tile) if len(tile) > 1 else ())
+        yield out(pairs)
 
     return run
 
 
-def plausible(pairs: DataFrame, nodes: DataFrame, share: int) -> DataFrame:
-    """The pairs whose parities do not rule them out: no linked pair is lost,
-    and texts are only sent for the others."""
-    for end in ("a", "b"):
-        facts = nodes.select(F.col("node").alias(end), F.col("_n").alias(f"_n{end}"), F.col("_bits").alias(f"_b{end}"))
-        pairs = pairs.join(facts, end)
-    return pairs.select("a", "b", "_na", "_nb", "_ba", "_bb").mapInArrow(_close(share), "a long, b long")
+def _compared(tiles: DataFrame, share: int) -> DataFrame:
+    """``tiles (token, _t, _u, node, root, n, _block, bits)`` to distinct pairs."""
+    dealt = tiles.repartition("token", "_t", "_u").sortWithinPartitions("token", "_t", "_u")
+    return dealt.mapInArrow(_compare(share), "a long, b long").distinct()
 
 
 def exact_rest(
-    nodes: DataFrame,
-    texts: DataFrame,
-    roots: DataFrame,
-    links: DataFrame,
-    tried: DataFrame,
-    width: int,
-    share: int,
-    long: int,
+    texts: DataFrame, roots: DataFrame, links: DataFrame, tried: DataFrame, width: int, share: int, crowd: int, side: int
 ) -> DataFrame:
     """``roots (node, root)`` with all links that join different components.
     Pairs that were ``tried`` and still lie apart are not linked."""
-    shared = shared_parts(texts, width, share)
+    kind = "node long, n long, bits binary, tokens array<long>"
+    told = materialize(texts.select("node", "_text").mapInArrow(_parts(width, share), kind), "part_tokens")
+    shared = shared_parts(told)
 
     def crossing(held: DataFrame) -> DataFrame:
-        placed = held.select("token", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        placed = held.select("token", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         spans = placed.groupBy("token").agg(
             F.min("root").alias("_low"), F.max("root").alias("_high"), F.count(F.lit(1)).alias("k")
         )
-        spans = spans.where("_low < _high").select("token", "k")
+        # Written first, so that Spark can split the join of a part that very many have.
+        spans = materialize(spans.where("_low < _high").select("token", "k"), "spans")
         return materialize(placed.join(spans, "token"), "crossing")
 
-    def link(pairs: DataFrame) -> bool:
+    def link(tiles: DataFrame) -> bool:
         nonlocal roots, links, tried
-        pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = materialize(plausible(pairs, nodes, share), "exact_pairs")
+        pairs = _compared(tiles.join(told.select("node", "n", "bits"), "node"), share)
+        pairs = materialize(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "exact_pairs")
         if pairs.isEmpty():
             return False
         more = materialize(confirmed(pairs, texts, width, share), "links")
@@ -386,26 +424,22 @@ def exact_rest(
         return True
 
     rows = crossing(shared)
-    short, rest = rows.where(F.col("k") <= long), rows.where(F.col("k") > long)
-    if link(_paired(short, short, ["token"], share, F.expr("x.node < y.node"))) and not rest.isEmpty():
-        rest = crossing(rest)
-    while not rest.isEmpty():
+    zero, last = F.lit(0).cast("long"), F.floor((F.col("k") - 1) / side)
+    while not (long := rows.where(F.col("k") > crowd)).isEmpty():
         ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("_degree"))
         best = F.row_number().over(Window.partitionBy("token").orderBy(F.coalesce("_degree", F.lit(0)).desc(), "node"))
-        centres = rest.join(ends, "node", "left").withColumn("_r", best).where(F.col("_r") <= CENTRES)
-        if link(_paired(centres, rest, ["token"], share)):
-            rest = crossing(rest)
-            continue
-        block = F.pmod(F.xxhash64("node"), F.floor((F.col("k") - 1) / TILE) + 1)
-        blocks = rest.withColumn("_block", block)
-        other = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("k") - 1) / TILE)))
-        tiles = blocks.withColumn("_other", other).withColumns(
-            {"_t": F.least("_block", "_other"), "_u": F.greatest("_block", "_other")}
-        )
-        # Of a tile of two blocks only the pairs across: the others have their own tile.
-        across = F.expr("x.node < y.node AND (x._t = x._u OR x._block != y._block)")
-        link(_paired(tiles, tiles, ["token", "_t", "_u"], share, across))
-        break
+        centres = long.join(ends, "node", "left").withColumn("_r", best).where(F.col("_r") <= CENTRES)
+        # Tiles of the centres as one block and the others in as many as they fill.
+        block = F.pmod(F.xxhash64("node"), last + 1) + 1
+        centre = centres.select("token", "node", "root", F.explode(F.sequence(F.lit(1).cast("long"), last + 1)).alias("_u"), zero.alias("_block"))
+        own = long.select("token", "node", "root", block.alias("_u"), block.alias("_block"))
+        if not link(centre.unionByName(own).withColumn("_t", zero)):
+            break
+        rows = crossing(rows)
+    blocks = rows.withColumn("_block", F.pmod(F.xxhash64("node"), last + 1))
+    tiles = blocks.withColumn("_other", F.explode(F.sequence(zero, last)))
+    tiles = tiles.withColumns({"_t": F.least("_block", "_other"), "_u": F.greatest("_block", "_other")})
+    link(tiles.select("token", "node", "root", "_t", "_u", "_block"))
     return roots
 
 
@@ -420,7 +454,8 @@ def near_groups(
     depth: int = DEPTH,
     min_prefix: int = MIN_PREFIX,
     reach: int = NEIGHBOURS,
-    long: int = LONG,
+    crowd: int = CROWD,
+    side: int = TILE,
 ) -> DataFrame:
     """``(id, n_shingles, component_id, kept)`` of every row.
 
@@ -439,11 +474,10 @@ def near_groups(
     prepare(spark)
     text = text_or_empty(text_col)
     rows = df.select(id_or_lowest(id_col).alias("_id"), F.xxhash64(text).alias("_th"), text.alias("_text"))
-    kind = "_id long, _th long, _n long, _print binary, _sig binary, _bits binary"
+    kind = "_id long, _th long, _n long, _print binary, _sig binary"
     signed = materialize(rows.mapInArrow(_sign(width, trees * step), kind), "signatures")
-    same = [F.first(c).alias(c) for c in ("_sig", "_n", "_bits")]
-    nodes = signed.where("_n > 0").groupBy("_print").agg(F.min(F.struct("_id", "_th")).alias("_r"), *same)
-    nodes = nodes.select("_print", F.col("_r._id").alias("_rep"), F.col("_r._th").alias("_th"), "_sig", "_n", "_bits")
+    nodes = signed.where("_n > 0").groupBy("_print").agg(F.min(F.struct("_id", "_th")).alias("_r"), F.first("_sig").alias("_sig"))
+    nodes = nodes.select("_print", F.col("_r._id").alias("_rep"), F.col("_r._th").alias("_th"), "_sig")
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     pairs = materialize(forest_candidates(nodes, trees, step, depth, min_prefix, reach), "pairs")
 
@@ -470,7 +504,7 @@ def near_groups(
         # The components so far are stars already: only what joins them is left to contract.
         stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
         roots = connected_components(stars.unionByName(more))
-    roots = exact_rest(nodes, texts, roots, links.unionByName(more), pairs, width, share, long)
+    roots = exact_rest(texts, roots, links.unionByName(more), pairs, width, share, crowd, side)
 
     placed = nodes.join(roots, "node", "left").select("_print", "_rep", F.coalesce("root", "node").alias("root"))
     placed = materialize(placed, "placed")

@@ -8,8 +8,9 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from lithoscan.llm.brown_lm import exchange_clusters, score_brown, train_brown
-from lithoscan.llm.near_dedup import drop_near_copies, near_groups
+from lithoscan.llm.brown_lm import exchange_clusters, exchange_sides, score_brown, train_brown
+from lithoscan.llm.components import connected_components
+from lithoscan.llm.near_dedup import drop_near_copies, near_groups, part_tokens
 from lithoscan.llm.toxicity import drop_toxic, score_toxicity, train_toxicity
 
 from .data import SCHEMA, clashing, empty, frame, rows, sentence
@@ -63,7 +64,7 @@ def test_near_groups_against_brute_force(spark, width):
     assert Counter(map(tuple, got)) == components(data, width)
 
 
-@pytest.mark.parametrize("copies, options", [(100, {}), (3000, {}), (300, {"trees": 1, "reach": 1, "long": 8})])
+@pytest.mark.parametrize("copies, options", [(2000, {}), (100, {"trees": 1, "reach": 1, "crowd": 16, "side": 8})])
 def test_near_copies_that_only_the_original_links(spark, copies, options):
     rng = random.Random(11)
     own = [f"w{i}" for i in range(300)]
@@ -90,9 +91,57 @@ def test_near_groups_without_the_forest(spark):
                 text[rng.randrange(len(text))] = f"new{rng.randrange(9)}"
             data.append((100 * base + copy, " ".join(text)))
     df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
-    for long in (1, 64):  # no list of a shingle is short, or all are
-        got = near_groups(df, width=2, trees=1, depth=6, min_prefix=6, long=long).collect()
-        assert Counter(map(tuple, got)) == components(data, 2)
+    # Lists of a part fill many tiles, some are crowds: the exact part finds all links.
+    got = near_groups(df, width=2, trees=1, depth=6, min_prefix=6, crowd=6, side=4).collect()
+    assert Counter(map(tuple, got)) == components(data, 2)
+
+
+@pytest.mark.parametrize("share", [80, 90, 60])
+def test_linked_sets_share_a_part(share):
+    rng, linked = np.random.default_rng(share), 0
+    for i in range(6000):
+        n = int(rng.integers(1, 60 if i % 2 else 900))
+        pool = rng.integers(0, 2**63, 3 * n, dtype=np.uint64)
+        few = max(1, (100 - share) * n // share)
+        a = np.unique(pool[:n])
+        b = np.unique(np.r_[a[int(rng.integers(0, few + 1)) :], pool[n : n + int(rng.integers(0, few + 1))]])
+        both, all_ = len(np.intersect1d(a, b)), len(np.union1d(a, b))
+        if 100 * both >= share * all_ and both != all_:
+            linked += 1
+            assert len(np.intersect1d(part_tokens(a, share), part_tokens(b, share)))
+    assert linked > 1000
+
+
+def test_recall_in_a_crowded_region(spark):
+    """Unlinked documents that share most words, each with one linked partner."""
+    rng, data = random.Random(1), []
+    base = [f"w{i}" for i in range(300)]
+    for i in range(150):
+        text = list(base)
+        for k in range(50):
+            text.insert(rng.randrange(len(text)), f"own{i}x{k}")
+        data.append((2 * i, " ".join(text)))
+        for k in rng.sample(range(len(text)), 30):
+            text[k] = f"new{i}x{k}"
+        data.append((2 * i + 1, " ".join(text)))
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    got = near_groups(df, width=1).collect()
+    assert Counter(map(tuple, got)) == components(data, 1)
+    assert len({r.component_id for r in got}) == 150
+
+
+def test_components_of_many_tasks(spark):
+    rng = random.Random(4)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(140)] + [(1000 + i, 1001 + i) for i in range(60)]
+    df = spark.createDataFrame(links, "a long, b long")
+    root = {x: x for pair in links for x in pair if pair[0] != pair[1]}
+    for _ in root:
+        for a, b in links:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    for task_edges in (7, 10_000):
+        got = connected_components(df, task_edges).collect()
+        assert {r.node: r.root for r in got} == root and len(got) == len(root)
 
 
 def test_drop_near_copies_and_empty_tables(spark):
@@ -137,22 +186,49 @@ def test_language_model(spark):
         counts["</end>"] += 1
     n, v = sum(counts.values()), len(counts)
     df = frame(spark)
-    small = {"unit_words": 20, "endings": 8, "classes": 5, "lookup_words": 40}
+    small = {"cluster_words": 10, "history_words": 20, "lookup_words": 40, "classes": 5}
     model = train_brown(clashing(df).where("doc_id IS NULL OR doc_id % 5 != 0"), **small)
     assert (model.tokens, model.distinct) == (n, v)
-    got = score_brown(clashing(df, "word"), model).collect()
+    kind = {w: model.member[i + 1] for i, w in enumerate(model.lookup)}
+    rest = {bytes(r["word"]): (r["class"], r["n"]) for r in model.assigned.collect()}
+    coded = {w.encode(): k for w, k in counts.items() if w != "</end>"}
+    assert {w: k for w, (_, k) in rest.items()} == {w: k for w, k in coded.items() if w not in model.lookup[:20]}
+    assert all(kind[w] == rest[w][0] for w in model.lookup[20:])  # every counted word has one class, and none the end's
+    kind |= {w: c for w, (c, _) in rest.items()}
+    assert set(kind) == set(coded) and 0 < min(kind.values()) <= max(kind.values()) < 5 and len(set(kind.values())) > 2
+    rare, states = 5, {w: kind[w] for w in model.lookup[:20]}
+    moves = np.zeros((6, 5))
+    for _, t in train:
+        own = [w.encode() for w in words(t)]
+        before = [0, *(states.get(w, rare) for w in own)]
+        for s, c in zip(before, [*(kind[w] for w in own), 0]):
+            moves[s, c] += 1
+    assert (moves == model.moves).all()
+    size = Counter({0: counts["</end>"] + 1})
+    for w, k in coded.items():
+        size[kind[w]] += k + 1
+    size[model.unseen] += 1
+    log_move = model.log_move
+    assert np.allclose((10.0**log_move).sum(1), 1)  # all that can follow a state
+
+    def scored(t):
+        own, s, total = [w.encode() for w in words(t)], 0, 0.0
+        for w in own:
+            c = kind.get(w, model.unseen)
+            total += log_move[s, c] + math.log10((coded.get(w, 0) + 1) / size[c])
+            s = states.get(w, rare)
+        return total + log_move[s, 0] + math.log10((counts["</end>"] + 1) / size[0])
+
+    got = score_brown(clashing(df, "word", "state", "_row"), model).collect()
     want = Counter()
     for d, t, *_ in data:
         own = [*words(t), "</end>"]
         base = sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in own)
-        want[d, len(own), sum(counts[w] > 0 for w in own), n, round(base, 5)] += 1
-    assert Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in got) == want
-    assert all(r.score < 0 for r in got)
-    # all that can follow a class sums to one
-    assert np.allclose((10.0**model.log_move).sum(1), 1)
-    assert np.allclose(np.bincount(model.member, 10.0**model.log_unit), 1)
+        want[d, len(own), sum(counts[w] > 0 for w in own), n, round(base, 5), round(scored(t), 5)] += 1
+    assert Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 5)) for r in got) == want
     assert score_brown(empty(spark), model).count() == 0
-    assert train_brown(empty(spark), **small).tokens == 0
+    none = train_brown(empty(spark), **small)
+    assert none.tokens == 0 and all(r.score < 0 for r in score_brown(df, none).collect())
 
 
 def test_exchange_raises_the_likelihood():
@@ -166,6 +242,13 @@ def test_exchange_raises_the_likelihood():
         both = np.outer(table.sum(1), table.sum(0))
         return (table * np.log(np.where(table > 0, table, 1) / both)).sum()
 
+    fixed = exchange_clusters(pairs, 4, 3, {0: 0, 29: 3})
+    assert (fixed[1:29] != 0).all() and (fixed[:29] != 3).all() and fixed[29] == 3
+    # By their counts beside known words, the others find the classes that made them.
+    order = np.append(0, 1 + np.argsort(kind[1:], kind="stable"))[np.r_[0, 1:29:3, 2:29:3, 3:30:3]]
+    sides = np.concatenate([np.stack([pairs[:, kind == k].sum(1) for k in range(3)], 1) + 0.0, np.stack([pairs[kind == k].sum(0) for k in range(3)], 1)], 1)
+    found = exchange_sides(sides[order], 1 + kind[order], 15, 4, 5)
+    assert (found[15:] == 1 + kind[order][15:]).mean() > 0.9
     steps = [likelihood(exchange_clusters(pairs, 4, n)) for n in (0, 1, 2, 10)]
     assert all(x <= y + 1e-9 for x, y in zip(steps, steps[1:])) and steps[-1] > steps[0] + 50
 
