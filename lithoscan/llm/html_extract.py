@@ -1,85 +1,128 @@
 """Main-text extraction by equivalence-class template deduction.
 
 A page is a sequence of tokens: structural tags, told apart by their path, and
-site text outside the article.  Tokens of a host's pages with the same
-occurrence vector (how often on which page) form an equivalence class.
-Classes that occur on enough of the host's pages are valid; nested by path
-they make the host's template.  What lies between template tokens are slots;
-the slots inside the article (or, without one, those outside menus and the
-like) are the page's text.
+blocks of text, told apart by path and words; menus and articles are no
+exception.  Tokens of a host's pages with the same occurrence vector (how often
+on which page) form an equivalence class.  Classes that occur on enough of the
+host's pages are valid; nested by path they make the host's template.  Text
+tokens of the template are site text, unless they stand in an article.  What
+lies between template tags are slots, and the template's tags say what a slot
+holds: a menu, a notice or content.  A page's text is what stands in content
+slots.
 
 Vectors are never held: a class is known by its support and by the sum of
 hashes of (page, count), which partial aggregation computes for hosts of any
-size.  A template has no more tokens than two average pages.
+size.  Equal pages count once.  Hosts of few pages share one template, that of
+all of them together; if there are too few pages for that too, names of tags
+and classes decide on each page.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_hexdigest
 
 from .common import materialize, prepare, text_or_empty
 
 # Element names of HTML by what they mean for text.
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong "
-    "sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rt rp s samp small span strike "
+    "strong sub sup time tt u var wbr math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|svg|iframe|object|textarea|select|canvas|math"
-DROPPED = frozenset("head title nav footer aside form button dialog menu fieldset figure-ad".split())
-MAIN = frozenset(("article", "main"))
+RAW = "script|style|noscript|template|svg|iframe|object|textarea|select|canvas"
+#: Elements that are no part of an article wherever they stand, by name or role.
+ASIDE = frozenset("head title nav footer aside form button dialog menu fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu form".split())
+MAIN = frozenset(("article", "main"))
 CLOSES = {  # an opening tag that ends an open element of these names
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
     "th": ("td", "th"), "option": ("option",), "body": ("head",),
 }
-NAMES = (
-    r"ads?|advert\w*|sponsor\w*|promo\w*|banners?|nav\w*|menus?|sidebars?|footers?|comments?|replies|reply|cookies?|"
-    r"notices?|consent|newsletter|subscribe|share|sharing|social|related|breadcrumbs?|popup|modal|toolbar|pager|pagination"
+# Words that name a slot beside the article; a class or id that
+# consists of them, and of words that only say where or how, is such a name.
+NAMES = frozenset(
+    "ad ads adbox advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation "
+    "menu sidebar footer comment comments respond reply replies disqus cookie cookies notice consent gdpr newsletter "
+    "subscribe subscription share sharing social related breadcrumb breadcrumbs popup modal toolbar pager pagination".split()
 )
+PLACES = frozenset("site page main top bottom left right box bar wrap wrapper container list area block section widget item links".split())
+#: Elements that class names are looked up for.
+BOXES = frozenset("div section ul ol dl table details center".split())
 
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"""|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:"[^"]*"|'[^']*'|[^'">])*)(?:>|\Z)""",
     re.S | re.I,
 )
-_ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_BOILER = re.compile(rf"(?:^|[\s_-])(?:{NAMES})(?:$|[\s_-])", re.I)
+_ATTR = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_PARTS = re.compile(r"[\s_-]+|(?<=[a-z])(?=[A-Z])")
 _HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
+#: Share of characters in links from which a slot outside an article is a menu.
+LINKED = 0.8
 
-class Element:
-    __slots__ = ("boiler", "main", "name", "path")
 
-    def __init__(self, name: str, path: str, boiler: bool, main: bool):
-        self.name, self.path, self.boiler, self.main = name, path, boiler, main
+def names_a_box(name: str) -> bool:
+    """Whether a class or an id says that a box is no part of the article."""
+    parts = {p.lower() for p in _PARTS.split(name) if p}
+    return bool(parts & NAMES) and parts <= NAMES | PLACES
 
 
-def walk(page: str) -> Iterator[tuple[str, Element, str]]:
-    """``("open", element, "")`` for structural tags, ``("text", element, run)``
-    for blocks of text (references decoded, white space as blanks)."""
-    stack, run = [Element("", "", False, False)], []
+class Element:
+    """``aside``: it or one above is no part of an article by tag or role;
+    ``named``: by class or id; ``main``: it or one above is an article."""
+
+    __slots__ = ("above", "aside", "main", "name", "named", "own", "path")
+
+    def __init__(self, name: str = "", above: Element | None = None, attrs: dict | None = None):
+        attrs = attrs or {}
+        self.name, self.above = name, above
+        self.main = name in MAIN or bool(above and above.main)
+        out = name in ASIDE or name == "header" and not self.main or attrs.get("role", "").lower() in ROLES
+        self.aside = out or bool(above and above.aside)
+        marks = attrs.get("class", "").split()
+        marked = [m for m in [*marks, attrs.get("id", "")] if names_a_box(m)] if name in BOXES else []
+        #: Its own class or id names a box.
+        self.own = bool(marked)
+        self.named = self.own or bool(above and above.named)
+        place = ".".join([name, *sorted({*marks, *marked})])
+        self.path = f"{above.path}/{place}" if above else ""
+
+
+def walk(page: str) -> Iterator[tuple[Element, str | None, int]]:
+    """``(element, None, 0)`` for structural tags; for blocks of text the element
+    they stand in, the text (references decoded, white space as single blanks)
+    and how many of its characters are in links."""
+    top = Element()
+    stack, run, linked, link = [top], [], 0, False
 
     def flush():
+        nonlocal linked
         text = " ".join(html.unescape("".join(run)).split())
         run.clear()
-        return [("text", stack[-1], text)] if text else []
+        told, linked = min(linked, len(text)), 0
+        return [(stack[-1], text, told)] if text else []
 
     at = 0
     for m in _TOKEN.finditer(page):
-        run.append(page[at : m.start()])
+        piece = page[at : m.start()]
+        if piece:
+            run.append(piece)
+            linked += len(piece) if link else 0
         at = m.end()
         name = m["name"]
         if name is None:
             continue
         name = name.lower()
+        if name == "a":
+            link = not m["end"]
         if name == "br":
             run.append(" ")
         if name in INLINE or name in VOID and name != "hr":
@@ -99,110 +142,148 @@ def walk(page: str) -> Iterator[tuple[str, Element, str]]:
         for closed in CLOSES.get(name, ()):
             if stack[-1].name == closed:
                 stack.pop()
-        attrs = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(m["attrs"])}
-        above = stack[-1]
-        boiler = (
-            above.boiler
-            or name in DROPPED
-            or (name == "header" and not above.main)
-            or attrs.get("role", "").lower() in ROLES
-            or (name not in ("html", "body", *MAIN) and bool(_BOILER.search(f"{attrs.get('class', '')} {attrs.get('id', '')}")))
-        )
-        mark = ".".join(sorted(attrs.get("class", "").split()))
-        element = Element(name, f"{above.path}/{name}{'.' if mark else ''}{mark}", boiler, above.main or name in MAIN)
+        element = Element(name, stack[-1], {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(m["attrs"])})
         stack.append(element)
-        yield "open", element, ""
+        yield element, None, 0
     run.append(page[at:])
+    linked += len(page) - at if link else 0
     yield from flush()
 
 
-def page_tokens(page: str) -> Counter:
-    """Occurrences of the page's tokens.  Text tokens carry their path too."""
-    found: Counter = Counter({"": 1})
-    for kind, element, text in walk(page):
-        if kind == "open":
-            found[element.path] += 1
-        elif not element.boiler and not element.main:
-            found[f"{element.path}/#{text}"] += 1
+def text_token(path: str, text: str) -> str:
+    return "#" + xxh64_hexdigest(f"{path}\n{text}")
+
+
+def page_tokens(page: str) -> dict[str, list[int]]:
+    """``token -> [occurrences, characters of text, of these in links]``; the
+    characters are those directly in a tag.  The empty token is the page."""
+    found: dict[str, list[int]] = {"": [1, 0, 0]}
+    for element, text, linked in walk(page):
+        own = found.setdefault(element.path, [0, 0, 0])
+        if text is None:
+            own[0] += 1
+        else:
+            own[1] += len(text)
+            own[2] += linked
+            found.setdefault(text_token(element.path, text), [0, 0, 0])[0] += 1
     return found
 
 
-def main_text(page: str, template: frozenset[str]) -> str:
-    """The text in the page's content slots."""
-    inside, outside = [], []
-    for kind, element, text in walk(page):
-        if kind == "open":
-            continue
-        if element.boiler:
+def nested(tags: list[str]) -> set[str]:
+    """The tags whose enclosing tags are in the template too."""
+    kept = {""}
+    for tag in sorted(tags, key=len):
+        if tag.rpartition("/")[0] in kept:
+            kept.add(tag)
+    return kept
+
+
+class Template:
+    """``tags`` by path, ``texts`` by token, and the ``menus`` among the tags."""
+
+    def __init__(self, tags: set[str], texts: set[str], menus: set[str]):
+        self.tags, self.texts, self.menus = tags, texts, menus
+
+    def holds(self, element: Element, text: str) -> bool:
+        """Whether the text is content: no site text, and in no slot beside the
+        article.  A tag of the page alone is no slot: its class does not count."""
+        if element.aside or not element.main and text_token(element.path, text) in self.texts:
+            return False
+        at: Element | None = element
+        while at is not None:
+            if at.path in self.tags and (at.own or at.path in self.menus):
+                return False
+            at = at.above
+        return True
+
+
+def main_text(page: str, template: Template | None) -> str:
+    """The text in the page's content slots; without a template, what tags and
+    the classes outside articles leave."""
+    found = []
+    for element, text, _ in walk(page):
+        if text is None:
             continue
-        if element.main:
-            inside.append(text)
-        elif f"{element.path}/#{text}" not in template:
-            outside.append(text)
-    return "\n".join(inside or outside)
+        if template is not None:
+            good = template.holds(element, text)
+        else:
+            good = not element.aside and (element.main or not element.named)
+        if good:
+            found.append(text)
+    return "\n".join(found)
 
 
-def nested(tokens: list[str]) -> list[str]:
-    """The tokens whose enclosing tags are in the template too."""
-    kept = {""}
-    for token in sorted(tokens, key=len):
-        tag, mark, _ = token.partition("/#")
-        if token == "" or (tag if mark else tag.rpartition("/")[0]) in kept:
-            kept.add(token)
-    return sorted(kept - {""})
+TOKENS = "_host string, _page long, _tokens array<struct<token: string, n: int, chars: int, linked: int>>"
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([("token", pa.string()), ("n", pa.int32()), ("chars", pa.int32()), ("linked", pa.int32())]))
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            hosts, pages, tokens, counts = [], [], [], []
-            for host, page, text in zip(*(part.column(c) for c in ("_host", "_page", "_html")), strict=True):
-                found = page_tokens(text.as_py())
-                tokens += found.keys()
-                counts += found.values()
-                hosts += [host.as_py()] * len(found)
-                pages += [page.as_py()] * len(found)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(hosts, pa.string()), pa.array(pages, pa.int64()), pa.array(tokens, pa.string())]
-                + [pa.array(counts, pa.int64())],
-                names=["_host", "_page", "_token", "_count"],
-            )
+        found = []
+        for text in batch.column("_html"):
+            found.append([{"token": t, "n": n, "chars": c, "linked": k} for t, (n, c, k) in page_tokens(text.as_py()).items()])
+        cols = [batch.column("_host"), batch.column("_page"), pa.array(found, kind)]
+        yield pa.RecordBatch.from_arrays(cols, names=["_host", "_page", "_tokens"])
 
 
 def _nest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        kept = [nested(tokens) for tokens in batch.column("_tokens").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("_host"), pa.array(kept, pa.list_(pa.string()))], names=["_host", "_template"])
-
-
-def host_templates(pages: DataFrame, min_support: float, min_pages: int) -> DataFrame:
-    """``pages (_host, _page, _html)`` to ``(_host, _template array<string>)``."""
-    tokens = pages.mapInArrow(_tokens, "_host string, _page long, _token string, _count long")
-    vectors = tokens.groupBy("_host", "_token").agg(
+        rows = []
+        for tokens in batch.column("_tokens").to_pylist():
+            tags = nested([t["token"] for t in tokens if not t["token"].startswith("#")])
+            texts = sorted(t["token"] for t in tokens if t["token"].startswith("#"))
+            menus = [
+                t["token"] for t in tokens
+                if t["token"] in tags and t["chars"] and t["linked"] >= LINKED * t["chars"]
+                and not any(s.partition(".")[0] in MAIN for s in t["token"].split("/"))
+            ]
+            rows.append((sorted(tags), texts, sorted(menus)))
+        cols = [pa.array([r[i] for r in rows], pa.list_(pa.string())) for i in range(3)]
+        yield pa.RecordBatch.from_arrays([batch.column("_host"), *cols], names=["_host", "_tags", "_texts", "_menus"])
+
+
+def host_templates(pages: DataFrame, min_support: float, min_text_support: float, min_pages: int) -> DataFrame:
+    """``pages (_host, _page, _html)`` to ``(_host, _tags, _texts, _menus)``.  Hosts
+    of fewer than ``min_pages`` different pages have the template of all of them
+    together, or none."""
+    told = pages.mapInArrow(_tokens, TOKENS).dropDuplicates(["_host", "_page"])
+    rows = told.select("_host", "_page", F.explode("_tokens").alias("t"))
+    vectors = rows.groupBy("_host", F.col("t.token").alias("_token")).agg(
         F.count(F.lit(1)).alias("_support"),
-        F.sum(F.xxhash64("_page", "_count").cast("decimal(20,0)")).alias("_vector"),
+        F.sum(F.xxhash64("_page", "t.n").cast("decimal(20,0)")).alias("_vector"),
+        F.sum(F.col("t.chars").cast("long")).alias("_chars"),
+        F.sum(F.col("t.linked").cast("long")).alias("_linked"),
     )
     vectors = materialize(vectors, "occurrence_vectors")
-    total = vectors.where("_token = ''").select("_host", F.col("_support").alias("_pages"))
-    frequent = vectors.join(total, "_host").where(
-        (F.col("_pages") >= min_pages) & (F.col("_support") >= min_support * F.col("_pages"))
-    )
-    # Equivalence classes: equal support and vector.  A class of one token is
-    # valid only if it is a tag; text must come with a class of its pages.
-    classes = frequent.groupBy("_host", "_support", "_vector").agg(F.collect_list("_token").alias("_class"))
-    valid = classes.where((F.size("_class") >= 2) | ~F.array_contains(F.transform("_class", lambda t: t.contains("/#")), True))
-    lists = valid.groupBy("_host").agg(F.flatten(F.collect_list("_class")).alias("_tokens"))
-    return lists.mapInArrow(_nest, "_host string, _template array<string>")
+    sizes = vectors.where("_token = ''").select("_host", F.col("_support").alias("_pages"))
+    group = F.when(F.col("_pages") >= min_pages, F.concat(F.lit("="), "_host")).otherwise("*")
+    sizes = materialize(sizes.select("_host", group.alias("_group")), "host_groups")
+    sums = [F.sum(c).alias(c) for c in ("_support", "_vector", "_chars", "_linked")]
+    pooled = vectors.join(sizes, "_host").groupBy("_group", "_token").agg(*sums)
+    total = pooled.where("_token = ''").select("_group", F.col("_support").alias("_pages"))
+    least = F.when(F.startswith("_token", F.lit("#")), min_text_support).otherwise(min_support) * F.col("_pages")
+    frequent = pooled.join(total, "_group").where((F.col("_pages") >= min_pages) & (F.col("_support") >= F.greatest(least, F.lit(2))))
+    # Equivalence classes: equal support and vector.  A text is valid only in a
+    # class with other tokens, a tag always.
+    token = F.struct(F.col("_token").alias("token"), F.col("_chars").alias("chars"), F.col("_linked").alias("linked"))
+    classes = frequent.groupBy("_group", "_support", "_vector").agg(F.collect_list(token).alias("_class"))
+    is_text = F.startswith(F.col("_class")[0]["token"], F.lit("#"))
+    valid = classes.where((F.size("_class") >= 2) | ~is_text)
+    lists = valid.groupBy(F.col("_group").alias("_host")).agg(F.flatten(F.collect_list("_class")).alias("_tokens"))
+    nest = lists.mapInArrow(_nest, "_host string, _tags array<string>, _texts array<string>, _menus array<string>")
+    return sizes.join(nest.withColumnRenamed("_host", "_group"), "_group").drop("_group")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    last, template = None, None
     for batch in batches:
-        texts, last, template = [], None, frozenset()
-        for page, tokens in zip(batch.column("_html"), batch.column("_template"), strict=True):
-            own = tokens.as_py() or ()
+        texts = []
+        cols = [batch.column(c) for c in ("_html", "_host", "_tags", "_texts", "_menus")]
+        for page, host, tags, site, menus in zip(*cols, strict=True):
+            own = host.as_py()
             if own != last:
-                last, template = own, frozenset(own)
+                last = own
+                template = Template(set(tags.as_py()), set(site.as_py()), set(menus.as_py())) if tags.is_valid else None
             texts.append(main_text(page.as_py(), template))
         yield pa.RecordBatch.from_arrays(
             [batch.column("_id"), batch.column("_url"), pa.array(texts, pa.string())], names=["_id", "_url", "text"]
@@ -214,16 +295,21 @@ def extract_main_text(
     id_col: str = "page_id",
     url_col: str = "url",
     html_col: str = "html",
-    min_support: float = 0.5,
-    min_pages: int = 3,
+    min_support: float = 0.05,
+    min_text_support: float = 0.8,
+    min_pages: int = 4,
 ) -> DataFrame:
     """``(id, url, text)`` of every page.
 
-    Pages are grouped by the host of their address (null or none: together);
-    hosts with fewer than ``min_pages`` pages have no template.  Null or empty
-    pages have the empty text; markup that is cut off ends where the page
-    ends; repeated rows and null ids are treated like any other; an empty
-    table gives an empty result; other columns are not carried.
+    Pages are grouped by the host of their address (null or none: together).
+    Tags on ``min_support`` of a host's different pages (two at least), and texts
+    on ``min_text_support`` of them, can be template.  Inside articles no text is
+    dropped for its class, unless the host's template has a box of that class
+    there; navigation, forms and the like are dropped by their tag or role.
+
+    Null or empty pages have the empty text; markup that is cut off ends where
+    the page ends; repeated rows and null ids are treated like any other; an
+    empty table gives an empty result; other columns are not carried.
 
     Templates meet pages in a join by host that Spark may broadcast if it finds
     the templates small, and whose hot hosts it splits otherwise."""
@@ -235,9 +321,9 @@ def extract_main_text(
         F.lower(F.regexp_extract(text_or_empty(url_col), _HOST, 1)).alias("_host"),
         page.alias("_html"),
     )
-    keyed = rows.select("_host", F.xxhash64("_id", "_url", "_html").alias("_page"), "_html")
-    templates = materialize(host_templates(keyed, min_support, min_pages), "templates")
-    joined = rows.join(templates, "_host", "left").select("_id", "_url", "_html", "_template")
+    keyed = rows.select("_host", F.xxhash64("_html").alias("_page"), "_html")
+    templates = materialize(host_templates(keyed, min_support, min_text_support, min_pages), "templates")
+    joined = rows.join(templates, "_host", "left").select("_id", "_url", "_html", "_host", "_tags", "_texts", "_menus")
     kind = df.schema[id_col].dataType.simpleString()
     done = joined.mapInArrow(_extract, f"_id {kind}, _url string, text string")
     return done.withColumnsRenamed({"_id": id_col, "_url": url_col})
