@@ -1,11 +1,11 @@
 """Exact deduplication with Patricia-trie owners.
 
-Rows are dealt out by (length, content hash).  In each partition the full byte
-strings go into compressed radix tries, one subtree per (length, hash) key;
-a terminal node stores the owner of its text.  Rows arrive sorted by that key,
-so every subtree but the newest is complete: once the held bytes pass a limit,
-complete subtrees are written out and dropped.  Memory is bounded by that
-limit, not by the partition.
+Rows are dealt out by length and content hash.  Each task inserts the full byte
+strings of its partition, in the order of their bytes, into one compressed radix
+trie; a terminal node stores the owner of its text.  In that order every subtree
+but the one of the newest text is complete: once the held bytes pass a limit,
+complete subtrees are written out and dropped.  Memory is bounded by that limit,
+not by the partition.
 
 The same trie runs before the shuffle over each Arrow batch, so a text with
 very many copies crosses the network once a batch, not once a row.
@@ -13,15 +13,16 @@ very many copies crosses the network once a batch, not once a row.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, id_or_lowest, materialize, null_id, prepare, text_or_empty
 
-#: Bytes of text that the tries of one task hold before subtrees are written out.
+#: Bytes of text that the trie of one task holds before subtrees are written out.
 HELD_BYTES = 32 << 20
 
 
@@ -50,13 +51,16 @@ class _Node:
 
 def _shared(label: bytes, key: bytes, at: int) -> int:
     """Length of the common prefix of ``label`` and ``key[at:]``."""
-    low, high = 0, min(len(label), len(key) - at)
-    while low < high:
-        mid = (low + high + 1) // 2
-        if label[:mid] == key[at : at + mid]:
-            low = mid
+    most = min(len(label), len(key) - at)
+    low, high = 0, min(16, most)
+    while low < high and label[low:high] == key[at + low : at + high]:
+        low, high = high, min(2 * high, most)
+    while low < high:  # they differ before high
+        mid = (low + high) // 2
+        if label[low : mid + 1] == key[at + low : at + mid + 1]:
+            low = mid + 1
         else:
-            high = mid - 1
+            high = mid
     return low
 
 
@@ -97,18 +101,26 @@ class PatriciaTrie:
                 yield node.owner
             stack.extend(node.children.values())
 
+    def keep_only(self, key: bytes) -> Iterator[Owner]:
+        """Drop all subtrees beside ``key``, which is held, and give back their
+        owners and those of the nodes above it."""
+        kept = self.owner(key, -1)
+        yield from (o for o in self.owners() if o is not kept)
+        self.root = _Node(b"")
+        if key:
+            self.root.children[key[0]] = _Node(key, kept)
+        else:
+            self.root.owner = kept
+
 
 def _combine(largest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tries: dict[tuple[int, int], PatriciaTrie] = {}
-            cols = {n: batch.column(n) for n in ("_len", "_hash", "_id", "_text")}
-            for i, (n, h, d, text) in enumerate(zip(*(c.to_pylist() for c in cols.values()), strict=True)):
-                trie = tries.get((n, h))
-                if trie is None:
-                    trie = tries[n, h] = PatriciaTrie()
-                trie.owner(text, i).add(d, 1, 1, largest)
-            found = [o for t in tries.values() for o in t.owners()]
+            trie = PatriciaTrie()
+            ids = batch.column("_id").to_pylist()
+            for i, (d, text) in enumerate(zip(ids, batch.column("_text"), strict=True)):
+                trie.owner(text.as_py(), i).add(d, 1, 1, largest)
+            found = list(trie.owners())
             rows = batch.take(pa.array([o.first for o in found], pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [rows.column("_len"), rows.column("_hash"), rows.column("_sha"), rows.column("_text")]
@@ -121,38 +133,30 @@ def _combine(largest: bool):
 
 def _own(largest: bool, held_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tries: dict[tuple[int, int], PatriciaTrie] = {}
-        shas: list[str] = []
-        held = 0
-
-        def spill() -> pa.RecordBatch:
-            found = [(n, o) for (n, _), t in tries.items() for o in t.owners()]
-            out = pa.RecordBatch.from_arrays(
-                [pa.array([n for n, _ in found], pa.int64()), pa.array([shas[o.first] for _, o in found], pa.string())]
-                + [pa.array([getattr(o, a) for _, o in found], pa.int64()) for a in ("best", "best_rows", "rows")],
+        trie, told, held = PatriciaTrie(), [], 0  # told: length and digest by an owner's first
+
+        def rows(found: list[Owner]) -> pa.RecordBatch:
+            own = [told[o.first] for o in found]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([n for n, _ in own], pa.int64()), pa.array([sha for _, sha in own], pa.string())]
+                + [pa.array([getattr(o, a) for o in found], pa.int64()) for a in ("best", "best_rows", "rows")],
                 names=["_len", "_sha", "_best", "_best_rows", "_rows"],
             )
-            tries.clear()
-            shas.clear()
-            return out
 
         for batch in batches:
-            cols = [batch.column(n) for n in ("_len", "_hash", "_sha", "_best", "_best_rows", "_rows", "_text")]
-            small = [c.to_pylist() for c in cols[:-1]]
-            for i, (n, h, sha, best, best_rows, rows) in enumerate(zip(*small, strict=True)):
-                trie = tries.get((n, h))
-                if trie is None:
-                    if held > held_bytes:  # rows are sorted: all subtrees so far are complete
-                        yield spill()
-                        held = 0
-                    trie = tries[n, h] = PatriciaTrie()
-                owner = trie.owner(cols[-1][i].as_py(), len(shas))
-                if owner.first == len(shas):
-                    shas.append(sha)
+            cols = [batch.column(n).to_pylist() for n in ("_len", "_sha", "_best", "_best_rows", "_rows")]
+            for n, sha, best, best_rows, count, text in zip(*cols, batch.column("_text"), strict=True):
+                text = text.as_py()
+                owner = trie.owner(text, len(told))
+                if owner.first == len(told):
+                    told.append((n, sha))
                     held += n
-                owner.add(best, best_rows, rows, largest)
-        if tries:
-            yield spill()
+                owner.add(best, best_rows, count, largest)
+                if held > held_bytes:  # texts are sorted: all subtrees but this text's are complete
+                    yield rows(list(trie.keep_only(text)))
+                    told, owner.first, held = [told[owner.first]], 0, n
+        if found := list(trie.owners()):
+            yield rows(found)
 
     return run
 
@@ -172,7 +176,7 @@ def text_owners(df: DataFrame, id_col: str, text_col: str, keep: str, held_bytes
     combined = rows.mapInArrow(
         _combine(largest), "_len long, _hash long, _sha string, _text binary, _best long, _best_rows long, _rows long"
     )
-    dealt = combined.repartition("_len", "_hash").sortWithinPartitions("_len", "_hash")
+    dealt = combined.repartition("_len", "_hash").sortWithinPartitions("_text")
     return dealt.mapInArrow(
         _own(largest, held_bytes), "_len long, _sha string, _best long, _best_rows long, _rows long"
     )
@@ -202,13 +206,12 @@ def exact_groups(
     joined = rows.join(owners, ["_len", "_sha"])
     kept = F.col("_id") == F.col("_best")
     if not owners.where("_best_rows > 1").isEmpty():
-        # Rank only the rows that repeat an owner's id: the others get a key of
-        # their own, so that no group of copies meets in one task.
-        tied = kept & (F.col("_best_rows") > 1)
-        nth = F.row_number().over(Window.partitionBy("_len", "_sha", "_id", "_tied").orderBy("_rows"))
-        joined = joined.withColumn("_tied", F.when(tied, F.lit(0)).otherwise(F.monotonically_increasing_id() + 1))
-        joined = joined.withColumn("_nth", nth)
-        kept = kept & (F.col("_nth") == 1)
+        # Rows that repeat an owner's id: the one of the lowest number stays.  The
+        # numbers are written, so they stay the same; the least is aggregated.
+        joined = materialize(joined.withColumn("_nth", F.monotonically_increasing_id()), "numbered")
+        first = joined.where(kept & (F.col("_best_rows") > 1)).groupBy("_len", "_sha").agg(F.min("_nth").alias("_nth"))
+        joined = joined.join(first.select("_nth", F.lit(True).alias("_first")), "_nth", "left")
+        kept = kept & ((F.col("_best_rows") == 1) | F.col("_first").isNotNull())
     return joined.select(
         null_id("_id").alias(id_col),
         null_id("_best").alias("keep_id"),
@@ -223,17 +226,21 @@ def drop_exact_copies(
 ) -> DataFrame:
     """The rows of ``df`` without exact copies, in their own columns.
 
-    Of rows that repeat both text and id, any one stays."""
+    A null text counts as empty, a null id is the lowest; of rows that repeat
+    both text and id, any one stays.  An empty table gives an empty result."""
     owners = materialize(text_owners(df, id_col, text_col, keep, held_bytes), "owners")
     text = F.coalesce(df[text_col].cast("string"), F.lit(""))
+    sha = F.sha2(text, 256)
     on = (
         (F.coalesce(df[id_col].cast("long"), F.lit(NULL_ID).cast("long")) == owners["_best"])
         & (F.octet_length(text).cast("long") == owners["_len"])
-        & (F.sha2(text, 256) == owners["_sha"])
+        & (sha == owners["_sha"])
     )
     kept = df.join(owners, on, "left_semi")
-    repeated = not owners.where("_best_rows > 1").isEmpty()
-    return kept.dropDuplicates([id_col, text_col]) if repeated else kept
+    if owners.where("_best_rows > 1").isEmpty():
+        return kept
+    mark = f"_sha_{uuid.uuid4().hex}"  # no name of the input
+    return kept.withColumn(mark, sha).dropDuplicates([id_col, mark]).drop(mark)
 
 
 __all__ = ["HELD_BYTES", "NULL_ID", "PatriciaTrie", "drop_exact_copies", "exact_groups", "text_owners"]
