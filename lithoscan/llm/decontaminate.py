@@ -4,12 +4,15 @@ A region of a document that matches an item of m characters with at most k
 edits shares at least m - q + 1 - k q of the item's q-grams, all on diagonals
 at most k apart.  Shared q-grams are counted in overlapping diagonal bands,
 bands below that bound are dropped, and the others are verified by a banded
-alignment.  Items come to the documents in blocks of bounded size, one pass
-over the documents for each.
+alignment.  A long item is looked for in overlapping regions, so that a document
+which quotes a part of it is found too.  Items come to the documents in blocks
+of bounded size, one pass over the documents for each.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,6 +25,10 @@ from pyspark.sql import functions as F
 from .common import prepare, text_or_empty
 
 Q, EDIT_RATE = 8, 0.08
+#: Words of a region; an item of more words is cut into regions half as far apart.
+REGION_WORDS = 50
+#: Shared q-grams of a document that are counted at a time.
+_HITS = 1 << 20
 #: Characters of items that tasks get at once.
 BLOCK_CHARS = 2_000_000
 _FILTER_BITS = 22
@@ -36,6 +43,17 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
 
 
+def regions(text: str, words: int) -> list[str]:
+    """The normalised text in regions of ``words`` words, each half as many after
+    the one before; the last one ends where the text ends."""
+    parts = text.split(" ")
+    if len(parts) <= words:
+        return [text]
+    step = max(1, words // 2)
+    starts = [*range(0, len(parts) - words, step), len(parts) - words]
+    return [" ".join(parts[at : at + words]) for at in starts]
+
+
 def qgrams(codes: np.ndarray, q: int) -> np.ndarray:
     """Hashes of all q-grams, by doubling windows; q is a power of two."""
     if len(codes) < q:
@@ -83,6 +101,8 @@ class ItemIndex:
 
     def __post_init__(self):
         self.codes = [_codes(t) for t in self.texts]
+        #: Items of several regions.
+        self.cut = {n: k > 1 for n, k in Counter(self.ids).items()}
         grams = [qgrams(c, self.q) for c in self.codes]
         hashes = np.concatenate([*grams, np.empty(0, np.uint64)])
         order = np.argsort(hashes, kind="stable")
@@ -97,10 +117,33 @@ class ItemIndex:
         self.needed = np.maximum(length - self.q + 1 - self.budget * self.q, 1)
         self.short = [i for i, n in enumerate(length) if 0 < n < self.q]
 
+    def _bands(self, at: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of region and band, and how many q-grams they share with the text:
+        those at ``at``, which the index holds ``n`` times from ``first`` on."""
+        hit = np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        item = self.item[hit]
+        band = np.floor_divide(np.repeat(at, n) - self.place[hit], self.budget[item] + 1)
+        # Band b covers the diagonals from b * width on, twice the width wide.
+        item, band = np.r_[item, item], np.r_[band, band - 1]
+        return np.unique(item * (1 << 40) + band + (1 << 39), return_counts=True)
+
+    def leaks(self, text: str) -> list[tuple]:
+        """``(item, start, end, edits)``: regions of an item that overlap or touch in
+        the text are one place, with the most edits that one of them has."""
+        places: list[tuple] = []
+        for item, start, end, edits in sorted(((self.ids[i], *m) for i, *m in self.matches(text)), key=lambda m: (str(m[0]), m[1:])):
+            if places and places[-1][0] == item and start <= places[-1][2] + 1 and self.cut.get(item):
+                item, was, stop, most = places.pop()
+                start, end, edits = was, max(end, stop), max(edits, most)
+            places.append((item, start, end, edits))
+        return places
+
     def matches(self, text: str) -> list[tuple]:
-        """``(item index, start, end, edits)`` in the normalised text."""
+        """``(index, start, end, edits)`` in the normalised text: each place of a
+        region.  Regions shorter than ``q`` are found as whole words only."""
         text = normalised(text)
-        found = [(i, at, at + len(self.texts[i]), 0) for i in self.short if (at := text.find(self.texts[i])) >= 0]
+        whole = ((i, re.compile(rf"(?<!\S){re.escape(self.texts[i])}(?!\S)")) for i in self.short)
+        found = [(i, m.start(), m.end(), 0) for i, word in whole for m in word.finditer(text)]
         codes = _codes(text)
         grams = qgrams(codes, self.q)
         at = np.flatnonzero(self.filter[(grams >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
@@ -108,14 +151,11 @@ class ItemIndex:
             return found
         first = np.searchsorted(self.hashes, grams[at], "left")
         n = np.searchsorted(self.hashes, grams[at], "right") - first
-        hit = np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        item = self.item[hit]
-        diagonal = np.repeat(at, n) - self.place[hit]
-        width = self.budget[item] + 1
-        band = np.floor_divide(diagonal, width)
-        # Band b covers the diagonals from b * width on, twice the width wide.
-        item, band = np.r_[item, item], np.r_[band, band - 1]
-        key, count = np.unique(item * (1 << 40) + band + (1 << 39), return_counts=True)
+        # A frequent q-gram may stand in very many regions: counted in pieces.
+        cuts = np.flatnonzero(np.diff(np.cumsum(n) // _HITS, prepend=-1))
+        counted = [self._bands(*(x[a:b] for x in (at, first, n))) for a, b in zip(cuts, [*cuts[1:], len(n)], strict=True)]
+        key, group = np.unique(np.concatenate([k for k, _ in counted]), return_inverse=True)
+        count = np.bincount(group, np.concatenate([c for _, c in counted]), len(key)).astype(np.int64)
         good = count >= self.needed[key >> 40]
         near: dict[int, list[tuple]] = {}
         for k in key[good][np.argsort(-count[good], kind="stable")]:
@@ -144,15 +184,15 @@ class ItemIndex:
         return found
 
 
-def item_blocks(benchmark: DataFrame, item_id: str, text_col: str, q: int, edit_rate: float, block_chars: int):
-    """Indexes of the items, dealt into blocks of about ``block_chars``."""
+def item_blocks(benchmark: DataFrame, item_id: str, text_col: str, q: int, edit_rate: float, block_chars: int, region_words: int):
+    """Indexes of the items' regions, dealt into blocks of items of about ``block_chars``."""
     items = benchmark.select(F.col(item_id).cast("long").alias("_item"), text_or_empty(text_col).alias("_text"))
     chars = items.agg(F.coalesce(F.sum(F.length("_text")), F.lit(0))).first()[0]
     blocks = -(-chars // block_chars)
     for b in range(blocks):
         own = items.where(F.pmod(F.xxhash64("_item", "_text"), F.lit(blocks)) == b).collect()
         own = sorted({(r["_item"] is not None, r["_item"] or 0, normalised(r["_text"])) for r in own})
-        own = [(n if known else None, t) for known, n, t in own if t]
+        own = [(n if known else None, t) for known, n, whole in own if whole for t in regions(whole, region_words)]
         yield ItemIndex(q, [n for n, _ in own], [t for _, t in own], edit_rate)
 
 
@@ -166,21 +206,24 @@ def find_leaks(
     q: int = Q,
     edit_rate: float = EDIT_RATE,
     block_chars: int = BLOCK_CHARS,
+    region_words: int = REGION_WORDS,
 ) -> DataFrame:
-    """One row per place where a document holds a whole item, up to ``edit_rate``
-    edits per character: ``(id, item_id, start, end, edits)``, positions being
+    """One row per place where a document holds an item, up to ``edit_rate`` edits
+    per character: ``(id, item_id, start, end, edits)``, positions being
     characters of the normalised text.
 
-    Null or empty texts and items match nothing; items shorter than ``q``
-    characters match exactly; repeated items count once; repeated rows are each
-    reported; null ids are kept; an empty table gives an empty result; other
-    columns are not carried."""
+    Items of up to ``region_words`` words are found whole; of longer ones every
+    region of that many words, so a passage of one and a half times as many is
+    found wherever it stands in the item.  Null or empty texts and items match
+    nothing; items shorter than ``q`` characters match exactly, as whole words;
+    repeated items count once; repeated rows are each reported; null ids are
+    kept; an empty table gives an empty result; other columns are not carried."""
     spark = df.sparkSession
     prepare(spark)
     rows = df.select(F.col(id_col).cast("long").alias("_id"), text_or_empty(text_col).alias("_text"))
     schema = "_id long, _item long, start long, end long, edits int"
     out = spark.createDataFrame([], schema)
-    for n, index in enumerate(item_blocks(benchmark, item_id, item_text, q, edit_rate, block_chars)):
+    for n, index in enumerate(item_blocks(benchmark, item_id, item_text, q, edit_rate, block_chars, region_words)):
         found = rows.mapInArrow(_leaks(spark.sparkContext.broadcast(index)), schema)
         out = found if n == 0 else out.unionByName(found)
     return out.withColumnsRenamed({"_id": id_col, "_item": item_id})
@@ -191,9 +234,9 @@ def _leaks(index):
         own: ItemIndex = index.value
         for batch in batches:
             rows = [
-                (d, own.ids[i], start, end, edits)
+                (d, item, start, end, edits)
                 for d, text in zip(batch.column("_id").to_pylist(), batch.column("_text"), strict=True)
-                for i, start, end, edits in own.matches(text.as_py())
+                for item, start, end, edits in own.leaks(text.as_py())
             ]
             kinds = [pa.int64()] * 4 + [pa.int32()]
             yield pa.RecordBatch.from_arrays(
@@ -213,11 +256,14 @@ def drop_leaks(
     q: int = Q,
     edit_rate: float = EDIT_RATE,
     block_chars: int = BLOCK_CHARS,
+    region_words: int = REGION_WORDS,
 ) -> DataFrame:
-    """The rows of ``df`` that hold no item, in their own columns."""
+    """The rows of ``df`` that hold no item (as :func:`find_leaks` finds them), in
+    their own columns.  Null and empty texts stay, repeated rows are judged
+    alike; without items, or rows, nothing changes."""
     spark = df.sparkSession
     prepare(spark)
-    for index in item_blocks(benchmark, item_id, item_text, q, edit_rate, block_chars):
+    for index in item_blocks(benchmark, item_id, item_text, q, edit_rate, block_chars, region_words):
         clean = _clean(spark.sparkContext.broadcast(index))
         df = df.where(clean(F.coalesce(df[text_col].cast("string"), F.lit(""))))
     return df
