@@ -160,7 +160,7 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 text = "\n".join(p for i, p in enumerate(parts) if i >= len(bits) or bits[i])
             texts.append(text)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("_id"), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(texts)],
+            [batch.column("_id"), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(texts, pa.string())],
             names=["_id", "n_lines", "n_dropped", "kept_text"],
         )
 

@@ -62,8 +62,8 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _remainder(n: int):
-    """crc32 of doc_id as text, modulo n."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+    """crc32 of doc_id as text, modulo n; a null doc_id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,9 +75,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    model = train_brown(documents.where(F.coalesce(_remainder(7), F.lit(0)) != 2))
+    model = train_brown(documents.where(_remainder(7) != 2))
     scored = score_brown(documents, model)
-    return scored.withColumn("held_out", F.coalesce(_remainder(7) == 2, F.lit(False))).select(
+    return scored.withColumn("held_out", _remainder(7) == 2).select(
         "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )
 

@@ -53,7 +53,9 @@ def shard_records(
     where each bucket starts.  ``grown_shard`` is the shard if there were one
     more of weight 1.
 
-    Null ids share one key (and so one shard); a null text has no bytes;
+    The law is that of keys: id and shard count decide, so rows of equal texts
+    are not kept together, and null ids, which share one key, share a shard
+    (their slot buckets differ with their texts).  A null text has no bytes;
     repeated rows get the same shard and a slot each; an empty table gives an
     empty result; other columns are ignored."""
     weights = list(weights) if weights is not None else [1.0] * n_shards
@@ -65,7 +67,7 @@ def shard_records(
         (F.octet_length(text) + F.lit(overhead_bytes)).cast("long").alias("_size"),
         F.crc32(text.cast("binary")).alias("_crc"),
         rendezvous_shard(key, weights).alias("_shard"),
-        F.pmod(F.xxhash64(key, F.lit("slot")), F.lit(slot_buckets)).cast("int").alias("_bucket"),
+        F.pmod(F.xxhash64(key, F.crc32(text.cast("binary")), F.lit("slot")), F.lit(slot_buckets)).cast("int").alias("_bucket"),
         rendezvous_shard(key, [*weights, 1.0]).alias("_grown"),
     )
     order = Window.partitionBy("_shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

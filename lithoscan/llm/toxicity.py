@@ -132,7 +132,7 @@ def train_toxicity(
     """Train on the labelled rows of ``df`` (null labels and ids are left out;
     of repeated labels the larger holds; any label but 0 is toxic).
 
-    ``max_fit_rows`` labels at most are used, chosen by the hash of their id;
+    ``max_fit_rows`` labels of these rows at most are used, chosen by the hash of their id;
     that bounds what is broadcast, so texts are never shuffled for training.
 
     Without a row of either class the model gives the prior to every text."""
@@ -141,6 +141,8 @@ def train_toxicity(
     marks = marks.groupBy(F.col(id_col).cast("long").alias("_id")).agg(
         F.max((F.col(label_col) != 0).cast("int")).alias("_toxic")
     )
+    known = df.select(F.col(id_col).cast("long").alias("_id")).where("_id IS NOT NULL")
+    marks = marks.join(known, "_id", "left_semi")  # ids only; labels of rows that are not there do not count
     marks = materialize(marks.orderBy(F.xxhash64("_id"), "_id").limit(max_fit_rows), "fit_labels")
     rows = df.select(F.col(id_col).cast("long").alias("_id"), text_or_empty(text_col).alias("_text"))
     rows = rows.join(F.broadcast(marks), "_id").select("_id", "_toxic", "_text")
@@ -207,7 +209,9 @@ def score_toxicity(
 def drop_toxic(
     df: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = 0.5
 ) -> DataFrame:
-    """The rows of ``df`` whose text scores below the threshold, in their own columns."""
+    """The rows of ``df`` whose text scores below the threshold, in their own
+    columns.  Null texts count as empty; repeated rows are judged alike; an
+    empty table gives an empty result."""
     prepare(df.sparkSession)
 
     @F.pandas_udf("double")

@@ -76,6 +76,24 @@ def test_exact_groups_against_brute_force(spark, keep):
     assert sorted(x.text or "" for x in left) == sorted(groups)
 
 
+def test_null_and_empty_are_one_text(spark):
+    data = [(5, None), (5, ""), (5, ""), (None, "x"), (None, "x"), (7, "y"), (6, "y")]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    left = [tuple(r) for r in drop_exact_copies(df).collect()]
+    assert Counter((d, t or "") for d, t in left) == Counter([(5, ""), (None, "x"), (7, "y")])
+    got = exact_groups(df).collect()
+    assert Counter((r.doc_id, r.group_size) for r in got if r.kept) == Counter([(5, 3), (None, 2), (7, 2)]) and len(got) == 7
+
+
+def test_trie_keeps_only_one_text():
+    trie = PatriciaTrie()
+    for i, w in enumerate([b"", b"ab", b"abc", b"abd", b"b"]):
+        trie.owner(w, i).add(i, 1, 1, True)
+    last = trie.owner(b"b", -1)
+    assert sorted(o.first for o in trie.keep_only(b"b")) == [0, 1, 2, 3]
+    assert list(trie.owners()) == [last] and trie.owner(b"b", 9) is last
+
+
 def test_trie_splits_edges():
     trie, words = PatriciaTrie(), [b"", b"a", b"abc", b"abd", b"ab", b"b", b"abcdefgh", b"abcdefgx"]
     for round_ in range(2):

@@ -4,8 +4,8 @@ import re
 import numpy as np
 import pytest
 
-from lithoscan.llm.decontaminate import ItemIndex, _codes, banded_alignment, drop_leaks, find_leaks, normalised, qgrams
-from lithoscan.llm.html_extract import extract_main_text, main_text, nested
+from lithoscan.llm.decontaminate import ItemIndex, _codes, banded_alignment, drop_leaks, find_leaks, normalised, qgrams, regions
+from lithoscan.llm.html_extract import Template, extract_main_text, host_templates, main_text, names_a_box, nested, page_tokens
 
 from .data import SCHEMA, clashing, empty, frame, rows, sentence
 
@@ -49,7 +49,8 @@ def test_qgrams_are_equal_only_for_equal_windows():
 def test_leaks_against_brute_force(spark):
     rng = random.Random(5)
     items = [(i, sentence(rng, rng.randrange(8, 30))) for i in range(12)] + [(90, "tiny"), (91, None), (92, ""), (0, "Zq")]
-    data = list(rows())
+    rows_of_short = [(2000, "a tiny thing", None, None, 0), (2001, "zq", None, None, 0), (2002, "atiny zqs", None, None, 0)]
+    data = [*rows(), *rows_of_short]
     for i in range(40):
         _, item = items[rng.randrange(12)]
         budget = len(item) * 8 // 100
@@ -61,7 +62,11 @@ def test_leaks_against_brute_force(spark):
         if d is not None and d < 1000 and len(text or "") > 9000:
             continue
         for k, (n, t) in enumerate(items):
-            if t and fewest_edits(normalised(t), normalised(text or "")) <= (index.budget[k] if len(t) >= 8 else 0):
+            if t and len(t) < 8:  # as whole words only
+                found = f" {normalised(t)} " in f" {normalised(text or '')} "
+            else:
+                found = t and fewest_edits(normalised(t), normalised(text or "")) <= index.budget[k]
+            if found:
                 want.add((d, n))
     df = spark.createDataFrame(data, SCHEMA).repartition(3)
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -77,6 +82,20 @@ def test_leaks_against_brute_force(spark):
         assert r.edits in [fewest_edits(item, span) for span in spans] or r.item_id == 0
 
 
+def test_parts_of_long_items_and_every_place_of_short_ones():
+    rng = random.Random(3)
+    item, fill = sentence(rng, 140), lambda n: " ".join(f"z{rng.randrange(10**6)}" for _ in range(n))
+    ids = [1] * len(regions(item, 50)) + [2]
+    index = ItemIndex(8, ids, [*regions(item, 50), "tiny"], 0.08)
+    parts = item.split(" ")
+    for a, b in ((0, 140), (7, 82), (30, 105), (65, 140)):
+        (found,) = index.leaks(f"{fill(40)} {' '.join(parts[a:b])} {fill(30)}")
+        assert found[0] == 1 and found[2] - found[1] >= len(" ".join(parts[a : a + 50])) // 2
+    assert not index.leaks(" ".join(parts[60:85])) and not index.leaks(fill(300))
+    assert index.leaks("tiny a tiny b xtiny") == [(2, 0, 4, 0), (2, 7, 11, 0)]
+    assert [" ".join(item.split(" ")[25:75])] == regions(item, 50)[1:2] and regions(item, 50)[-1].endswith(parts[-1])
+
+
 def test_leaks_of_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert find_leaks(frame(spark), none).count() == 0 and drop_leaks(frame(spark), none).count() == len(rows())
@@ -116,13 +135,69 @@ def test_pages(spark):
 
 
 def test_templates_are_nested():
-    assert nested(["", "/html", "/html/body", "/x/y", "/html/body/#A", "/q/#B"]) == ["/html", "/html/body", "/html/body/#A"]
+    assert nested(["", "/html", "/html/body", "/x/y", "/html/body/p.a"]) == {"", "/html", "/html/body", "/html/body/p.a"}
+
+
+def brute_template(pages, min_support=0.05, min_text_support=0.8):
+    """Tags and texts of one host's different pages, from whole occurrence vectors."""
+    pages = sorted(set(pages))
+    vectors = {}
+    for i, page in enumerate(pages):
+        for token, (n, _, _) in page_tokens(page).items():
+            vectors.setdefault(token, {})[i] = n
+    classes = {}
+    for token, vector in vectors.items():
+        least = (min_text_support if token.startswith("#") else min_support) * len(pages)
+        if len(vector) >= max(2, least):
+            classes.setdefault(tuple(sorted(vector.items())), []).append(token)
+    kept = [t for c in classes.values() for t in c if len(c) > 1 or not t.startswith("#")]
+    return nested([t for t in kept if not t.startswith("#")]), {t for t in kept if t.startswith("#")}
+
+
+def test_host_templates_against_brute_force(spark):
+    rng, data = random.Random(8), []
+    blocks = ["<nav><a href=x>Menu</a></nav>", "<div class=ad>{}</div>", "<p>{}</p>", "<p>same on many</p>", "<div class=box><p>{}</p></div>"]
+    for host in range(6):
+        fixed = rng.sample(blocks, 3)
+        for i in range(rng.choice([2, 5, 12])):
+            parts = fixed + rng.sample(blocks, rng.randrange(3))
+            body = "".join(b.format(rng.randrange(4)) for b in parts)
+            data += [(f"h{host}", f"<html><body>{body}</body></html>")] * rng.randrange(1, 3)
+    df = spark.createDataFrame(data, "_host string, _html string").selectExpr("_host", "xxhash64(_html) AS _page", "_html").repartition(4)
+    got = {r._host: (set(r._tags), set(r._texts)) for r in host_templates(df, 0.05, 0.8, 4).collect()}
+    large = 0
+    for host in {h for h, _ in data}:
+        own = [p for h, p in data if h == host]
+        if len(set(own)) >= 4:
+            large += 1
+            assert got[host] == brute_template(own)
+    assert large >= 2
+
+
+def test_the_template_decides(spark):
+    """What is site text, and which boxes are beside the article, is seen on many pages."""
+    body = "<div class=ad>Buy {n}</div><div class=text><p>Story {n}<p class='social impact'>Impact {n}</div><p>All rights reserved</p>"
+    data = [(i, f"http://h.example/{i}", f"<html><body>{body.format(n=i)}</body></html>") for i in range(8)]
+    df = spark.createDataFrame(data, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract_main_text(df).collect()}
+    assert got == {i: f"Story {i}\nImpact {i}" for i in range(8)}
+    none = Template(set(), set(), set())
+    assert all(main_text(page, none) != got[i] for i, _, page in data)
+    copies = [(i, "http://c.example/", data[0][2]) for i in range(9)]  # equal pages count once: no template
+    got = extract_main_text(spark.createDataFrame(copies, df.schema)).collect()
+    assert {r.text for r in got} == {"Story 0\nImpact 0\nAll rights reserved"}
+
+
+def test_nothing_goes_by_class_inside_an_article():
+    page = "<article><p class='social impact'>a<section id=share-of-market>b</section><p>c <math><mi>x</mi></math></article><div class=content>d</div><div class='site-footer'>e</div>"
+    assert main_text(page, None) == "a\nb\nc x\nd"
+    assert names_a_box("cookie-notice") and names_a_box("adBox") and not names_a_box("share-of-market") and not names_a_box("content")
 
 
 def test_long_and_broken_pages():
     body = "".join(f"<p>block {i} of a long page</p>" for i in range(20000))
-    assert main_text(f"<article>{body}", frozenset()).count("\n") == 19999
+    assert main_text(f"<article>{body}", None).count("\n") == 19999
     for broken in ("<", "<p", "</", "<!--", "<script>", "<a href='x", "<p><b></p></b></i>", "&#x110000; &bogus; &"):
-        assert isinstance(main_text(broken, frozenset()), str)
-    assert re.fullmatch("a b", main_text("<div><p>a\n\t b", frozenset()))
-    assert np.all([main_text(x, frozenset()) == "" for x in ("", "<p></p>", "<nav>x</nav>")])
+        assert isinstance(main_text(broken, None), str)
+    assert re.fullmatch("a b", main_text("<div><p>a\n\t b", None))
+    assert np.all([main_text(x, None) == "" for x in ("", "<p></p>", "<nav>x</nav>")])
