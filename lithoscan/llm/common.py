@@ -1,5 +1,5 @@
-"""Helpers shared by the training-data operators: shared scratch storage,
-worker paths and small column expressions.
+"""Helpers shared by the training-data operators: worker paths and small column
+expressions.
 
 Every operator starts by projecting the columns it needs under its own names,
 so columns of the input with clashing names neither reach nor break it.
@@ -8,12 +8,12 @@ so columns of the input with clashing names neither reach nor break it.
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialize, scratch_path, shared_dir
+
 # The white space class [\x20\x09-\x0D] and the ASCII capitals.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -33,33 +33,6 @@ def prepare(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([_ROOT, *paths])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset, a temporary
-    folder for a local master and the warehouse for any other."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-            where = tempfile.mkdtemp(prefix="spark-")
-        else:
-            where = spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage of ``df``: write it to the shared folder and read it back.
-
-    A lost executor then costs a read, not a recomputation."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
@@ -76,3 +49,9 @@ def ascii_lower(text: Column) -> Column:
 def null_id(name: str) -> Column:
     """Turn the stand-in of a null identifier back into null."""
     return F.when(F.col(name) != F.lit(NULL_ID).cast("long"), F.col(name))
+
+
+__all__ = [
+    "ASCII_SPACE", "LOWER", "NULL_ID", "UPPER", "ascii_lower", "id_or_lowest", "materialize", "null_id", "prepare",
+    "scratch_path", "shared_dir", "text_or_empty",
+]

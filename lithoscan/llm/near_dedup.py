@@ -425,7 +425,8 @@ def exact_rest(
 
     rows = crossing(shared)
     zero, last = F.lit(0).cast("long"), F.floor((F.col("k") - 1) / side)
-    while not (long := rows.where(F.col("k") > crowd)).isEmpty():
+    while (most := rows.agg(F.max("k")).first()[0]) is not None and most > crowd:
+        long = rows.where(F.col("k") > crowd)
         ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("_degree"))
         best = F.row_number().over(Window.partitionBy("token").orderBy(F.coalesce("_degree", F.lit(0)).desc(), "node"))
         centres = long.join(ends, "node", "left").withColumn("_r", best).where(F.col("_r") <= CENTRES)
@@ -436,6 +437,8 @@ def exact_rest(
         if not link(centre.unionByName(own).withColumn("_t", zero)):
             break
         rows = crossing(rows)
+    if most is None:
+        return roots
     blocks = rows.withColumn("_block", F.pmod(F.xxhash64("node"), last + 1))
     tiles = blocks.withColumn("_other", F.explode(F.sequence(zero, last)))
     tiles = tiles.withColumns({"_t": F.least("_block", "_other"), "_u": F.greatest("_block", "_other")})
