@@ -135,7 +135,8 @@ def train_toxicity(
     ``max_fit_rows`` labels of these rows at most are used, chosen by the hash of their id;
     that bounds what is broadcast, so texts are never shuffled for training.
 
-    Without a row of either class the model gives the prior to every text."""
+    Where one class has no row, every text gets the score of the other: nearly 1
+    if all are toxic, else nearly 0, also where there are no labels at all."""
     prepare(df.sparkSession)
     marks = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     marks = marks.groupBy(F.col(id_col).cast("long").alias("_id")).agg(
@@ -152,7 +153,7 @@ def train_toxicity(
     per_class = {r["_toxic"]: r["n"] for r in rows.groupBy("_toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_clean, n_toxic = per_class.get(0, 0), per_class.get(1, 0)
     if not n_clean or not n_toxic:
-        prior = 0.5 if n_clean == n_toxic else (1e-3 if n_clean else 1 - 1e-3)
+        prior = 1 - 1e-3 if n_toxic else 1e-3
         none = np.empty(0)
         return ToxicityModel(none.astype(np.int64), none, none, float(np.log(prior / (1 - prior))))
     # Shares per class, and how many standard deviations they lie apart.
