@@ -21,8 +21,8 @@ from lithoscan.llm.toxicity import drop_toxic, train_toxicity
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Train on the labelled documents; documents that score as toxic go.  Null
-    texts count as empty, rows that repeat are scored alike; without labels of
-    both kinds, all are scored by the prior (of half, if there are none)."""
+    texts count as empty, rows that repeat are scored alike; without toxic labels
+    nothing goes."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return drop_toxic(docs, train_toxicity(docs, labels))
 
