@@ -33,3 +33,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a materialized table that nothing reads any more."""
+    spark = df.sparkSession
+    folders = {name.rpartition("/")[0] for name in df.inputFiles()}
+    root = shared_dir(spark).split(":", 1)[-1].lstrip("/")
+    for folder in folders:
+        if root in folder:  # in the shared folder only
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
