@@ -12,7 +12,7 @@ import os
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import materialize, scratch_path, shared_dir
+from ..sources.scratch import discard, materialize, scratch_path, shared_dir
 
 # The white space class [\x20\x09-\x0D] and the ASCII capitals.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -52,6 +52,6 @@ def null_id(name: str) -> Column:
 
 
 __all__ = [
-    "ASCII_SPACE", "LOWER", "NULL_ID", "UPPER", "ascii_lower", "id_or_lowest", "materialize", "null_id", "prepare",
+    "ASCII_SPACE", "LOWER", "NULL_ID", "UPPER", "ascii_lower", "discard", "id_or_lowest", "materialize", "null_id", "prepare",
     "scratch_path", "shared_dir", "text_or_empty",
 ]

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_or_lowest, materialize, null_id, prepare, text_or_empty
+from .common import discard, id_or_lowest, materialize, null_id, prepare, text_or_empty
 from .components import connected_components
 from .shingles import mixed, overlap, shingle_sets
 
@@ -45,6 +45,8 @@ TREES, STEP, DEPTH, MIN_PREFIX, NEIGHBOURS = 20, 6, 12, 3, 3
 #: Nodes of one part from which all are first compared with a few of them, the best
 #: linked ones; a tile's side; pairs of one node that are confirmed in one group.
 CROWD, CENTRES, TILE, GROUP = 2048, 4, 1024, 256
+#: Comparisons of sketches in one region that go to one task.
+TASK_WORK = 20_000_000
 #: Bits of the tables, the same at any size, that tell which parts may be shared
 #: and which nodes' texts may be wanted.  A full table rules out less, and more
 #: rows are shuffled; none is lost.
@@ -74,8 +76,9 @@ def min_hashes(values: np.ndarray, n: int) -> np.ndarray:
 
 def parities(values: np.ndarray) -> bytes:
     """Of each cell that the set's hashes fall into, whether they are odd in
-    number; a power of two of cells, as many as the set has members at least."""
-    cells = 1 << max(6, int(len(values)).bit_length())
+    number; a power of two of cells, two for each member at least, so that few
+    members that differ hide one another."""
+    cells = 1 << max(6, int(len(values)).bit_length() + 1)
     odd = np.bincount((values & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -331,7 +334,9 @@ def shared_parts(told: DataFrame) -> DataFrame:
     Tokens are counted with partial aggregation; a table of ``SHARED_BITS`` bits
     tells tasks which rows to pass on, so those of parts that one node has are
     shuffled once, as a count."""
-    counts = told.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("k"))
+    # Forty bits of a token tell nearly all apart, and take less room in the shuffle.
+    some = told.select(F.explode("tokens").alias("token")).select(F.col("token").bitwiseAND(F.lit((1 << 40) - 1)).alias("token"))
+    counts = some.groupBy("token").agg(F.count(F.lit(1)).alias("k"))
     bits = _bit_table(F.col("token").bitwiseAND(F.lit(SHARED_BITS - 1)), counts.where("k > 1"), SHARED_BITS)
     rows = told.select("node", "tokens").mapInArrow(_maybe_shared(told.sparkSession.sparkContext.broadcast(bits)), "token long, node long")
     return materialize(rows, "shared_parts")
@@ -385,8 +390,12 @@ def _compare(share: int):
 
 
 def _compared(tiles: DataFrame, share: int) -> DataFrame:
-    """``tiles (token, _t, _u, node, root, n, _block, bits)`` to distinct pairs."""
-    dealt = tiles.repartition("token", "_t", "_u").sortWithinPartitions("token", "_t", "_u")
+    """``tiles (token, region, salts, _t, _u, node, root, n, _block, bits)`` to
+    distinct pairs.  The parts of one region, which share their lowest component,
+    share its pairs too: they go to as few tasks as they fill, which tell of a pair
+    once."""
+    salt = F.pmod(F.xxhash64("token", "_t", "_u"), "salts")
+    dealt = tiles.repartition("region", salt).sortWithinPartitions("token", "_t", "_u")
     return dealt.mapInArrow(_compare(share), "a long, b long").distinct()
 
 
@@ -397,7 +406,8 @@ def exact_rest(
     Pairs that were ``tried`` and still lie apart are not linked."""
     kind = "node long, n long, bits binary, tokens array<long>"
     told = materialize(texts.select("node", "_text").mapInArrow(_parts(width, share), kind), "part_tokens")
-    shared = shared_parts(told)
+    shared, facts = shared_parts(told), materialize(told.select("node", "n", "bits"), "sketches")
+    discard(told)
 
     def crossing(held: DataFrame) -> DataFrame:
         placed = held.select("token", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -405,12 +415,15 @@ def exact_rest(
             F.min("root").alias("_low"), F.max("root").alias("_high"), F.count(F.lit(1)).alias("k")
         )
         # Written first, so that Spark can split the join of a part that very many have.
-        spans = materialize(spans.where("_low < _high").select("token", "k"), "spans")
-        return materialize(placed.join(spans, "token"), "crossing")
+        spans = materialize(spans.where("_low < _high").select("token", "k", F.col("_low").alias("region")), "spans")
+        # What a part's rows are compared with, summed up by region.
+        work = F.sum(F.col("k") * (F.col("k") + 1) / 2)
+        salts = spans.groupBy("region").agg(F.ceil(work / TASK_WORK).alias("salts"))
+        return materialize(placed.join(spans.join(salts, "region"), "token"), "crossing")
 
     def link(tiles: DataFrame) -> bool:
         nonlocal roots, links, tried
-        pairs = _compared(tiles.join(told.select("node", "n", "bits"), "node"), share)
+        pairs = _compared(tiles.join(facts, "node"), share)
         pairs = materialize(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "exact_pairs")
         if pairs.isEmpty():
             return False
@@ -432,8 +445,8 @@ def exact_rest(
         centres = long.join(ends, "node", "left").withColumn("_r", best).where(F.col("_r") <= CENTRES)
         # Tiles of the centres as one block and the others in as many as they fill.
         block = F.pmod(F.xxhash64("node"), last + 1) + 1
-        centre = centres.select("token", "node", "root", F.explode(F.sequence(F.lit(1).cast("long"), last + 1)).alias("_u"), zero.alias("_block"))
-        own = long.select("token", "node", "root", block.alias("_u"), block.alias("_block"))
+        centre = centres.select("token", "region", "salts", "node", "root", F.explode(F.sequence(F.lit(1).cast("long"), last + 1)).alias("_u"), zero.alias("_block"))
+        own = long.select("token", "region", "salts", "node", "root", block.alias("_u"), block.alias("_block"))
         if not link(centre.unionByName(own).withColumn("_t", zero)):
             break
         rows = crossing(rows)
@@ -442,7 +455,7 @@ def exact_rest(
     blocks = rows.withColumn("_block", F.pmod(F.xxhash64("node"), last + 1))
     tiles = blocks.withColumn("_other", F.explode(F.sequence(zero, last)))
     tiles = tiles.withColumns({"_t": F.least("_block", "_other"), "_u": F.greatest("_block", "_other")})
-    link(tiles.select("token", "node", "root", "_t", "_u", "_block"))
+    link(tiles.select("token", "region", "salts", "node", "root", "_t", "_u", "_block"))
     return roots
 
 
