@@ -8,7 +8,9 @@ from public_tokenizers import path as tokenizer_file
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import align_tokens, score_links
 from .brown_lm import score_brown, train_brown
+from .byte_codec import decode_ids, encode_texts
 from .decontaminate import find_leaks
 from .exact_dedup import exact_groups
 from .html_extract import extract_main_text
@@ -18,6 +20,7 @@ from .packing import pack_documents
 from .sharding import shard_records
 from .token_counts import count_tokens
 from .toxicity import score_toxicity, train_toxicity
+from .whitening import whiten
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,6 +85,30 @@ def op10_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whiten(table(spark, sf_dir, "embeddings"), most=4)
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = tokenizer_file("byte_bpe_50k.tiktoken")
+    coded = encode_texts(table(spark, sf_dir, "documents"), ranks)
+    return decode_ids(coded, ranks).select(
+        "doc_id", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model")
+    aligned = align_tokens(table(spark, sf_dir, "documents"), a, b)
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    scored = score_links(aligned.withColumn("groups_sha256", digest).drop("groups"))
+    return scored.select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", F.col("n_best_a").alias("n_best"), "count_sum", "groups_sha256"
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -96,6 +123,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_sharding,
             op9_toxicity,
             op10_brown_lm,
+            op11_whitening,
+            op12_byte_bpe,
+            op13_alignment,
         )
     }
 

@@ -82,7 +82,7 @@ class ByteBPE:
 
             symbols = _byte_symbols()
             ranks = {bytes(symbols[c] for c in token): i for token, i in vocab.items() if token not in self.special}
-            engine = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.engine = engine = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
             self.memo = _Memo(lambda word: np.array(engine.encode_ordinary(word), dtype="<u4").tobytes())
             self.marks = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         else:
