@@ -30,7 +30,9 @@ def folder(spark, tmp_path_factory):
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{out}/benchmark.parquet")
     labels = [(d, int(i % 3 == 0)) for i, (d, *_) in enumerate(data) if i % 2]
     spark.createDataFrame(labels, "doc_id long, toxic int").withColumn("quality", F.lit(1)).write.parquet(f"{out}/labels.parquet")
-    for name in ("pages", "benchmark", "labels"):
+    vectors = [(i % 9, [float(i), float(i * i % 7), -0.5], 0) for i in range(20)] + [(77, None, 1)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{out}/embeddings.parquet")
+    for name in ("pages", "benchmark", "labels", "embeddings"):
         spark.read.parquet(f"{out}/{name}.parquet").limit(0).write.parquet(f"{out}/none/{name}.parquet")
     return out, data
 
