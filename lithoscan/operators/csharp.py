@@ -1,40 +1,166 @@
 """C# declarations: types, first bases and members with their source spans.
 
-A scanner for declarations only: comments and literals are blanked, statements
-inside member bodies are skipped.  Spark splits the files over tasks, one array
-of declarations per file; everything after that is DataFrame work.
+Two small helpers work on text: one blanks comments, literals and inactive
+``#if`` branches of a file, one reads the head of a single declaration.  What
+lies between is DataFrame work: braces, brackets, semicolons and arrows become
+rows; running sums in a window per file give nesting depths; what stands in
+brackets is left out as a unit; statements are numbered inside the innermost
+open brace, and joined to the type that the brace opens.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_BYTES = 10 * 1024 * 1024
+from ..sources.scratch import materialize
 
-_TEXTS = ("kind", "type_name", "name", "base_name", "type_params", "value_type", "params")
-_NUMBERS = ("start", "length", "line")
-DECLARATION = T.StructType([T.StructField(c, T.StringType()) for c in _TEXTS] + [T.StructField(c, T.IntegerType()) for c in _NUMBERS])
+MAX_BYTES = 10 * 1024 * 1024
 
-_BLANKED = re.compile(
-    r'//[^\n]*|/\*.*?(?:\*/|\Z)|\$*"""+.*?"""+|(?:\$@|@\$|@)"(?:[^"]|"")*"|\$?"(?:\\.|[^"\\\n])*"'
-    r"|'(?:\\.|[^'\\\n])+'|^[ \t]*\#[^\n]*",
-    re.S | re.M,
-)
-_MODIFIERS = (
-    r"(?:(?:public|private|protected|internal|static|abstract|sealed|partial|readonly|ref|unsafe|new|file|virtual"
+_TEXTS = ("kind", "name", "base_name", "type_params", "value_type", "params")
+HEADING = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in _TEXTS]))
+
+# ---- blanking ----
+
+_LEXEME = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|[$@]*\"+|'(?:\\.|[^'\\\n])+'|^[ \t]*\#[^\n]*", re.S | re.M)
+_IN_STRING = re.compile(r'\\.|"+|\{+|\n', re.S)
+_IN_HOLE = re.compile(r"/\*.*?\*/|[$@]*\"+|'(?:\\.|[^'\\\n])+'|[{}]", re.S)
+_DIRECTIVE = re.compile(r"^[ \t]*\#[ \t]*(\w+)[ \t]*([^\n]*)", re.M)
+_NOT_NEWLINE = re.compile(r"[^\n]")
+
+
+def _string_end(code: str, opening: re.Match) -> int:
+    """Just past the literal that ``opening``, its prefix and first quotes, begins."""
+    prefix, quotes = opening[0].rstrip('"'), opening[0].count('"')
+    holes, verbatim, at = prefix.count("$"), "@" in prefix, opening.end()
+    if verbatim or quotes == 1:
+        at, quotes = opening.start() + len(prefix) + 1, 1
+    elif quotes == 2:
+        return at
+    while m := _IN_STRING.search(code, at):
+        at, mark = m.end(), m[0]
+        if mark[0] == '"':
+            if quotes > 1 and len(mark) >= quotes or quotes == 1 and verbatim and len(mark) % 2:
+                return at
+            if quotes == 1 and not verbatim:
+                return m.start() + 1
+        elif mark[0] == "\\":
+            if verbatim or quotes > 1:
+                at = m.start() + 1
+        elif mark == "\n":
+            if quotes == 1 and not verbatim:
+                return m.start()
+        elif holes and (len(mark) % 2 if quotes == 1 else len(mark) >= holes):
+            at = _hole_end(code, at)
+    return len(code)
+
+
+def _hole_end(code: str, at: int) -> int:
+    """Just past the brace that closes an interpolated expression."""
+    depth = 1
+    while m := _IN_HOLE.search(code, at):
+        at = m.end()
+        if m[0] in "{}":
+            depth += 1 if m[0] == "{" else -1
+            if not depth:
+                return at
+        elif m[0][-1] == '"':
+            at = _string_end(code, m)
+    return len(code)
+
+
+def _holds(condition: str, symbols: set[str]) -> bool:
+    """A condition of ``#if``: symbols, ``true``, ``false``, ``!``, ``==``, ``!=``,
+    ``&&``, ``||`` and brackets; a malformed one does not hold."""
+    marks = re.findall(r"\w+|&&|\|\||==|!=|[!()]", condition.partition("//")[0])
+
+    def one() -> bool:
+        mark = marks.pop(0)
+        if mark == "!":
+            return not one()
+        if mark == "(":
+            inner = chain(0)
+            marks.pop(0)
+            return inner
+        return mark == "true" or mark in symbols
+
+    def chain(level: int) -> bool:
+        if level == 3:
+            return one()
+        value = chain(level + 1)
+        while marks and marks[0] in (("||",), ("&&",), ("==", "!="))[level]:
+            mark, other = marks.pop(0), chain(level + 1)
+            value = {"||": value or other, "&&": value and other, "==": value == other, "!=": value != other}[mark]
+        return value
+
+    try:
+        return chain(0)
+    except IndexError:
+        return False
+
+
+def blanked(code: str, symbols: frozenset[str] = frozenset()) -> str:
+    """The code at the same length, with spaces for comments, literals, lines of
+    directives and the branches of ``#if`` that are not taken.
+
+    Symbols are those given and those that the file defines."""
+    out, done, at = [], 0, 0
+    defined, stack = set(symbols), []  # per open #if: is this branch taken, was any, is the outside active
+
+    def blank(upto: int) -> None:
+        nonlocal done
+        out.append(_NOT_NEWLINE.sub(" ", code[done:upto]))
+        done = upto
+
+    while True:
+        active = not stack or stack[-1][0]
+        m = (_LEXEME if active else _DIRECTIVE).search(code, at)
+        if m is None:
+            break
+        at = m.end()
+        if active:
+            out.append(code[done : m.start()])
+            done = m.start()
+            if m[0][-1] == '"' and m[0][0] in '$@"':
+                at = _string_end(code, m)
+        blank(at)
+        told = _DIRECTIVE.fullmatch(m[0]) if m[0].lstrip(" \t")[:1] == "#" else None
+        word, rest = told.groups() if told else ("", "")
+        if word == "if":
+            taken = active and _holds(rest, defined)
+            stack.append([taken, taken, active])
+        elif word in ("elif", "else") and stack:
+            _, before, outside = stack[-1]
+            taken = outside and not before and (word == "else" or _holds(rest, defined))
+            stack[-1] = [taken, before or taken, outside]
+        elif word == "endif" and stack:
+            stack.pop()
+        elif active and word in ("define", "undef"):
+            (defined.add if word == "define" else defined.discard)(rest.split("//")[0].strip())
+    if stack and not stack[-1][0]:
+        blank(len(code))
+    out.append(code[done:])
+    return "".join(out)
+
+
+# ---- the head of one declaration ----
+
+_MODIFIERS = re.compile(
+    r"\s*(?:(?:public|private|protected|internal|static|abstract|sealed|partial|readonly|ref|unsafe|new|file|virtual"
     r"|override|extern|async|const|volatile|required|implicit|explicit)\s+)*"
 )
-_LEAD = re.compile(r"(?:\s*\[[^\]]*\])*\s*" + _MODIFIERS)
 _TYPE = re.compile(r"(class|struct|interface|record(?:\s+(?:class|struct))?)\s+(\w+)\s*(<[^:({]*>)?\s*(\(.*?\))?\s*(?::\s*(.*))?$", re.S)
 _NAMESPACE = re.compile(r"namespace\s+([\w.]+)\s*$")
 _CALL = re.compile(r"(?:(.+?)\s+)?([\w.]+)\s*(?:<[^()]*>)?\s*\(", re.S)
+_OPERATOR = re.compile(r"\boperator\s*(?:checked\s+)?([^\s\w(]+|true\b|false\b)?")
 _ASSIGN = re.compile(r"(?<![=!<>])=(?![=>])")
+_LIST = re.compile(r"(?<!:):(?!:)")
 
 
 def _flat(text: str) -> str:
@@ -52,16 +178,6 @@ def _split(text: str) -> list[str]:
     return [text[a + 1 : b].strip() for a, b in zip([-1, *cuts], [*cuts, len(text)], strict=True)]
 
 
-def _closing(masked: str, at: int) -> int:
-    """Just past the brace that closes the one at ``at``."""
-    depth = 0
-    for m in re.compile("[{}]").finditer(masked, at):
-        depth += 1 if m[0] == "{" else -1
-        if depth == 0:
-            return m.end()
-    return len(masked)
-
-
 def _parameters(text: str) -> str:
     found = []
     for part in _split(text):
@@ -70,121 +186,187 @@ def _parameters(text: str) -> str:
     return ", ".join(p for p in found if p)
 
 
-def _members(header: str, ends: str, owner: str):
-    """``(kind, name, value type, parameters)`` of one member's header."""
-    head = header[_LEAD.match(header).end() :].strip()
+def _plain(head: str) -> str:
+    """A head without the attributes and modifiers before it."""
+    at = 0
+    while m := re.compile(r"\s*\[").match(head, at):
+        depth, at = 1, m.end()
+        while depth and (m := re.compile(r"[\[\]]").search(head, at)):
+            depth, at = depth + (1 if m[0] == "[" else -1), m.end()
+        if depth:
+            return ""
+    return head[_MODIFIERS.match(head, at).end() :].strip()
+
+
+Row = tuple[str, str, str | None, str, str, str]
+
+
+def _members(head: str, mark: str) -> Iterator[Row]:
+    """The members that a head declares.  What looks like a constructor is one where
+    its name is the type's."""
+
+    def row(kind: str, name: str, value_type: str = "", params: str = "") -> Row:
+        return kind, name, None, "", " ".join(value_type.split()), params
+
     if not head or re.match(r"(enum|delegate|using|extern)\b", head) or head[0] in "=~":
         return
+    cut = _LIST.search(_flat(head)) if mark != "=" else None
+    head = head[: cut.start()].rstrip() if cut else head  # this(...), base(...) and constraints
+    kind = "Field"
     if event := re.match(r"event\s+", head):
-        if ends != ";":
+        if mark in "{=>" and mark != "=":
             return
         head, kind = head[event.end() :], "Event"
-    elif operator := re.search(r"\boperator\s*([^\s\w(]+|true|false)\s*\(", head):
-        yield "Operator", operator[1], head[: operator.start()].strip(), ""
+    elif operator := _OPERATOR.search(head):
+        if operator[1]:
+            yield row("Operator", operator[1], head[: operator.start()])
         return
     elif indexer := re.search(r"\bthis\s*\[", head):
-        yield "Indexer", "this", head[: indexer.start()].strip(), ""
+        yield row("Indexer", "this", head[: indexer.start()])
         return
     elif (call := _CALL.match(head)) and not _ASSIGN.search(_flat(head)[: call.start(2)]):
         name, close = call[2].rpartition(".")[2], _flat(head[call.end() - 1 :])
         params = _parameters(head[call.end() : call.end() - 2 + len(re.match("&*", close)[0])])
-        if call[1]:
-            yield "Method", name, " ".join(call[1].split()), params
-        elif name == owner:
-            yield "Constructor", name, "", params
+        yield row("Method" if call[1] else "Constructor", name, call[1] or "", params)
         return
-    elif ends != ";":
+    elif mark in ("{", "=>"):
         if found := re.match(r"(.*\S)\s+([\w.]+)$", head, re.S):
-            yield "Property", found[2].rpartition(".")[2], " ".join(found[1].split()), ""
+            yield row("Property", found[2].rpartition(".")[2], found[1])
         return
-    else:
-        kind = "Field"
     value_type = ""
     for i, part in enumerate(_split(head)):
         found = re.match(r"(.*?)(\w+)\s*$", _flat(part).split("=")[0], re.S)
         if found:
-            value_type = value_type if i else " ".join(part[: found.start(2)].split())
-            yield kind, found[2], value_type, ""
-
-
-def declarations(code: str | None) -> list[tuple]:
-    """All types and members of one file, in the order of their ends."""
-    if not code or len(code) > MAX_BYTES:
-        return []
-    masked = _BLANKED.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), code)
-    found, scopes, begin, skip_to, file_namespace = [], [], 0, 0, []
-    breaks = [m.start() for m in re.finditer("\n", code)]
-
-    def add(kind, type_name, name, base, type_params, value_type, params, start, end):
-        first = re.compile(r"\S|\Z").search(masked, start).start()
-        line = bisect_left(breaks, first) + 1
-        found.append((kind, type_name, name, base, type_params, value_type, params, start, end - start, line))
-
-    def path():
-        return file_namespace + [s[0] for s in scopes]
-
-    for token in re.finditer(r"[{};]|=>", masked):
-        if token.start() < skip_to:
-            continue
-        header, mark = masked[begin : token.start()], token[0]
-        plain = header[_LEAD.match(header).end() :].strip()
-        declared = _TYPE.match(re.sub(r"\bwhere\b.*", "", plain, flags=re.S).strip()) if mark in "{;" else None
-        if mark == "}":
-            if scopes:
-                name, row, start = scopes.pop()
-                if row:
-                    add(*row, start, token.end())
-        elif declared:
-            kind = declared[1].split()[0].capitalize()
-            name = ".".join([*path(), declared[2]])
-            base = _split(declared[5])[0] if declared[5] else None
-            row = (kind, name, declared[2], base, (declared[3] or "").strip(), "", "")
-            if mark == "{":
-                scopes.append((declared[2], row, begin))
-            else:
-                add(*row, begin, token.end())
-        elif space := _NAMESPACE.match(plain):
-            if mark == "{":
-                scopes.append((space[1], None, begin))
-            else:
-                file_namespace = [space[1]]
-        else:
-            assigned = "operator" not in plain and _ASSIGN.search(_flat(plain))
-            if mark == "{" and assigned:
-                skip_to = _closing(masked, token.start())
-                continue
-            if mark == "=>" and assigned:
-                continue
-            end = token.end()
-            if mark == "{":
-                end = _closing(masked, token.start())
-            elif mark == "=>":
-                rest = re.compile(r"[{;]")
-                while (at := rest.search(masked, end)) and at[0] == "{":
-                    end = _closing(masked, at.start())
-                end = at.end() if at else len(masked)
-            if scopes and scopes[-1][1]:
-                for kind, name, value_type, params in _members(header, mark, scopes[-1][0]):
-                    add(kind, scopes[-1][1][1], name, None, "", value_type, params, begin, end)
-            begin = skip_to = end
-            continue
-        begin = token.end()
-    return found
-
-
-@F.pandas_udf(T.ArrayType(DECLARATION))
-def _declarations(codes: pd.Series) -> pd.Series:
-    return codes.map(declarations)
-
-
-def scan_declarations(files: DataFrame) -> DataFrame:
+            value_type = value_type if i else part[: found.start(2)]
+            yield row(kind, found[2], value_type)
+
+
+def heading(text: str, mark: str) -> list[Row]:
+    """What a blanked head declares that ends at ``mark``: a namespace, a type, or
+    members; for fields the head is the whole statement."""
+    head = _plain(text)
+    if mark in ("{", ";"):
+        if space := _NAMESPACE.match(head):
+            return [("Namespace", space[1], None, "", "", "")]
+        if found := _TYPE.match(re.sub(r"\bwhere\b.*", "", head, flags=re.S).strip()):
+            base = _split(found[5])[0] if found[5] else None
+            return [(found[1].split()[0].capitalize(), found[2], base, (found[3] or "").strip(), "", "")]
+    return list(_members(head, mark))
+
+
+@F.pandas_udf(HEADING)
+def _headings(texts: pd.Series, marks: pd.Series) -> pd.Series:
+    return pd.Series([heading(text, mark) for text, mark in zip(texts, marks, strict=True)])
+
+
+# ---- statements and scopes as rows ----
+
+#: A piece of a file: text, and the structural mark behind it.
+_PIECE = r"(?s)[^{}\[\]();=]*(?:=>|==|[{}\[\]();=]|$)"
+_SCOPE_WORD = r"\b(class|struct|interface|record|namespace)\b"
+
+
+def _statements(read: DataFrame) -> DataFrame:
+    """``read (_file, _masked)`` to one row per statement, whatever brace it stands in:
+    its place, its first mark, and the piece ``parent`` that opened the brace (-1
+    outside all)."""
+    rows = read.select("_file", F.posexplode(F.regexp_extract_all("_masked", F.lit(_PIECE), F.lit(0))).alias("i", "piece"))
+    piece = F.col("piece")
+    compound = piece.rlike(r"[<>!=+\-*/%&|^?~]=$")
+    mark = F.when(F.endswith(piece, F.lit("=>")), "=>").when(compound, "").otherwise(F.right(piece, F.lit(1)))
+    in_file = Window.partitionBy("_file").orderBy("i")
+    before = in_file.rowsBetween(Window.unboundedPreceding, -1)
+    step = lambda up, down: F.when(F.col("mark").isin(*up), 1).when(F.col("mark").isin(*down), -1).otherwise(0)
+    rows = rows.select("_file", "i", mark.alias("mark"), F.length(piece).alias("n"), F.regexp_count(piece, F.lit("\n")).alias("nl"), piece.rlike(_SCOPE_WORD).cast("int").alias("word"))
+    rows = rows.select(
+        "_file", "i", "mark", *[F.sum(c).over(in_file).cast("int").alias(to) for c, to in (("n", "end"), ("nl", "lines"), ("word", "words"))],
+        F.sum(step("([", ")]")).over(in_file).alias("held"),
+    )
+    # What stands in brackets, attributes and lambdas among arguments too, is passed over as a unit.
+    rows = rows.where((F.col("held") == 0) & F.col("mark").isin("{", "}", ";", "=>", "="))
+    opens = F.col("mark") == "{"
+    rows = rows.withColumn("level", F.sum(step("{", "}")).over(in_file) - opens.cast("int"))
+    # A brace stands in the scope around it, and opens the one inside it.
+    roles = F.when(opens, F.array(F.struct(F.col("level"), F.lit(False).alias("opener")), F.struct((F.col("level") + 1).alias("level"), F.lit(True).alias("opener"))))
+    roles = roles.otherwise(F.array(F.struct(F.col("level"), F.lit(False).alias("opener"))))
+    rows = rows.withColumn("_r", F.explode(roles)).select("_file", "i", "mark", "end", "lines", "words", "_r.level", "_r.opener")
+    by_level = Window.partitionBy("_file", "level").orderBy("i")
+    parent = F.coalesce(F.last(F.when(F.col("opener"), F.col("i")), ignorenulls=True).over(by_level), F.lit(-1))
+    rows = rows.withColumn("parent", parent)
+    in_scope = Window.partitionBy("_file", "parent").orderBy("i")
+    before = in_scope.rowsBetween(Window.unboundedPreceding, -1)
+    latest = lambda when, what: F.last(F.when(when, F.col(what)), ignorenulls=True).over(before)
+    # Behind an assignment or an arrow a brace is part of an expression, which a semicolon ends.
+    semicolon = F.coalesce(latest(F.col("mark") == ";", "i"), F.lit(-1))
+    expression = F.coalesce(latest(F.col("mark").isin("=", "=>") & ~F.col("opener"), "i"), F.lit(-1)) > semicolon
+    rows = rows.withColumn("stops", F.col("opener") | (F.col("mark") == ";") | ((F.col("mark") == "}") & ~expression))
+    origin = [F.coalesce(latest(F.col("stops"), c), F.lit(0)).alias(f"{c}_before") for c in ("end", "lines", "words")]
+    number = F.coalesce(F.sum(F.col("stops").cast("int")).over(before), F.lit(0)).alias("number")
+    rows = rows.select("*", *origin, number).where(~F.col("opener"))
+    first = F.min(F.struct("i", "mark", "end", "words")).alias("m")
+    told = rows.groupBy("_file", "parent", "number").agg(
+        first, F.min("level").alias("level"), F.max("end").alias("end"), F.min("end_before").alias("start"),
+        F.min("lines_before").alias("lines"), F.min("words_before").alias("words"),
+    )
+    return told.select(
+        "_file", "parent", "level", "start", "end", "lines", F.col("m.i").alias("brace"), F.col("m.mark").alias("mark"),
+        (F.col("m.end") - F.length("m.mark")).alias("head_end"), (F.col("m.words") > F.col("words")).alias("may_open"),
+    )
+
+
+def _full_names(scopes: DataFrame) -> DataFrame:
+    """``(_file, brace, full_name)`` of namespaces and types: one join per level of
+    nesting puts the name of what is around in front."""
+    spaces = scopes.where("kind = 'Namespace' AND mark = ';'").groupBy("_file").agg(F.min_by("name", "start").alias("_space"))
+    scopes = scopes.join(spaces, "_file", "left").where("kind <> 'Namespace' OR mark = '{'")
+    full = F.concat_ws(".", "_space", "name").alias("full_name")
+    bounds = scopes.agg(F.min("level"), F.max("level")).first()  # below 0 where braces close that nothing opened
+    levels = []
+    for level in range(bounds[0] or 0, (bounds[1] or 0) + 1):
+        here = scopes.where(F.col("level") == level)
+        named = here.where("parent = -1").select("_file", "brace", "name", full)
+        if levels:
+            outer = levels[-1].select("_file", F.col("brace").alias("parent"), F.col("full_name").alias("_outer"))
+            inner = here.join(outer, ["_file", "parent"])
+            named = named.unionByName(inner.select("_file", "brace", "name", F.concat_ws(".", "_outer", "name").alias("full_name")))
+        levels.append(named)
+    return reduce(DataFrame.unionByName, levels)
+
+
+def scan_declarations(files: DataFrame, symbols: frozenset[str] = frozenset()) -> DataFrame:
     """``files (path, content)`` to one row per declaration with its ``source``
-    text (leading comments included).  Null and empty contents, and files over
-    10 MiB, give no rows; other columns are not carried."""
+    text (leading comments included); ``symbols`` are defined for ``#if``.  Null
+    and empty contents, and files over 10 MiB, give no rows; repeated files give
+    their rows each; other columns are not carried."""
+
+    @F.pandas_udf(T.StringType())
+    def masked(codes: pd.Series) -> pd.Series:
+        return codes.map(lambda code: blanked(code, symbols))
+
     read = files.select("path", "content").where(F.octet_length("content") <= MAX_BYTES)
-    found = read.select("path", "content", F.explode(_declarations("content")).alias("d"))
-    # Python counts code points, as substring does.
-    return found.select("path", "d.*", F.substr("content", F.col("d.start") + 1, F.col("d.length")).alias("source"))
+    read = materialize(read.select("path", "content", masked("content").alias("_masked"), F.monotonically_increasing_id().alias("_file")), "code")
+    every = materialize(_statements(read), "statements")
+    # Bodies hold most statements; only those that stand in what may be a type or namespace are looked at.
+    scopes = every.where("mark = '{' AND may_open").select("_file", F.col("brace").alias("parent"), F.lit(True).alias("_in"))
+    near = every.join(scopes, ["_file", "parent"], "left").where("_in OR parent = -1").drop("_in", "may_open")
+    whole = F.col("mark").isin("=", ";")
+    text = F.substr("_masked", F.col("start") + 1, F.when(whole, F.col("end") - F.lit(1)).otherwise(F.col("head_end")) - F.col("start"))
+    near = near.join(read, "_file").withColumn("_text", text)
+    blank = F.regexp_count(F.regexp_extract("_text", r"^\s*", 0), F.lit("\n"))
+    near = near.select(
+        "_file", "path", "parent", "level", "brace", "mark", "start", (F.col("end") - F.col("start")).alias("length"),
+        (F.col("lines") + blank + 1).cast("int").alias("line"), F.substr("content", F.col("start") + 1, F.col("end") - F.col("start")).alias("source"),
+        F.explode(_headings("_text", "mark")).alias("d"),
+    )
+    near = materialize(near.select("*", "d.*").drop("d"), "headings")
+    is_scope = F.col("kind").isin("Namespace", *_TYPE_KINDS)
+    names = _full_names(near.where(is_scope))
+    columns = ["path", "kind", "type_name", *_TEXTS[1:], "start", "length", "line", "source"]
+    types = near.where(is_scope & (F.col("kind") != "Namespace")).join(names.select("_file", "brace", F.col("full_name").alias("type_name")), ["_file", "brace"])
+    owners = near.where(F.col("kind").isin(*_TYPE_KINDS)).select("_file", "brace").join(names, ["_file", "brace"])
+    owners = owners.select("_file", F.col("brace").alias("parent"), F.col("full_name").alias("type_name"), F.col("name").alias("_owner"))
+    inside = near.where(~is_scope).join(owners, ["_file", "parent"]).where("kind <> 'Constructor' OR name = _owner")
+    return types.select(columns).unionByName(inside.select(columns))
 
 
 _TYPE_KINDS = ("Class", "Struct", "Interface", "Record")

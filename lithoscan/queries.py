@@ -417,6 +417,85 @@ def csharp_outline(spark, d):
     return csharp.outline(csharp.scan_declarations(_code_files(spark, d))).select("path", "signature")
 
 
+# ---- declarations of ordinary code: initialisers, attributes, nested literals, branches ----
+
+_BUSY = r'''@define@using System;
+namespace @brand@
+{
+    [Note(new string[] { "x;", "}" }), Other("[")]
+    public class Part_@k@ : Part_@up@, IPart
+    {
+#if MODERN && !(OLD || false)
+        public int Twice(int a) {
+#elif OLD
+        ### " {
+#else
+        public long Twice(long a) {
+#endif
+            return a * 2; }
+        string Shown = $"{(a ? "}" : "{")} {{ {b:0} \"";
+        string Path = @"c:\{", Raw = $$"""{ {{(x ? "}" : "")}} """;
+        public Part_@k@(int x) : base(x) { }
+        public Part_@k@() : this(1) { int inner = 2; }
+        public static explicit operator string(Part_@k@ a) { return "}"; }
+        public static implicit operator int(Part_@k@ a) => 1;
+        public static bool operator ==(Part_@k@ a, Part_@k@ b) => a.Equals(b);
+        [A] [B(typeof(int[]))] public int Size { get; set; } = @size@;
+        Func<int, int> run = x => { int c = 1; return c; };
+        public struct Inner<T> where T : class { T item; void Go<U>(U u) where U : new() { } }
+        void @name@() => Call(x => { y(); });
+    }
+}
+'''
+
+
+def _busy_files(spark, d):
+    """Code with what ordinary files hold, one file for each part; half of them
+    define the symbol that their branches ask for."""
+    key, text = F.col("p_partkey"), F.lit(_BUSY)
+    for mark, value in {
+        "define": F.when(key % 2 == 0, "#define MODERN\n").otherwise(""), "brand": F.regexp_replace("p_brand", "#", ""),
+        "k": key.cast("string"), "up": F.floor(key / 3).cast("string"), "size": F.col("p_size").cast("string"), "name": _camel(F.col("p_name")),
+    }.items():
+        text = F.replace(text, F.lit(f"@{mark}@"), value)
+    return _read(spark, d, "part").select(F.concat(F.lit("src/"), key.cast("string"), F.lit(".cs")).alias("path"), text.alias("content"))
+
+
+_BUSY_PARTS = f"t AS (SELECT p_partkey AS k, 'src/' || p_partkey || '.cs' AS path, replace(p_brand, '#', '') || '.Part_' || p_partkey AS full_name, p_size, {_NAME} AS n FROM part)"
+
+
+@query(f"""WITH {_BUSY_PARTS}
+SELECT path, full_name, 'Part_' || k AS short_name, 'Class' AS kind, 'Part_' || (k // 3) AS base_name FROM t
+UNION ALL SELECT path, full_name || '.Inner', 'Inner', 'Struct', NULL FROM t""")
+def csharp_ordinary_types(spark, d):
+    return csharp.types_of(csharp.scan_declarations(_busy_files(spark, d)))
+
+
+@query(f"""WITH {_BUSY_PARTS}, m AS (SELECT path, full_name, unnest([
+  {{'t': '', 'n': 'Twice', 'm': 'Method'}}, {{'t': '', 'n': 'Shown', 'm': 'Field'}}, {{'t': '', 'n': 'Path', 'm': 'Field'}}, {{'t': '', 'n': 'Raw', 'm': 'Field'}},
+  {{'t': '', 'n': 'Size', 'm': 'Property'}}, {{'t': '', 'n': 'run', 'm': 'Field'}}, {{'t': '', 'n': n, 'm': 'Method'}},
+  {{'t': '.Inner', 'n': 'item', 'm': 'Field'}}, {{'t': '.Inner', 'n': 'Go', 'm': 'Method'}}]) AS x FROM t)
+SELECT full_name || x.t AS type_name, x.n AS member_name, x.m AS member_type, path FROM m""")
+def csharp_ordinary_members(spark, d):
+    return csharp.members_of(csharp.scan_declarations(_busy_files(spark, d)))
+
+
+@query(f"""WITH {_BUSY_PARTS}
+SELECT path, 'Method: ' || CASE WHEN k % 2 = 0 THEN 'int Twice(int a)' ELSE 'long Twice(long a)' END AS signature FROM t
+UNION ALL SELECT path, 'Method: void Go(U u)' FROM t UNION ALL SELECT path, 'Method: void ' || n || '()' FROM t""")
+def csharp_branches(spark, d):
+    found = csharp.outline(csharp.scan_declarations(_busy_files(spark, d)))
+    return found.where("kind = 'Method'").select("path", F.btrim("signature").alias("signature"))
+
+
+@query(f"""WITH {_BUSY_PARTS}
+SELECT path, full_name AS type_name, 'Constructor' AS kind, 'Part_' || k AS name, 17 + (k % 2 = 0)::INT AS line, 'public Part_' || k || '(int x) : base(x) {{ }}' AS source FROM t
+UNION ALL SELECT path, full_name, 'Constructor', 'Part_' || k, 18 + (k % 2 = 0)::INT, 'public Part_' || k || '() : this(1) {{ int inner = 2; }}' FROM t""")
+def csharp_constructors(spark, d):
+    found = csharp.member_source(csharp.scan_declarations(_busy_files(spark, d)), ".ctor")
+    return found.withColumn("source", F.btrim("source", F.lit(" \n")))
+
+
 # ---- displays, requests and their parts ----
 
 _BASE = "string_split(path, '/')[-1]"
