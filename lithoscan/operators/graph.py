@@ -16,8 +16,14 @@ def inheritors(types: DataFrame, symbol: str) -> DataFrame:
     named = types.where(F.lower("short_name") == symbol.lower()).select(F.lower("full_name").alias("_base"))
     spark = types.sparkSession
     asked = spark.createDataFrame([(symbol.lower(),), (last.lower(),)], "_base string").unionByName(named).distinct()
-    found = types.join(asked, F.lower(types["base_name"]) == asked["_base"], "left_semi")
-    return found.groupBy(F.lower("full_name").alias("_key")).agg(F.min("full_name").alias("full_name"), F.min("path").alias("path"), F.array_sort(F.collect_set("path")).alias("paths")).drop("_key")
+    return children(types.join(asked, F.lower(types["base_name"]) == asked["_base"], "left_semi"))
+
+
+def children(found: DataFrame) -> DataFrame:
+    """``(full_name, path, paths)``: one row per type in any case."""
+    return found.groupBy(F.lower("full_name").alias("_key")).agg(
+        F.min("full_name").alias("full_name"), F.min("path").alias("path"), F.array_sort(F.collect_set("path")).alias("paths")
+    ).drop("_key")
 
 
 def resolutions(types: DataFrame) -> DataFrame:

@@ -32,15 +32,20 @@ def ngram_candidates(grams: DataFrame, query: str, most: int = 500) -> DataFrame
     return shared.orderBy(F.col("shared").desc(), "name").limit(most)
 
 
-def fuzzy_types(names: DataFrame, grams: DataFrame, query: str, most: int = 20, few: int = 50) -> DataFrame:
-    """Best names; long queries score only those that share most 2-grams, unless these are few."""
+def best_names(names: DataFrame, candidates: DataFrame, query: str, most: int = 20, few: int = 50) -> DataFrame:
+    """Best names; long queries score only the candidates, unless these are few."""
     if len(query) > 4:
-        found = ngram_candidates(grams, query).select("name").collect()  # 500 rows at most
+        found = candidates.select("name").collect()  # 500 rows at most
         if len(found) >= few:
             names = names.sparkSession.createDataFrame(found, "name string")
     return score_names(names, query, most)
 
 
+def fuzzy_types(names: DataFrame, grams: DataFrame, query: str, most: int = 20, few: int = 50) -> DataFrame:
+    """Best names; long queries score only those that share most 2-grams, unless these are few."""
+    return best_names(names, ngram_candidates(grams, query), query, most, few)
+
+
 def collapse_aliases(hits: DataFrame, types: DataFrame) -> DataFrame:
     """``(name, score)``: short names replaced by their best full name among the hits."""
     full = hits.join(types.select(F.col("full_name").alias("name"), "short_name").distinct(), "name")
@@ -57,6 +62,29 @@ def search_files(files: DataFrame, query: str, most: int = 30) -> DataFrame:
     return _best(scored, F.length("stem"), ["stem", "path"], most)
 
 
+def alike_keys(near: DataFrame, fuzzy_keys: int = 10, prefix_keys: int = 50) -> DataFrame:
+    """``near (asked, word, key)``, keys that may be like a keyword, to ``(key)``: those
+    that score 60 or more, ten for each keyword.  For two letters the first fifty
+    keys are looked at."""
+    by_key = Window.partitionBy("asked").orderBy("key")
+    short = near.where("length(word) = 2").withColumn("_r", F.row_number().over(by_key)).where(F.col("_r") <= prefix_keys).drop("_r")
+    alike = near.where("length(word) >= 3").unionByName(short)
+    alike = with_fuzzy_score(alike, F.col("key"), F.col("word")).where("score >= 60")
+    rank = F.row_number().over(Window.partitionBy("asked").orderBy(F.col("score").desc(), "key"))
+    return alike.withColumn("_r", rank).where(F.col("_r") <= fuzzy_keys).select("key")
+
+
+def members_by_hits(keys: DataFrame, hits: list[str] | DataFrame, keywords: list[str], most: int = 30) -> DataFrame:
+    """Members of ``keys`` by the keys that are hit; a key may be hit twice."""
+    if isinstance(hits, list):
+        hits = keys.sparkSession.createDataFrame([(k,) for k in hits], "key string")
+    counts = keys.join(F.broadcast(hits), "key").groupBy(*MEMBER).agg(F.count(F.lit(1)).alias("hits"))
+    bonus = F.least(F.col("hits") - 1, F.lit(5)) * 10.0
+    scored = with_fuzzy_score(counts, F.col("member_name"), "".join(keywords))
+    scored = scored.select(*MEMBER, F.least(F.col("score") + bonus, F.lit(100.0)).alias("score"))
+    return _best(scored, F.length("member_name"), MEMBER, most)
+
+
 def search_members(keys: DataFrame, keywords: list[str], most: int = 30, fuzzy_keys: int = 10, prefix_keys: int = 50) -> DataFrame:
     """Members by the keys that match the keywords, exactly and alike.
 
@@ -77,18 +105,8 @@ def search_members(keys: DataFrame, keywords: list[str], most: int = 30, fuzzy_k
     # The few keywords are literals of the plan: each distinct key is tested against them.
     literal = F.explode(F.array(*[F.struct(F.lit(i).alias("asked"), F.lit(w).alias("word")) for i, w in enumerate(words)]))
     alike = known.select("key", literal.alias("_a")).select("key", "_a.asked", "_a.word").where(near)
-    by_key = Window.partitionBy("asked").orderBy("key")
-    short = alike.where("length(word) = 2").withColumn("_r", F.row_number().over(by_key)).where(F.col("_r") <= prefix_keys).drop("_r")
-    alike = alike.where("length(word) >= 3").unionByName(short)
-    alike = with_fuzzy_score(alike, F.col("key"), F.col("word")).where("score >= 60")
-    rank = F.row_number().over(Window.partitionBy("asked").orderBy(F.col("score").desc(), "key"))
-    alike = alike.withColumn("_r", rank).where(F.col("_r") <= fuzzy_keys).select("key")
-    hit = asked.select(F.col("word").alias("key")).unionByName(alike)
-    counts = keys.join(F.broadcast(hit), "key").groupBy(*MEMBER).agg(F.count(F.lit(1)).alias("hits"))
-    bonus = F.least(F.col("hits") - 1, F.lit(5)) * 10.0
-    scored = with_fuzzy_score(counts, F.col("member_name"), "".join(keywords))
-    scored = scored.select(*MEMBER, F.least(F.col("score") + bonus, F.lit(100.0)).alias("score"))
-    return _best(scored, F.length("member_name"), MEMBER, most)
+    hit = asked.select(F.col("word").alias("key")).unionByName(alike_keys(alike, fuzzy_keys, prefix_keys))
+    return members_by_hits(keys, hit, keywords, most)
 
 
 def best_per_def(scored: DataFrame) -> DataFrame:

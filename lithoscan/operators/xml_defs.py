@@ -1,7 +1,8 @@
 """XML definitions: extraction, tokens, inheritance and linked classes.
 
-Files are parsed once, in parallel; ancestors are found by joins; only the merge
-of one definition's own chain (15 nodes at the most) is Python.
+Files are parsed once, in parallel; ancestors are found by joins; chains, of 15
+nodes at the most, are merged in the order of their nodes, so that what chains
+share is merged once in a task.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import copy
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 import pyarrow as pa
@@ -36,6 +38,9 @@ CLASS_ELEMENTS = "modextension thinktree lordjob drawstyletype workertype worldd
 
 DEPTH = 3
 
+#: Definitions that a task hands over at a time.
+BATCH_DEFS = 1000
+
 _FIELD = pa.struct([("field_path", pa.string()), ("name", pa.string()), ("leaf_text", pa.string())])
 _DEF = pa.schema([
     ("path", pa.string()), ("position", pa.int32()), ("def_type", pa.string()), ("def_name", pa.string()),
@@ -74,25 +79,30 @@ def _fields(node: ET.Element, above: str = "", depth: int = 0) -> Iterator[dict]
             yield from _fields(child, place, depth + 1)
 
 
+def _rows(path: str | None, text: str | None) -> Iterator[dict]:
+    """One file's definitions."""
+    root = _root(text)
+    if root is None or _local(root) != "Defs":
+        return
+    for position, node in enumerate(root, 1):
+        own, kind, base = _value(node.find("defName")), _local(node), node.get("Name")
+        node.tail = None
+        named = own if own is not None else base
+        yield {
+            "path": path, "position": position, "def_type": kind,
+            "def_name": named if named is not None else f"[Unnamed_{kind}_{position}]",
+            "def_name_elem": own or None, "name_attr": base or None, "parent_name": node.get("ParentName"),
+            "label": _value(node.find("label")), "is_abstract": node.get("Abstract", "").lower() == "true",
+            "xml": ET.tostring(node, encoding="unicode"), "fields": list(_fields(node)),
+        }
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for path, text in zip(batch["path"], batch["content"], strict=True):
-            root = _root(text.as_py())
-            if root is None or _local(root) != "Defs":
-                continue
-            rows = []
-            for position, node in enumerate(root, 1):
-                own, kind, base = _value(node.find("defName")), _local(node), node.get("Name")
-                node.tail = None
-                named = own if own is not None else base
-                rows.append({
-                    "path": path.as_py(), "position": position, "def_type": kind,
-                    "def_name": named if named is not None else f"[Unnamed_{kind}_{position}]",
-                    "def_name_elem": own or None, "name_attr": base or None, "parent_name": node.get("ParentName"),
-                    "label": _value(node.find("label")), "is_abstract": node.get("Abstract", "").lower() == "true",
-                    "xml": ET.tostring(node, encoding="unicode"), "fields": list(_fields(node)),
-                })
-            yield pa.RecordBatch.from_pylist(rows, schema=_DEF)
+    """Definitions of many files in one batch."""
+    files = ((p.as_py(), t.as_py()) for batch in batches for p, t in zip(batch["path"], batch["content"], strict=True))
+    rows = (row for path, text in files for row in _rows(path, text))
+    while some := list(islice(rows, BATCH_DEFS)):
+        yield pa.RecordBatch.from_pylist(some, schema=_DEF)
 
 
 def extract_defs(files: DataFrame) -> DataFrame:
@@ -131,16 +141,17 @@ def _overlay(base: ET.Element, own: ET.Element) -> None:
             _overlay(twin, piece)
 
 
-def _merged(chain: list[str]) -> str:
-    """One definition from its chain, the root ancestor first."""
-    nodes = [ET.fromstring(x) for x in chain]
-    for part in (p for n in nodes for p in n.iter()):
+def _read(xml: str) -> ET.Element:
+    node = ET.fromstring(xml)
+    for part in node.iter():
         part.tail = None
         if part.text and not part.text.strip():
             part.text = None
-    whole = ET.Element(nodes[0].tag)
-    for node in nodes:
-        _overlay(whole, node)
+    return node
+
+
+def _finished(whole: ET.Element) -> str:
+    """A merged definition as text: names first, without the marks of inheritance."""
     for name in ("description", "label", "defName"):
         if (head := whole.find(name)) is not None:
             whole.remove(head)
@@ -153,9 +164,29 @@ def _merged(chain: list[str]) -> str:
     return ET.tostring(whole, encoding="unicode")
 
 
-@F.pandas_udf(T.StringType())
-def _merge(chains: pd.Series) -> pd.Series:
-    return chains.map(_merged)
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chains in the order of their nodes, the root first, to merged definitions.
+
+    Neighbours share most of their ancestors: each level's merged form is held
+    until a chain leaves it, so a task merges each definition once."""
+    keys: list[str] = []
+    forms: list[ET.Element] = []
+    for batch in batches:
+        merged = []
+        for nodes, texts in zip(batch.column("keys").to_pylist(), batch.column("xmls").to_pylist(), strict=True):
+            shared = 0
+            while shared < min(len(keys), len(nodes)) and keys[shared] == nodes[shared]:
+                shared += 1
+            del forms[shared:]
+            for text in texts[shared:]:
+                own = _read(text)
+                form = copy.deepcopy(forms[-1]) if forms else ET.Element(own.tag)
+                _overlay(form, own)
+                forms.append(form)
+            keys = nodes
+            merged.append(_finished(copy.deepcopy(forms[-1])))
+        names = ["name", "def_type", "depth"]
+        yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(merged, pa.string())], names=[*names, "xml"])
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -187,6 +218,9 @@ def resolve_defs(defs: DataFrame, names: DataFrame) -> DataFrame:
     first = defs.groupBy("path", "def_name").agg(F.min_by("xml", "position").alias("xml"))
     steps = chain.join(first, ["path", "def_name"])
     # A chain has 15 nodes at the most, so these lists are small.
-    whole = steps.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("depth", "def_type", "xml")), asc=False).alias("c"))
-    merged = whole.select("name", F.col("c")[0]["def_type"].alias("def_type"), F.size("c").alias("depth"), _merge(F.col("c.xml")).alias("xml"))
+    node = F.struct("depth", "def_type", F.to_json(F.array("path", "def_name")).alias("key"), "xml")
+    whole = steps.groupBy("name").agg(F.sort_array(F.collect_list(node), asc=False).alias("c"))
+    whole = materialize(whole.select("name", F.col("c")[0]["def_type"].alias("def_type"), F.size("c").alias("depth"), F.col("c.key").alias("keys"), F.col("c.xml").alias("xmls")), "chains")
+    ordered = whole.repartitionByRange("keys").sortWithinPartitions("keys")
+    merged = ordered.mapInArrow(_merge, "name string, def_type string, depth int, xml string")
     return merged.withColumn("classes", linked_classes("xml"))

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
-from ..operators import graph, search
+from ..operators import search
 from ..sources.files import is_allowed, list_folder
 from . import render, tools
 from .tools import Corpus
@@ -55,7 +55,7 @@ def _inspect(corpus: Corpus, name: str) -> DataFrame:
 def _trace(corpus: Corpus, symbol: str, mode: str) -> DataFrame:
     """Any mode but ``inheritors`` asks for usages."""
     if mode == "inheritors":
-        return render.inheritor_lines(graph.inheritors(corpus.types, symbol))
+        return render.inheritor_lines(corpus.inheritors(symbol))
     return render.usage_blocks(search.usages(corpus.files, symbol))
 
 

@@ -8,13 +8,13 @@ from __future__ import annotations
 
 import json
 import os
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import lines_of
-from ..operators import csharp, graph, index, search, xml_defs
+from ..operators import csharp, graph, index, search, stored, xml_defs
 from ..sources.files import is_allowed, one_file
 from .query import parse
 from .render import chain_lines, file_name
@@ -56,11 +56,47 @@ class Corpus:
     #: Folders that requests may read from, and whether that is checked.
     roots: tuple[str, ...] = ()
     checked: bool = True
+    #: The index over these, where it has been written; searches then read by key.
+    stored: stored.StoredIndex | None = None
 
     @property
     def types(self) -> DataFrame:
         return csharp.types_of(self.found)
 
+    @property
+    def members(self) -> DataFrame:
+        return csharp.members_of(self.found)
+
+    def written(self, path: str, buckets: int = 32) -> Corpus:
+        """The same corpus with its index written to ``path``."""
+        found = stored.relations(self.types, self.members, self.defs, xml_defs.def_tokens(self.defs))
+        return replace(self, stored=stored.write_index(self.files.sparkSession, found, path, buckets))
+
+    def best_types(self, query: str) -> DataFrame:
+        if self.stored:
+            return stored.fuzzy_types(self.stored, query)
+        names = index.name_dictionary(self.types)
+        return search.fuzzy_types(names, index.name_ngrams(names), query)
+
+    def best_members(self, keywords: list[str]) -> DataFrame:
+        if self.stored:
+            return stored.search_members(self.stored, keywords)
+        return search.search_members(index.member_keys(self.members), keywords)
+
+    def best_content(self, keywords: list[str], most: int) -> DataFrame:
+        if self.stored:
+            return stored.search_content(self.stored, keywords, most)
+        return search.search_content(xml_defs.def_tokens(self.defs), keywords, most)
+
+    def paths_of_type(self, name: str) -> DataFrame:
+        return stored.paths_of_type(self.stored, name) if self.stored else search.paths_of_type(self.types, name)
+
+    def find_def(self, name: str) -> DataFrame:
+        return stored.find_def(self.stored, name) if self.stored else search.find_def(self.defs, name)
+
+    def inheritors(self, symbol: str) -> DataFrame:
+        return stored.inheritors(self.stored, symbol) if self.stored else graph.inheritors(self.types, symbol)
+
 
 def paths_of_names(names: DataFrame, types: DataFrame, missing: str) -> DataFrame:
     """``names (name, ...)`` with all ``paths`` of each as a full, else as a short type
@@ -78,29 +114,34 @@ def paths_of_names(names: DataFrame, types: DataFrame, missing: str) -> DataFram
     return joined.select(*names.columns, F.coalesce(F.col("paths")[0], F.lit(missing)).alias("path"), F.coalesce("paths", none).alias("paths"))
 
 
+def _shown(rows: DataFrame) -> DataFrame:
+    """A section's rows, of display size, fetched once: what is asked of them later
+    does not run the search again."""
+    return rows.sparkSession.createDataFrame(rows.collect(), rows.schema)
+
+
 def locate(corpus: Corpus, raw: str) -> Sections:
     """Types, members, definitions and content that a search string asks for; files
-    only where these are all empty.  Empty sections are left out."""
+    only where these are all empty.  Empty sections are left out; each one is
+    searched once."""
     asked, types, out = parse(raw).sections(), corpus.types, {}
     if "types" in asked:
-        names = index.name_dictionary(types)
-        hits = search.collapse_aliases(search.fuzzy_types(names, index.name_ngrams(names), asked["types"]), types)
+        hits = search.collapse_aliases(corpus.best_types(asked["types"]), types)
         hits = hits.orderBy(F.col("score").desc(), F.length("name"), "name").limit(10)
-        out["types"] = paths_of_names(hits, types, "unknown")
+        out["types"] = paths_of_names(hits, types, "unknown").orderBy(F.col("score").desc(), F.length("name"), "name")
     if "members" in asked:
-        hits = search.search_members(index.member_keys(csharp.members_of(corpus.found)), asked["members"])
+        hits = corpus.best_members(asked["members"])
         place = Window.partitionBy("member_type").orderBy(F.col("score").desc(), F.length("member_name"), *search.MEMBER)
-        out["members"] = hits.withColumn("_r", F.row_number().over(place)).where("_r <= 5").drop("_r")
+        out["members"] = hits.withColumn("_r", F.row_number().over(place)).where("_r <= 5").orderBy("member_type", "_r").drop("_r")
     if "defs" in asked:
         out["defs"] = search.search_defs(corpus.defs, asked["defs"], 10)
     if "content" in asked:
-        hits = search.search_content(xml_defs.def_tokens(corpus.defs), asked["content"], 10)
+        hits = corpus.best_content(asked["content"], 10)
         more = F.greatest(F.size("fields") - 3, F.lit(0))
         out["content"] = hits.withColumns({"more_fields": more, "fields": F.slice("fields", 1, 3)})
-    out = {k: v for k, v in out.items() if not v.isEmpty()}
-    if not out:
-        out = {"files": search.search_files(corpus.files, raw, 10)}
-    return out
+    shown = {name: _shown(rows) for name, rows in out.items()}
+    shown = {name: rows for name, rows in shown.items() if not rows.isEmpty()}
+    return shown or {"files": _shown(search.search_files(corpus.files, raw, 10))}
 
 
 def shortened(lines: Column, most: int = 300, head: int = 200, tail: int = 50) -> Column:
@@ -115,17 +156,17 @@ def inspect(corpus: Corpus, name: str) -> Sections:
     a ``LookupError``."""
     types, spark = corpus.types, corpus.files.sparkSession
     asked = spark.createDataFrame([(name,)], "name string")
-    found = search.find_def(corpus.defs, name).select("def_type").first()
+    found = corpus.find_def(name).select("def_type").first()
     if found:
         # One definition: the linked classes below are its own, ten at the most.
         whole = xml_defs.resolve_defs(corpus.defs, asked)
         linked = whole.select(F.posexplode("classes").alias("place", "name")).where("place < 10")
         return {
             "definition": whole.select("def_type", "depth", shortened(F.split("xml", "\n")).alias("xml")),
-            "type_files": search.paths_of_type(types, found["def_type"]),
+            "type_files": corpus.paths_of_type(found["def_type"]),
             "classes": paths_of_names(linked, types, "not indexed"),
         }
-    paths = search.paths_of_type(types, name)
+    paths = _shown(corpus.paths_of_type(name))
     if paths.isEmpty():
         raise LookupError(name)
     return {

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import clipped, initials, marked_words, split_words, with_fuzzy_score
-from .operators import csharp, graph, index, search, xml_defs
+from .operators import csharp, graph, index, search, stored, xml_defs
 from .plans import render, tools
 from .plans.query import parse
+from .sources import snapshot
+from .sources.scratch import materialize, scratch_path
 
 QUERIES, SQL = {}, {}
 
@@ -100,6 +104,22 @@ def tokens(spark, d):
     )
 
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def stored_index(spark, d) -> stored.StoredIndex:
+    """The index over a folder's tables: written once in a session, then read."""
+    key = (spark.sparkContext.applicationId, d)
+    if key in _INDEXES:
+        try:
+            return stored.open_index(spark, _INDEXES[key])
+        except snapshot.Rejected:  # its folder was cleared
+            pass
+    _INDEXES[key] = scratch_path(spark, "index")
+    found = stored.relations(types(spark, d), members(spark, d), defs(spark, d), tokens(spark, d))
+    return stored.write_index(spark, found, _INDEXES[key], 16)
+
+
 # ---- DuckDB forms of the scoring functions ----
 
 def words_sql(x: str) -> str:
@@ -179,8 +199,7 @@ cand AS (SELECT name, count(*) AS shared FROM grams JOIN asked USING (g) GROUP B
 
 @query("WITH " + TYPES + ", " + _GRAMS + f", pool AS (SELECT name FROM cand WHERE (SELECT count(*) FROM cand) >= 50 UNION ALL SELECT name FROM names WHERE (SELECT count(*) FROM cand) < 50), s AS (SELECT name, {score_sql('name', chr(39) + 'RedWidgt1' + chr(39))} AS score FROM pool) SELECT name, round(score, 6) AS score FROM s WHERE score > 0 ORDER BY s.score DESC, length(name), name LIMIT 20")
 def type_fuzzy_topk(spark, d):
-    names = index.name_dictionary(types(spark, d))
-    return _rounded(search.fuzzy_types(names, index.name_ngrams(names), "RedWidgt1"))
+    return _rounded(stored.fuzzy_types(stored_index(spark, d), "RedWidgt1"))
 
 
 @query("WITH " + TYPES + ", " + _GRAMS + " SELECT name, shared FROM cand")
@@ -213,7 +232,7 @@ cnt AS (SELECT type_name, member_name, member_type, path, count(*) AS h FROM key
 s AS (SELECT type_name, member_name, member_type, path, least({score_sql('member_name', chr(39) + 'widgtred' + chr(39))} + least(h - 1, 5) * 10.0, 100.0)::DOUBLE AS score FROM cnt)
 SELECT type_name, member_name, member_type, path, round(score, 6) AS score FROM s ORDER BY s.score DESC, length(member_name), type_name, member_name, member_type, path LIMIT 30""")
 def member_keyword_search(spark, d):
-    return _rounded(search.search_members(index.member_keys(members(spark, d)), ["widgt", "red"]))
+    return _rounded(stored.search_members(stored_index(spark, d), ["widgt", "red"]))
 
 
 _SD = f"""rows_ AS (SELECT def_type, def_name, path, is_abstract, unnest([def_name_elem, name_attr, label]) AS t, unnest([1.2, 1.0, 0.8]) AS w FROM defs),
@@ -235,7 +254,7 @@ def best_per_def(spark, d):
 asked(token) AS (VALUES ('red'), ('bolt'), ('red'))
 SELECT def_type, def_name, count(*) AS hits, array_to_string(list_sort(list(DISTINCT field_path)), ',') AS fields, min(path) AS path FROM t JOIN asked USING (token) GROUP BY 1, 2 ORDER BY hits DESC, length(def_name), def_name, def_type LIMIT 30""")
 def def_content_search(spark, d):
-    found = search.search_content(tokens(spark, d), ["red", "bolt", "RED", "xy"])
+    found = stored.search_content(stored_index(spark, d), ["red", "bolt", "RED", "xy"])
     return found.withColumn("fields", F.array_join("fields", ","))
 
 
@@ -285,7 +304,7 @@ def ancestor_depth(spark, d):
 
 @query("WITH " + DEFS + " SELECT def_type, def_name, parent_name, is_abstract, path FROM defs WHERE lower(name_attr) = 'part_30'")
 def exact_lookup(spark, d):
-    return search.find_def(defs(spark, d), "PART_30").select("def_type", "def_name", "parent_name", "is_abstract", "path")
+    return stored.find_def(stored_index(spark, d), "PART_30").select("def_type", "def_name", "parent_name", "is_abstract", "path")
 
 
 @query("WITH " + TYPES + " SELECT path FROM types WHERE lower(short_name) = (SELECT lower(short_name) FROM types WHERE path = 'src/12.cs')")
@@ -334,6 +353,41 @@ def posting_lists(spark, d):
     return index.posting_lists(_read(spark, d, "events"), "event_type", "user_id")
 
 
+_MEMBER_KEYS = f"keys AS (SELECT DISTINCT unnest(list_concat(list_filter(list_transform({words_sql('member_name')}, lambda w: lower(w)), lambda w: length(w) >= 2), [lower(member_name)])) AS key, * FROM members)"
+
+
+@query("WITH " + TYPES + ", " + MEMBERS + ", " + DEFS + ", " + _MEMBER_KEYS + """,
+names AS (SELECT lower(name) AS name FROM (SELECT full_name AS name FROM types UNION ALL SELECT short_name FROM types) GROUP BY 1),
+t AS (SELECT unnest(list_distinct(list_filter(regexp_split_to_array(lower(p_name), '\\W+'), lambda w: length(w) >= 3))) AS token, p_partkey FROM part),
+g AS (SELECT DISTINCT key, substr(key, i, 2) AS gram FROM (SELECT key, unnest(range(1, length(key))) AS i FROM (SELECT DISTINCT key FROM keys)))
+SELECT 'names' AS relation, count(*) AS rows, count(DISTINCT name) AS keys FROM names
+UNION ALL SELECT 'grams', count(*), count(DISTINCT gram) FROM (SELECT DISTINCT substr(name, i, 2) AS gram, name FROM (SELECT name, unnest(range(1, least(length(name) - 1, 50) + 1)) AS i FROM names))
+UNION ALL SELECT 'types', count(*), count(DISTINCT k) FROM (SELECT lower(unnest([full_name, short_name, base_name])) AS k FROM types) WHERE k IS NOT NULL
+UNION ALL SELECT 'members', count(*), count(DISTINCT key) FROM keys
+UNION ALL SELECT 'member_grams', count(*), count(DISTINCT gram) FROM g
+UNION ALL SELECT 'tokens', count(*), count(DISTINCT token) FROM t
+UNION ALL SELECT 'defs', count(*), count(DISTINCT k) FROM (SELECT lower(unnest([def_name_elem, name_attr])) AS k FROM defs) WHERE k IS NOT NULL""")
+def index_export_import(spark, d):
+    """The index goes out as a snapshot and comes back as an index of other buckets."""
+    at, mark = scratch_path(spark, "export"), snapshot.fingerprint([d], [d])
+    stored.export_index(stored_index(spark, d), at, mark)
+    back = stored.import_index(spark, at, mark, scratch_path(spark, "import"), 7)
+    counts = [back.whole(r).agg(F.lit(r).alias("relation"), F.count(F.lit(1)).alias("rows"), F.countDistinct("key").alias("keys")) for r in stored.RELATIONS]
+    return reduce(lambda a, b: a.unionByName(b), counts)
+
+
+@query("WITH " + TYPES + " SELECT path FROM types WHERE lower(short_name) = (SELECT lower(short_name) FROM types WHERE path = 'src/12.cs')")
+def stored_name_to_paths(spark, d):
+    name = types(spark, d).where("path = 'src/12.cs'").first()["short_name"]
+    return stored.paths_of_type(stored_index(spark, d), name.upper())
+
+
+@query("WITH " + TYPES + " SELECT min(full_name) AS full_name, min(path) AS path FROM types WHERE lower(base_name) IN (SELECT lower(short_name) FROM types WHERE path = 'src/7.cs') GROUP BY lower(full_name)")
+def stored_inheritors(spark, d):
+    name = types(spark, d).where("path = 'src/7.cs'").first()["short_name"]
+    return stored.inheritors(stored_index(spark, d), name).select("full_name", "path")
+
+
 # ---- definitions and declarations read from text ----
 
 def _def_files(spark, d):
@@ -375,7 +429,7 @@ SELECT 'Part_' || own AS name, max(d) + 1 AS depth, string_agg(k::VARCHAR, ',' O
   coalesce('Part_' || min_by(k, d) FILTER (WHERE k % 10 <> 0), '') AS def_name, min_by(p_name, d) AS label
 FROM up JOIN part ON p_partkey = k GROUP BY own""")
 def xml_def_resolve(spark, d):
-    found = xml_defs.extract_defs(_def_files(spark, d))
+    found = materialize(xml_defs.extract_defs(_def_files(spark, d)), "parsed")  # asked for twice
     whole = xml_defs.resolve_defs(found, found.select(F.col("def_name").alias("name")))
     text = {c: F.expr(f"xpath_string(xml, '/PartDef/{p}')").alias(c) for c, p in (("size", "size"), ("def_name", "defName"), ("label", "label"))}
     tags = F.array_join(F.expr("xpath(xml, '/PartDef/tags/li/text()')"), ",").alias("tags")
@@ -650,6 +704,35 @@ def locate_display(spark, d):
     return render.locate_lines(tools.locate(corpus, "t:Pa"))
 
 
+def _part_corpus(spark, d):
+    """The corpus of the tables with its index: types and members are those of the
+    stored index, so nothing is parsed."""
+    found = types(spark, d).select("path", F.lit("Class").alias("kind"), F.col("full_name").alias("type_name"), F.col("short_name").alias("name"), "base_name", F.lit(0).alias("start"))
+    return tools.Corpus(files(spark, d), found, defs(spark, d), stored=stored_index(spark, d))
+
+
+_BASE_OF = "string_split(path, '/')[-1]"
+
+
+@query("WITH " + MEMBERS + ", " + _MEMBER_KEYS + f""",
+alike AS (SELECT key, {score_sql('key', chr(39) + 'widgt' + chr(39))} AS s FROM (SELECT DISTINCT key FROM keys)
+          WHERE len(list_filter(['wi', 'id', 'dg', 'gt'], lambda g: contains(key, g))) > 0),
+hit AS (SELECT 'widgt' AS key UNION ALL SELECT key FROM (SELECT key FROM alike WHERE s >= 60 ORDER BY s DESC, key LIMIT 10)),
+cnt AS (SELECT type_name, member_name, member_type, path, count(*) AS h FROM keys JOIN hit USING (key) GROUP BY ALL),
+s AS (SELECT type_name, member_name, member_type, path, least({score_sql('member_name', chr(39) + 'widgt' + chr(39))} + least(h - 1, 5) * 10.0, 100.0)::DOUBLE AS score FROM cnt),
+top AS (SELECT * FROM s ORDER BY score DESC, length(member_name), type_name, member_name, member_type, path LIMIT 30),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY member_type ORDER BY score DESC, length(member_name), type_name, member_name, path) AS r FROM top)
+SELECT 'members' AS section, '  - `' || type_name || '.' || member_name || '` (' || printf('%.0f', score) || '%) - ' || {_BASE_OF} AS text FROM ranked WHERE r <= 5""")
+def locate_members(spark, d):
+    return render.locate_lines(tools.locate(_part_corpus(spark, d), "m:widgt")).select("section", "text")
+
+
+@query("WITH " + DEFS + ", " + _SD + """ SELECT 'defs' AS section, '- `' || def_name || '` (' || printf('%.0f', score) || '%) - ' || def_type AS text
+FROM (SELECT * FROM b ORDER BY b.score DESC, length(def_name), def_name, def_type LIMIT 10)""")
+def locate_defs(spark, d):
+    return render.locate_lines(tools.locate(_part_corpus(spark, d), "d:part_15")).select("section", "text")
+
+
 @query("""WITH RECURSIVE up(k, depth) AS (SELECT 150, 1 UNION ALL SELECT k // 3, depth + 1 FROM up WHERE k // 3 > 0),
 t AS (SELECT p_partkey AS k, replace(p_brand, '#', '') || '.Part_' || p_partkey AS full_name, 'src/' || p_partkey || '.cs' AS path, p_size, """ + _NAME + """ AS n FROM part)
 SELECT 'chain' AS section, depth AS place, full_name || ' --> Part_' || (up.k // 3) AS text FROM up JOIN t ON t.k = up.k
