@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..sources.scratch import materialize
@@ -42,8 +42,9 @@ def ancestries(steps: DataFrame, most: int) -> DataFrame:
     ends, so a few joins by key reach any depth, for any number of keys."""
     chains, length = steps.select("key", F.array("item").alias("items"), "next"), 1
     while length < most:
-        chains = materialize(chains, "chains")
-        if chains.where("next IS NOT NULL").isEmpty():
+        written = Observation()  # how many go on is counted while they are written
+        chains = materialize(chains.observe(written, F.count("next").alias("open")), "chains")
+        if not written.get.get("open"):
             break
         far = chains.select(F.col("key").alias("_key"), F.col("items").alias("_items"), F.col("next").alias("_next"))
         both = chains.join(far, chains["next"] == far["_key"], "left")

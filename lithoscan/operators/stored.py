@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ngrams
 from ..sources import snapshot
+from ..sources.scratch import materialize
 from . import graph, index, search
 
 RELATIONS = ("names", "grams", "types", "members", "member_grams", "tokens", "defs")
@@ -44,17 +45,22 @@ def _keyed(rows: DataFrame, *named: str | None) -> DataFrame:
     return rows.select(F.explode(keys).alias("_k"), *rows.columns).select("_k.*", *rows.columns).where("key IS NOT NULL")
 
 
+def member_grams(keys: DataFrame) -> DataFrame:
+    """``(key, member_key)``: the different member keys by their 2-grams."""
+    every = F.array_distinct(ngrams(F.col("key"), 2, 1 << 30))
+    return keys.select("key").distinct().select(F.explode(every).alias("_g"), F.col("key").alias("member_key")).withColumnRenamed("_g", "key")
+
+
 def relations(types: DataFrame, members: DataFrame, defs: DataFrame, tokens: DataFrame) -> dict[str, DataFrame]:
     """The relations of an index over ``types (full_name, short_name, base_name,
     path)``, ``members``, ``defs`` and the ``tokens`` of definitions."""
     names, keys = index.name_dictionary(types), index.member_keys(members.select(*search.MEMBER))
-    every = ngrams(F.col("key"), 2, 1 << 30)
     return {
         "names": names.select(F.lower("name").alias("key"), "name"),
         "grams": index.name_ngrams(names).withColumnRenamed("ngram", "key"),
         "types": _keyed(types.select("full_name", "short_name", "base_name", "path"), "full_name", "short_name", "base_name"),
         "members": keys,
-        "member_grams": keys.select("key").distinct().select(F.explode(F.array_distinct(every)).alias("_g"), "key").select(F.col("_g").alias("key"), F.col("key").alias("member_key")),
+        "member_grams": member_grams(keys),
         "tokens": tokens.select(F.col("token").alias("key"), "field_path", "path", "def_type", "def_name"),
         "defs": _keyed(defs, "def_name_elem", "name_attr"),
     }
@@ -88,14 +94,40 @@ class StoredIndex:
         here = F.col("bucket").isin(*[_bucket(k, buckets) for k in asked])
         return stored.where(here & F.col("key").isin(*asked)).drop("bucket")
 
+    def rows_beside(self, relation: str, keys: DataFrame) -> tuple[DataFrame, list[int]]:
+        """All rows of the buckets that ``keys (key)`` fall in, and these buckets: as
+        many numbers at most as the relation has buckets."""
+        buckets, schema = self.told[relation]
+        found = sorted(r[0] for r in keys.select(_bucket(F.col("key"), buckets)).distinct().collect())
+        stored = self.spark.read.schema(schema).parquet(f"{self.path}/{relation}")
+        return stored.where(F.col("bucket").isin(found) if found else F.lit(False)).drop("bucket"), found
+
+    def replace_buckets(self, relation: str, rows: DataFrame, buckets: list[int]) -> None:
+        """Put ``rows``, all in ``buckets``, in place of what is in these.
+
+        The rows are written beside first, so they may come from the buckets that
+        they replace.  Doing it again gives the same."""
+        rows = materialize(_dealt(rows, self.told[relation][0]), "buckets")
+        left = {r[0] for r in rows.select("bucket").distinct().collect()}
+        writer = rows.sortWithinPartitions("bucket", "key").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("bucket").parquet(f"{self.path}/{relation}")
+        conf, hadoop = self.spark.sparkContext._jsc.hadoopConfiguration(), self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        for bucket in set(buckets) - left:  # nothing is left in these
+            at = hadoop.Path(f"{self.path}/{relation}/bucket={bucket}")
+            at.getFileSystem(conf).delete(at, True)
+
+
+def _dealt(rows: DataFrame, buckets: int) -> DataFrame:
+    """The rows with their bucket, a bucket's rows over several tasks."""
+    spread = F.pmod(F.xxhash64(*rows.columns), F.lit(SPREAD))
+    return rows.withColumn("bucket", _bucket(F.col("key"), buckets)).repartition("bucket", spread)
+
 
 def write_index(spark: SparkSession, found: dict[str, DataFrame], path: str, buckets: int = 32) -> StoredIndex:
     """Write the relations to ``path``, then the catalogue; an index that is there
     already is replaced."""
     for name, rows in found.items():
-        spread = F.pmod(F.xxhash64(*rows.columns), F.lit(SPREAD))
-        dealt = rows.withColumn("bucket", _bucket(F.col("key"), buckets)).repartition("bucket", spread)
-        dealt.sortWithinPartitions("bucket", "key").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
+        _dealt(rows, buckets).sortWithinPartitions("bucket", "key").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
     told = [(name, buckets, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", bucket int") for name, rows in found.items()]
     spark.createDataFrame(told, _CATALOGUE).coalesce(1).write.mode("overwrite").parquet(f"{path}/catalogue")
     return open_index(spark, path)

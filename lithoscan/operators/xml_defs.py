@@ -221,6 +221,8 @@ def resolve_defs(defs: DataFrame, names: DataFrame) -> DataFrame:
     node = F.struct("depth", "def_type", F.to_json(F.array("path", "def_name")).alias("key"), "xml")
     whole = steps.groupBy("name").agg(F.sort_array(F.collect_list(node), asc=False).alias("c"))
     whole = materialize(whole.select("name", F.col("c")[0]["def_type"].alias("def_type"), F.size("c").alias("depth"), F.col("c.key").alias("keys"), F.col("c.xml").alias("xmls")), "chains")
-    ordered = whole.repartitionByRange("keys").sortWithinPartitions("keys")
+    # A given number of tasks: merging costs far more than the few bytes that tasks would be joined by.
+    tasks = int(defs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = whole.repartitionByRange(tasks, "keys").sortWithinPartitions("keys")
     merged = ordered.mapInArrow(_merge, "name string, def_type string, depth int, xml string")
     return merged.withColumn("classes", linked_classes("xml"))
