@@ -8,9 +8,11 @@ share is merged once in a task.
 from __future__ import annotations
 
 import copy
+import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 from itertools import islice
+from xml.parsers import expat
 
 import pandas as pd
 import pyarrow as pa
@@ -38,6 +40,11 @@ CLASS_ELEMENTS = "modextension thinktree lordjob drawstyletype workertype worldd
 
 DEPTH = 3
 
+#: How much text a file's entities may come to, and how deep they may be nested.
+ENTITY_CHARS, ENTITY_DEPTH = 1 << 20, 8
+
+_REFERENCE = re.compile(r"&([^\s#;&]+);")
+
 #: Definitions that a task hands over at a time.
 BATCH_DEFS = 1000
 
@@ -61,14 +68,46 @@ def _value(node: ET.Element | None) -> str | None:
     return None if node is None else "".join(node.itertext())
 
 
-def _root(text: str | None) -> ET.Element | None:
-    """The document's root; none where it is malformed or declares entities."""
-    if not text or "<!ENTITY" in text:
-        return None
+class _Unfit(ValueError):
+    """A file that is not read; the message is the reason."""
+
+
+def _expanded(text: str) -> None:
+    """Refuse what declares entities that are external, nested too deep, or come to
+    more than ``ENTITY_CHARS`` characters where the document names them."""
+    sizes: dict[str, tuple[int, int]] = {}
+
+    def declared(name, is_parameter, value, base, system, public, notation):
+        if value is None:
+            raise _Unfit("external entity")
+        inner = [sizes.get(n, (0, 0)) for n in _REFERENCE.findall(value)]
+        size = (len(value) + sum(n for n, _ in inner), 1 + max((d for _, d in inner), default=0))
+        if size[0] > ENTITY_CHARS or size[1] > ENTITY_DEPTH:
+            raise _Unfit("entities too large")
+        sizes.setdefault(name, size)
+
+    parser, body = expat.ParserCreate(), []
+    parser.EntityDeclHandler = declared
+    parser.EndDoctypeDeclHandler = lambda: body.append(parser.CurrentByteIndex)
+    parser.Parse(text.encode("utf-8", "replace"), False)
+    named = _REFERENCE.findall(text.encode("utf-8", "replace")[body[0] :].decode("utf-8", "replace")) if sizes and body else []
+    if sum(sizes.get(name, (0, 0))[0] for name in named) > ENTITY_CHARS:
+        raise _Unfit("entities too large")
+
+
+def _root(text: str | None) -> ET.Element:
+    """The document's root, entities expanded within bounds; :class:`_Unfit` with the
+    reason where there is none."""
+    if not text:
+        raise _Unfit("empty")
     try:
+        if "<!ENTITY" in text:
+            _expanded(text)
         return ET.fromstring(text)
-    except (ET.ParseError, ValueError):
-        return None
+    except (ET.ParseError, expat.ExpatError, RecursionError) as error:
+        raise _Unfit("malformed") from error
+    except ValueError as error:
+        raise error if isinstance(error, _Unfit) else _Unfit("malformed") from error
 
 
 def _fields(node: ET.Element, above: str = "", depth: int = 0) -> Iterator[dict]:
@@ -79,10 +118,18 @@ def _fields(node: ET.Element, above: str = "", depth: int = 0) -> Iterator[dict]
             yield from _fields(child, place, depth + 1)
 
 
+def _definitions(text: str | None) -> ET.Element:
+    root = _root(text)
+    if _local(root) != "Defs":
+        raise _Unfit("another root")
+    return root
+
+
 def _rows(path: str | None, text: str | None) -> Iterator[dict]:
     """One file's definitions."""
-    root = _root(text)
-    if root is None or _local(root) != "Defs":
+    try:
+        root = _definitions(text)
+    except _Unfit:
         return
     for position, node in enumerate(root, 1):
         own, kind, base = _value(node.find("defName")), _local(node), node.get("Name")
@@ -108,12 +155,29 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract_defs(files: DataFrame) -> DataFrame:
     """``files (path, content)`` to one row per definition.
 
-    Null, empty and malformed files, files with another root and files with
-    entity declarations give no rows.  A definition without a name gets one
+    Null, empty and malformed files, files with another root and files whose
+    entities are external or too large give no rows (:func:`rejected_files`).  A definition without a name gets one
     from its type and place; the path of fields starts at the definition."""
     return files.select(F.col("path").cast("string"), F.col("content").cast("string")).mapInArrow(_parse, _DEF_DDL)
 
 
+@F.pandas_udf(T.StringType())
+def _reason(texts: pd.Series) -> pd.Series:
+    def reason(text: str | None) -> str | None:
+        try:
+            _definitions(text)
+        except _Unfit as error:
+            return str(error)
+        return None
+
+    return texts.map(reason)
+
+
+def rejected_files(files: DataFrame) -> DataFrame:
+    """``(path, reason)`` of the files that :func:`extract_defs` leaves out."""
+    return files.select("path", _reason(F.col("content").cast("string")).alias("reason")).where("reason IS NOT NULL")
+
+
 def def_tokens(defs: DataFrame) -> DataFrame:
     """``(token, field_path, path, def_type, def_name)`` distinct: element names
     and the words of leaves, of three characters or more, lower-cased."""

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
 KINDS = {
     "method": "method", "m": "method", "type": "type", "t": "type", "class": "type", "c": "type",
     "field": "field", "f": "field", "property": "field", "p": "field", "def": "definition", "d": "definition",
@@ -62,3 +66,16 @@ def parse(raw: str | None) -> ParsedQuery:
         else:
             found.keywords.append(token)
     return found
+
+
+_TEXTS, _LISTS = ("type", "method", "field", "definition", "combined"), ("keywords", "sections")
+PARSED = T.StructType([T.StructField(c, T.StringType()) for c in _TEXTS] + [T.StructField(c, T.ArrayType(T.StringType())) for c in _LISTS])
+
+
+@F.pandas_udf(PARSED)
+def parsed(raw: pd.Series) -> pd.DataFrame:
+    """Search strings of a column: filters, keywords, the combined term and the
+    sections they plan, in order; null counts as empty."""
+    found = [parse(text) for text in raw]
+    rows = [(q.type, q.method, q.field, q.definition, q.combined(), q.keywords, sorted(q.sections())) for q in found]
+    return pd.DataFrame(rows, columns=[*_TEXTS, *_LISTS])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions.text import clipped, initials, marked_words, split_words, with_fuzzy_score
 from .operators import csharp, graph, index, search, stored, xml_defs
 from .plans import render, tools
-from .plans.query import parse
+from .plans.query import parsed
 from .sources import snapshot
 from .sources.scratch import materialize, scratch_path
 
@@ -589,22 +589,21 @@ def numbered_lines(spark, d):
     return render.numbered_lines(search.line_slice(files(spark, d), path, 1, 5))
 
 
-_ASKED = ['t:Foo m:Bar "x y" http://z', "type:Foo bar", "D:a d:b c", "f: p:w", "plain words", ""]
-
-
-@query("""SELECT * FROM (VALUES
-  ('t:Foo m:Bar "x y" http://z', 'Foo', 'Bar', NULL, NULL, 'x y|http://z', 'Foo Bar x y http://z', 'members,types'),
-  ('type:Foo bar', 'Foo', NULL, NULL, NULL, 'bar', 'Foo bar', 'members,types'),
-  ('D:a d:b c', NULL, NULL, NULL, 'b', 'c', 'b c', 'content,defs,members'),
-  ('f: p:w', NULL, NULL, 'w', NULL, '', 'w', 'members'),
-  ('plain words', NULL, NULL, NULL, NULL, 'plain|words', 'plain words', 'content,defs,members,types'),
-  ('', NULL, NULL, NULL, NULL, '', '', 'defs,types')) AS t(raw, type, method, field, definition, keywords, combined, sections)""")
+@query("""WITH t AS (SELECT p_partkey AS k, p_partkey % 4 AS m, 'Part_' || p_partkey AS n, p_name, p_brand FROM part)
+SELECT k, CASE WHEN m = 0 THEN p_brand END AS type, CASE WHEN m = 3 THEN '' END AS method, CASE WHEN m = 3 THEN n END AS field, CASE WHEN m = 2 THEN n END AS definition,
+  CASE m WHEN 0 THEN p_name || '|x:' || k WHEN 1 THEN replace(p_name, ' ', '|') WHEN 2 THEN 'c' ELSE '' END AS keywords,
+  CASE m WHEN 0 THEN p_brand || ' ' || p_name || ' x:' || k WHEN 1 THEN p_name WHEN 2 THEN n || ' c' ELSE n END AS combined,
+  CASE m WHEN 0 THEN 'members,types' WHEN 1 THEN 'content,defs,members,types' WHEN 2 THEN 'content,defs,members' ELSE 'members' END AS sections FROM t""")
 def parsed_queries(spark, d):
-    rows = []
-    for raw in _ASKED:
-        q = parse(raw)
-        rows.append((raw, q.type, q.method, q.field, q.definition, "|".join(q.keywords), q.combined(), ",".join(sorted(q.sections()))))
-    return spark.createDataFrame(rows, "raw string, type string, method string, field string, definition string, keywords string, combined string, sections string")
+    key, of = F.col("p_partkey"), F.concat(F.lit("Part_"), F.col("p_partkey").cast("string"))
+    raw = (
+        F.when(key % 4 == 0, F.concat(F.lit("T:"), "p_brand", F.lit(' "'), "p_name", F.lit('"  x:'), key.cast("string")))
+        .when(key % 4 == 1, F.col("p_name"))
+        .when(key % 4 == 2, F.concat(F.lit("D:a c def:"), of))
+        .otherwise(F.concat(F.lit("f: p:"), of, F.lit(" M:")))
+    )
+    rows = _read(spark, d, "part").select(key.alias("k"), parsed(raw).alias("q")).select("k", "q.*")
+    return rows.withColumns({"keywords": F.array_join("keywords", "|"), "sections": F.array_join("sections", ",")})
 
 
 @query("WITH " + MEMBERS + f""", keys AS (SELECT DISTINCT unnest(list_concat(list_filter(list_transform({words_sql('member_name')}, lambda w: lower(w)), lambda w: length(w) >= 2), [lower(member_name)])) AS key, * FROM members),
@@ -704,6 +703,19 @@ def locate_display(spark, d):
     return render.locate_lines(tools.locate(corpus, "t:Pa"))
 
 
+@query("""WITH RECURSIVE up AS (SELECT 151 AS k, 0 AS d UNION ALL SELECT k // 3, d + 1 FROM up WHERE k > 0),
+p AS (SELECT k, d, p_name, p_size FROM up JOIN part ON p_partkey = k),
+l AS (SELECT 0 AS a, 0 AS b, '<PartDef>' AS text UNION ALL SELECT 1, 0, '  <defName>Part_151</defName>' UNION ALL SELECT 2, 0, '  <label>' || min_by(p_name, d) || '</label>' FROM p
+  UNION ALL SELECT 3, 0, '  <size>' || min_by(p_size, d) FILTER (WHERE k % 2 = 0) || '</size>' FROM p UNION ALL SELECT 4, 0, '  <tags>'
+  UNION ALL SELECT 5, -d, '    <li>' || k || '</li>' FROM p UNION ALL SELECT 6, 0, '  </tags>' UNION ALL SELECT 7, 0, '</PartDef>')
+SELECT 'definition' AS section, row_number() OVER (ORDER BY a, b) - 1 AS place, text FROM l""")
+def inspect_definition(spark, d):
+    defs_ = materialize(xml_defs.extract_defs(_def_files(spark, d)), "parsed")
+    corpus = tools.Corpus(files(spark, d), csharp.scan_declarations(_code_files(spark, d)), defs_)
+    return tools.inspect_lines(tools.inspect(corpus, "part_151"))
+
+
+
 def _part_corpus(spark, d):
     """The corpus of the tables with its index: types and members are those of the
     stored index, so nothing is parsed."""

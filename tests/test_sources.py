@@ -67,6 +67,37 @@ def test_defs(spark):
     assert ("belt", "ThingDef.defName") in tokens and ("mass", "ThingDef.stats.mass") in tokens and not any(t == "li" for t, _ in tokens)
 
 
+def test_entities_are_expanded_within_bounds(spark):
+    laughs = "".join(f'<!ENTITY l{i} "{("&l%d;" % (i - 1)) * 10}">' for i in range(1, 8))
+    one = lambda dtd, label: f"<!DOCTYPE Defs [{dtd}]><Defs><X><defName>A</defName><label>{label}</label></X></Defs>"
+    rows = {
+        "nested": one('<!ENTITY a "red"><!ENTITY b "&a; belt">', "&b;, &a;"),
+        "comment": "<Defs><!-- <!ENTITY a 'b'> --><X><defName>A</defName><label>&lt;!ENTITY</label></X></Defs>",
+        "laughs": one('<!ENTITY l0 "haha">' + laughs, "&l7;"), "often": one(f'<!ENTITY a "{"x" * 70000}">', "&a;" * 20),
+        "outside": one('<!ENTITY a SYSTEM "file:///etc/hosts">', "&a;"), "unknown": one('<!ENTITY a "b">', "&c;"),
+        "root": "<Other/>", "bad": "<Defs><", "none": None,
+    }
+    df = _files(spark, *rows.items())
+    assert {r.path: r.label for r in xml_defs.extract_defs(df).collect()} == {"nested": "red belt, red", "comment": "<!ENTITY"}
+    assert {r.path: r.reason for r in xml_defs.rejected_files(df).collect()} == {
+        "laughs": "entities too large", "often": "entities too large", "outside": "external entity", "unknown": "malformed",
+        "root": "another root", "bad": "malformed", "none": "empty",
+    }
+
+
+def test_chains_merge_the_same_in_any_order(spark):
+    """Chains that share ancestors, are cut by a cycle, or are too long."""
+    text = "".join(f'<X Name="N{i}" ParentName="N{i // 2}"><defName>D{i}</defName><tags><li>{i}</li></tags></X>' for i in range(1, 40))
+    text += "".join(f'<Y ParentName="{f"L{i - 1}" if i else "none"}"><defName>L{i}</defName><tags><li>{i}</li></tags></Y>' for i in range(25))
+    defs = xml_defs.extract_defs(_files(spark, ("a.xml", f"<Defs>{text}</Defs>")))
+    whole = {r.name: r for r in xml_defs.resolve_defs(defs, defs.select(defs.def_name.alias("name"))).collect()}
+    tags = lambda name: [x.text for x in ET.fromstring(whole[name].xml).find("tags")]
+    for i in range(1, 40):
+        up = [str(i >> k) for k in range(i.bit_length())]
+        assert tags(f"D{i}") == up[::-1], i
+    assert tags("L24") == [str(i) for i in range(10, 25)] and whole["L24"].depth == 15 and tags("L3") == ["0", "1", "2", "3"]
+
+
 def test_declarations(spark):
     found = csharp.scan_declarations(_files(spark, ("a.cs", CODE), ("b.cs", None), ("c.cs", "namespace A.B; record P(int X) : Q(X); interface I { }")))
     found = found.cache()
