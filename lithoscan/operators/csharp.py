@@ -275,7 +275,6 @@ def _statements(read: DataFrame) -> DataFrame:
     compound = piece.rlike(r"[<>!=+\-*/%&|^?~]=$")
     mark = F.when(F.endswith(piece, F.lit("=>")), "=>").when(compound, "").otherwise(F.right(piece, F.lit(1)))
     in_file = Window.partitionBy("_file").orderBy("i")
-    before = in_file.rowsBetween(Window.unboundedPreceding, -1)
     step = lambda up, down: F.when(F.col("mark").isin(*up), 1).when(F.col("mark").isin(*down), -1).otherwise(0)
     rows = rows.select("_file", "i", mark.alias("mark"), F.length(piece).alias("n"), F.regexp_count(piece, F.lit("\n")).alias("nl"), piece.rlike(_SCOPE_WORD).cast("int").alias("word"))
     rows = rows.select(
