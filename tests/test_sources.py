@@ -1,5 +1,7 @@
 import xml.etree.ElementTree as ET
 
+import pytest
+
 from lithoscan.operators import csharp, xml_defs
 from lithoscan.sources import files
 from lithoscan.streaming.rescan import rescan
@@ -138,3 +140,52 @@ def test_scan_and_rescan(spark, tmp_path):
     names, more = files.list_folder(spark, str(tree), 1)
     assert names.count() == 1 and more
     assert files.is_allowed(str(tree / "x"), [str(tree)]) and not files.is_allowed("/etc/passwd", [str(tree)])
+
+
+def test_walk_prunes_and_deals_out(spark, tmp_path, monkeypatch):
+    """Skipped folders are never entered, unreadable ones passed over; any budget finds the same."""
+    tree = tmp_path / "tree"
+    want = set()
+    for i in range(40):
+        for name in (f"a{i % 3}/b{i % 7}/c{i}/F{i}.cs", f"a{i % 3}/OBJ/x{i}.cs", f"a{i}/_G{i}.xml", f"a{i}/.H.cs", f"a{i}/n.CS", f"a{i}/n.txt"):
+            (tree / name).parent.mkdir(parents=True, exist_ok=True)
+            (tree / name).write_bytes(b"\xef\xbb\xbfclass \xe9" + name.encode())
+            if name.endswith((".cs", ".xml")) and "OBJ" not in name:
+                want.add(str(tree / name))
+    (tree / "a1/loop").symlink_to(tree)
+    for budget, tasks in ((9, 3), (2000, 4)):
+        assert {r.path for r in files.list_files(spark, str(tree), folders_a_task=budget, tasks=tasks).collect()} == want
+    got = files.scan_files(spark, f"file://{tree}").collect()
+    assert {r.path for r in got} == want and all(r.content.startswith("class �") and r.size > 10 for r in got)
+    one = files.scan_files(spark, str(tree / "a5")).where("stem = '_G5'").first()
+    assert (one.ext, one.content) == ("xml", "class �a5/_G5.xml")
+    plain = {(path, inner) for path, inner, _, _ in files._entries(str(tree / "a1/b1"))}
+    assert {(path.removeprefix("file://"), inner) for path, inner, _, _ in files._entries(f"file://{tree}/a1/b1")} == plain
+    assert files._read(f"file://{tree}/a5/_G5.xml") == files._read(str(tree / "a5/_G5.xml")) and files._read(f"file://{tree}/x") is None
+    seen, scandir = [], files.os.scandir
+
+    def guarded(folder):
+        seen.append(folder)
+        if folder.endswith("a2"):
+            raise PermissionError(folder)
+        return scandir(folder)
+
+    monkeypatch.setattr(files.os, "scandir", guarded)
+    rows = {path for path, inner, _, _ in files._walk([str(tree)], (".cs", ".xml"), 10_000) if not inner}
+    assert rows == {p for p in want if "/a2/" not in p} and not any("OBJ" in s or "loop" in s for s in seen)
+    assert not list(files._walk([str(tree / "none"), f"file://{tree}/none"], (".cs",), 9))
+
+
+def test_folder_listing_of_local_and_remote_folders(spark, tmp_path):
+    for i in range(5):
+        (tmp_path / f"d{i}").mkdir()
+        (tmp_path / f"f{i}").write_text("")
+    for root in (str(tmp_path), f"file://{tmp_path}"):
+        names, more = files.list_folder(spark, root, 10)
+        assert {r.name for r in names.collect()} == {f"d{i}/" for i in range(5)} | {f"f{i}" for i in range(5)} and not more
+        names, more = files.list_folder(spark, root, 4)
+        assert names.count() == 4 and more
+    for bad, error in (("none", FileNotFoundError), ("f1", NotADirectoryError)):
+        with pytest.raises(error):
+            files.list_folder(spark, str(tmp_path / bad))
+    assert files.is_allowed("hdfs://n:1/Src/a/../b", ["hdfs://N:1/src"]) and not files.is_allowed("hdfs://n:1/src/../b", ["hdfs://n:1/src"])
