@@ -6,13 +6,22 @@ joined by key and partially aggregated."""
 
 from __future__ import annotations
 
+import time
+from collections.abc import Iterator
+
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clipped, lines_of, ngrams, whole_word, with_fuzzy_score
+from ..sources.scratch import materialize
 
 MEMBER = ["type_name", "member_name", "member_type", "path"]
 
+#: Hits of a search with a time limit; only the path is set for a file that went past it.
+TIMED = pa.schema([("path", pa.string()), ("line_no", pa.int32()), ("line", pa.string()), ("file_hits", pa.int32())])
+
 
 def _best(rows: DataFrame, size: Column, order: list, most: int) -> DataFrame:
     return rows.orderBy(F.col("score").desc(), size, *order).limit(most)
@@ -164,6 +173,64 @@ def grep(files: DataFrame, pattern: str, ignore_case: bool = True, ext: str | No
     return found.select("path", "line_no", F.trim("line").alias("preview")).orderBy("path", "line_no").limit(most)
 
 
+def _within(batches: Iterator[pa.RecordBatch], pattern: str, per_file: int, most_lines: int, seconds: float) -> Iterator[pa.RecordBatch]:
+    """Rows of ``TIMED`` of ``(path, content)`` rows."""
+    asked, ends = regex.compile(pattern), regex.compile(r"\r\n|\n|\r")
+    for batch in batches:
+        out = []
+        for path, content in zip(*(c.to_pylist() for c in batch.columns)):
+            lines = ends.split(content or "")
+            lines = lines[: len(lines) - (lines[-1] == "")][:most_lines]
+            hits, until = [], time.monotonic() + seconds
+            try:
+                for i, line in enumerate(lines):
+                    left = until - time.monotonic()
+                    if left <= 0:
+                        raise TimeoutError
+                    if asked.search(line, timeout=left):
+                        hits.append((i + 1, line))
+            except TimeoutError:
+                out.append((path, None, None, None))
+                continue
+            out += [(path, no, line, len(hits)) for no, line in hits[:per_file]]
+        columns = zip(*out) if out else [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(columns, TIMED)], schema=TIMED)
+
+
+def matching_lines_within(files: DataFrame, pattern: str, per_file: int, seconds: float, most_lines: int = 20_001) -> DataFrame:
+    """``(path, line_no, line, file_hits)`` as :func:`matching_lines` gives them, but a
+    file that takes longer than ``seconds`` has one row with nulls instead.
+
+    Spark's own match can't be stopped, so this one runs in Python's ``regex``, whose
+    searches take a time limit; its classes (letters, digits, case) are those of
+    Unicode.  A malformed pattern is a ``ValueError`` before anything runs; null
+    contents have no lines."""
+    try:
+        regex.compile(pattern)
+    except regex.error as error:
+        raise ValueError(f"invalid pattern: {error}") from error
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _within(batches, pattern, per_file, most_lines, seconds)
+
+    return files.select("path", "content").mapInArrow(search, "path string, line_no int, line string, file_hits int")
+
+
+def grep_within(
+    files: DataFrame, pattern: str, seconds: float = 1.0, ignore_case: bool = True, ext: str | None = None, per_file: int = 5, most: int = 100
+) -> tuple[DataFrame, DataFrame]:
+    """What :func:`grep` finds in files that keep within ``seconds``, and ``(path)`` of
+    those that do not, whose hits are left out.  The files are read once: their
+    hits are written to the shared folder."""
+    if not pattern:
+        raise ValueError("pattern cannot be empty")
+    if ext:
+        files = files.where(F.endswith(F.lower("path"), F.lit(ext.lower())))
+    found = materialize(matching_lines_within(files, ("(?i)" if ignore_case else "") + pattern, per_file, seconds), "timed_hits")
+    hits = found.where("line_no IS NOT NULL").select("path", "line_no", F.trim("line").alias("preview"))
+    return hits.orderBy("path", "line_no").limit(most), found.where("line_no IS NULL").select("path")
+
+
 def usages(files: DataFrame, symbol: str, exts: tuple[str, ...] = ("cs", "xml"), per_file: int = 3, most: int = 50) -> DataFrame:
     """``(path, line_no, preview)``: lines that hold the symbol as a whole word."""
     found = matching_lines(files.where(F.col("ext").isin(*exts)), whole_word(symbol), per_file, None)

@@ -7,10 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.text import clipped, initials, marked_words, split_words, with_fuzzy_score
+from .functions.text import clipped, initials, lines_of, marked_words, split_words, with_fuzzy_score
 from .operators import csharp, graph, index, search, stored, xml_defs
 from .plans import render, tools
 from .plans.query import parsed
+from .sources import files as source_files
 from .sources import snapshot
 from .sources.scratch import materialize, scratch_path
 
@@ -341,6 +342,18 @@ def name_dictionary(spark, d):
     return index.name_dictionary(types(spark, d))
 
 
+@query("SELECT p_size % 3 AS folder, p_name || ' ' || p_partkey AS line FROM part WHERE p_size % 3 <> 2")
+def scanned_tree(spark, d):
+    """Lines of a tree of text files: one folder, one below it, and one that no scan enters."""
+    root = scratch_path(spark, "tree")
+    named = F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("value")
+    for i, folder in enumerate(("a", "a/b.c/d", "a/b.c/Bin/e")):
+        _read(spark, d, "part").where(F.col("p_size") % 3 == i).select(named).write.text(f"{root}/{folder}", lineSep="\r\n")
+    found = source_files.scan_files(spark, root, ("txt",))
+    folder = F.when(F.contains("path", F.lit("/d/")), 1).otherwise(0).cast("bigint").alias("folder")
+    return found.select(folder, F.explode(lines_of(F.col("content"))).alias("line"))
+
+
 @query("SELECT s_name AS name FROM supplier UNION SELECT c_name FROM customer UNION SELECT p_name FROM part")
 def distinct_union(spark, d):
     cols = [("supplier", "s_name"), ("customer", "c_name"), ("part", "p_name")]
@@ -569,6 +582,18 @@ def regex_totals(spark, d):
     return render.totals(search.grep(files(spark, d), r"\bth[a-z]*ing\b"), 100)
 
 
+@query("WITH " + FILES + """, long AS (SELECT source || '/doc_' || doc_id || '.' || lang AS path FROM documents WHERE doc_id % 400 = 0),
+h AS (SELECT path, line_no, line, row_number() OVER (PARTITION BY path ORDER BY line_no) AS r FROM file_lines WHERE line_no <= 20001 AND regexp_matches(line, '(a|an|n|na)+\\.$') AND path NOT IN (FROM long)),
+hits AS (SELECT path, line_no, trim(line) AS preview FROM h WHERE r <= 5 ORDER BY path, line_no LIMIT 100)
+SELECT path, line_no, preview, false AS late FROM hits UNION ALL SELECT path, NULL, NULL, true FROM long""")
+def regex_time_limit(spark, d):
+    """A pattern that backtracks without end on the line put in front of some files."""
+    trap = F.when(F.regexp_extract("stem", r"(\d+)", 1).cast("long") % 400 == 0, F.lit("an" * 60 + "-.\n")).otherwise("")
+    rows = files(spark, d).withColumn("content", F.concat(trap, "content"))
+    hits, late = search.grep_within(rows, r"(a|an|n|na)+\.$", 1.0, ignore_case=False)
+    return hits.withColumn("late", F.lit(False)).unionByName(late.withColumn("late", F.lit(True)), allowMissingColumns=True)
+
+
 @query("WITH " + FILES + """, h AS (SELECT path, line_no, line, row_number() OVER (PARTITION BY path ORDER BY line_no) AS r FROM file_lines WHERE path ILIKE '%_1.fr' OR path ILIKE '%7.FR'),
 m AS (SELECT path, line_no, trim(line) AS preview, row_number() OVER (PARTITION BY path ORDER BY line_no) AS k FROM h WHERE line_no <= 20001 AND regexp_matches(line, 'Le'))
 SELECT path, line_no, preview FROM m WHERE k <= 5 AND path ILIKE '%7.FR' ORDER BY path, line_no LIMIT 100""")
