@@ -59,22 +59,25 @@ def _hit(name: Column | str, score: str, rest: Column) -> Column:
     return F.concat(F.lit("- `"), name, F.lit("` ("), F.format_string("%.0f", F.col(score)), F.lit("%) - "), rest)
 
 
+def located_text(section: str) -> Column:
+    """The text of a row in a section of a locate request."""
+    if section == "types":
+        return _hit("name", "score", file_name(F.col("path")))
+    if section == "members":
+        return F.concat(F.lit("  "), _hit(F.concat("type_name", F.lit("."), "member_name"), "score", file_name(F.col("path"))))
+    if section == "defs":
+        return _hit("def_name", "score", F.col("def_type"))
+    if section == "content":
+        more = F.when(F.col("more_fields") > 0, F.concat(F.lit(" +"), F.col("more_fields").cast("string"))).otherwise("")
+        return F.concat(F.lit("- `"), "def_name", F.lit("` - "), F.array_join("fields", ", "), more)
+    return F.concat(F.lit("- "), file_name(F.col("path")), F.lit(" - "), "path")
+
+
 def locate_lines(sections: dict[str, DataFrame]) -> DataFrame:
     """``(section, place, text)`` of what a locate request found."""
     order, lines = F.monotonically_increasing_id(), []
     for name, rows in sections.items():
-        if name == "types":
-            text = _hit("name", "score", file_name(F.col("path")))
-        elif name == "members":
-            text = F.concat(F.lit("  "), _hit(F.concat("type_name", F.lit("."), "member_name"), "score", file_name(F.col("path"))))
-        elif name == "defs":
-            text = _hit("def_name", "score", F.col("def_type"))
-        elif name == "content":
-            more = F.when(F.col("more_fields") > 0, F.concat(F.lit(" +"), F.col("more_fields").cast("string"))).otherwise("")
-            text = F.concat(F.lit("- `"), "def_name", F.lit("` - "), F.array_join("fields", ", "), more)
-        else:
-            text = F.concat(F.lit("- "), file_name(F.col("path")), F.lit(" - "), "path")
-        lines.append(rows.coalesce(1).select(F.lit(name).alias("section"), order.alias("place"), text.alias("text")))
+        lines.append(rows.coalesce(1).select(F.lit(name).alias("section"), order.alias("place"), located_text(name).alias("text")))
     out = lines[0]
     for more_lines in lines[1:]:
         out = out.unionByName(more_lines)

@@ -6,10 +6,11 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators import search
 from ..sources.files import is_allowed, list_folder
-from . import render, tools
+from . import pages, render, tools
 from .tools import Corpus
 
 
@@ -67,7 +68,9 @@ def _read(corpus: Corpus, path: str, methodName, className, extractClass, startL
 
 
 def _regex(corpus: Corpus, pattern: str, ignoreCase: bool, fileFilter) -> DataFrame:  # noqa: N803
-    return render.regex_blocks(search.grep(corpus.files, pattern, ignoreCase, fileFilter))
+    hits, late = search.grep_within(corpus.files, pattern, pages.FILE_SECONDS, ignoreCase, fileFilter)
+    told = late.orderBy("path").limit(50).select("path", F.concat(F.lit("`"), render.file_name(F.col("path")), F.lit("` took too long")).alias("text"))
+    return render.regex_blocks(hits).unionByName(told)
 
 
 def _folder(corpus: Corpus, path: str, limit: int) -> DataFrame:
@@ -96,3 +99,14 @@ def request(corpus: Corpus, called: str, /, **given) -> DataFrame:
         raise LookupError(called)
     own = REQUESTS[called]
     return own.run(corpus, **own.checked(given))
+
+
+def answer(corpus: Corpus, called: str, /, **given) -> tuple[str, bool]:
+    """The whole text of a request's result, and whether it is an error: an unknown
+    name, wrong arguments, a path outside the roots, or nothing that fits."""
+    if called not in REQUESTS:
+        return f"Unknown request: {called}", True
+    try:
+        return pages.PAGES[called](corpus, **REQUESTS[called].checked(given)), False
+    except (ValueError, LookupError, OSError) as error:
+        return str(error.args[-1] if error.args else error), True

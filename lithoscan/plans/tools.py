@@ -114,34 +114,43 @@ def paths_of_names(names: DataFrame, types: DataFrame, missing: str) -> DataFram
     return joined.select(*names.columns, F.coalesce(F.col("paths")[0], F.lit(missing)).alias("path"), F.coalesce("paths", none).alias("paths"))
 
 
-def _shown(rows: DataFrame) -> DataFrame:
+def shown(rows: DataFrame) -> DataFrame:
     """A section's rows, of display size, fetched once: what is asked of them later
     does not run the search again."""
     return rows.sparkSession.createDataFrame(rows.collect(), rows.schema)
 
 
+def _best(hits: DataFrame, *order, most: int = 10) -> DataFrame:
+    """The best ``most`` of a search's few hits, and how many there are, as ``total``."""
+    counted = hits.withColumn("total", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
+    return counted.orderBy(F.col("score").desc(), *order).limit(most)
+
+
 def locate(corpus: Corpus, raw: str) -> Sections:
     """Types, members, definitions and content that a search string asks for; files
     only where these are all empty.  Empty sections are left out; each one is
-    searched once."""
+    searched once.  ``total`` counts the hits of a section (of members: of
+    their kind), of which the best are shown."""
     asked, types, out = parse(raw).sections(), corpus.types, {}
     if "types" in asked:
         hits = search.collapse_aliases(corpus.best_types(asked["types"]), types)
-        hits = hits.orderBy(F.col("score").desc(), F.length("name"), "name").limit(10)
+        hits = _best(hits, F.length("name"), "name")
         out["types"] = paths_of_names(hits, types, "unknown").orderBy(F.col("score").desc(), F.length("name"), "name")
     if "members" in asked:
-        hits = corpus.best_members(asked["members"])
+        kind = Window.partitionBy("member_type")
+        hits = corpus.best_members(asked["members"]).withColumn("total", F.count(F.lit(1)).over(kind))
         place = Window.partitionBy("member_type").orderBy(F.col("score").desc(), F.length("member_name"), *search.MEMBER)
         out["members"] = hits.withColumn("_r", F.row_number().over(place)).where("_r <= 5").orderBy("member_type", "_r").drop("_r")
     if "defs" in asked:
-        out["defs"] = search.search_defs(corpus.defs, asked["defs"], 10)
+        out["defs"] = _best(search.search_defs(corpus.defs, asked["defs"]), F.length("def_name"), "def_name", "def_type")
     if "content" in asked:
-        hits = corpus.best_content(asked["content"], 10)
+        hits = corpus.best_content(asked["content"], 30).withColumnRenamed("hits", "score")
+        hits = _best(hits, F.length("def_name"), "def_name", "def_type").withColumnRenamed("score", "hits")
         more = F.greatest(F.size("fields") - 3, F.lit(0))
         out["content"] = hits.withColumns({"more_fields": more, "fields": F.slice("fields", 1, 3)})
-    shown = {name: _shown(rows) for name, rows in out.items()}
-    shown = {name: rows for name, rows in shown.items() if not rows.isEmpty()}
-    return shown or {"files": _shown(search.search_files(corpus.files, raw, 10))}
+    found = {name: shown(rows) for name, rows in out.items()}
+    found = {name: rows for name, rows in found.items() if not rows.isEmpty()}
+    return found or {"files": shown(_best(search.search_files(corpus.files, raw), F.length("stem"), "stem", "path"))}
 
 
 def shortened(lines: Column, most: int = 300, head: int = 200, tail: int = 50) -> Column:
@@ -162,11 +171,14 @@ def inspect(corpus: Corpus, name: str) -> Sections:
         whole = xml_defs.resolve_defs(corpus.defs, asked)
         linked = whole.select(F.posexplode("classes").alias("place", "name")).where("place < 10")
         return {
-            "definition": whole.select("def_type", "depth", shortened(F.split("xml", "\n")).alias("xml")),
+            "definition": whole.select(
+                "def_type", "depth", shortened(F.split("xml", "\n")).alias("xml"),
+                F.size(F.split("xml", "\n")).alias("n_lines"), F.size("classes").alias("n_classes"),
+            ),
             "type_files": corpus.paths_of_type(found["def_type"]),
             "classes": paths_of_names(linked, types, "not indexed"),
         }
-    paths = _shown(corpus.paths_of_type(name))
+    paths = shown(corpus.paths_of_type(name))
     if paths.isEmpty():
         raise LookupError(name)
     return {

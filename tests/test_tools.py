@@ -2,7 +2,7 @@ import pytest
 
 from lithoscan.operators import csharp, xml_defs
 from lithoscan.plans import tools
-from lithoscan.plans.requests import request
+from lithoscan.plans.requests import answer, request
 
 from .test_sources import CODE, DEFS
 
@@ -82,3 +82,48 @@ def test_config(tmp_path, monkeypatch):
     (tmp_path / "bad.json").write_text("[1")
     monkeypatch.setenv("TOOLS_TEST_CONFIG", str(tmp_path / "bad.json"))
     assert tools.load_config("TOOLS_TEST_CONFIG", str(tmp_path)) == tools.Config()
+
+
+def test_whole_answers(corpus, tmp_path):
+    def ask(called, **given):
+        text, failed = answer(corpus, called, **given)
+        assert not failed, text
+        return text
+
+    text = ask("locate", query="belt")
+    heads = ["## 'belt'", "**C# Types:**", "**Members:**", "**XML Defs:**", "**Content Matches:**"]
+    assert [line for line in text.split("\n") if line.startswith(("#", "*"))] == [h for h in heads if h in text] and len(text.split("\n\n")) >= 4
+    text = ask("locate", query="m:Belts.")
+    assert text.startswith("## 'm:Belts.'\n\n**Files:**\n- Belt")
+    assert ask("locate", query="m:find").split("\n")[:4] == ["## 'm:find'", "", "**Members:**", "  Methods:"]
+    text = ask("inspect", name="belt")
+    assert text.startswith("## Def: belt\nType: ThingDef\nFile: `/s/Belts.xml`\n\n**Resolved XML:**\n```xml\n<ThingDef>")
+    assert text.endswith("**Linked C# Types:**\n- `Apparel` (Belt.cs)\n- `CompProperties_Shield` (not indexed)")
+    text = ask("inspect", name="Game.Core.Belt")
+    assert "graph TD\n    Game.Core.Belt --> Wear" in text and "**Outline** (`/s/Belt.cs`):\nClass: Game.Core.Belt <T>" in text
+    assert ask("trace", symbol="none", mode="inheritors") == "No subclasses of 'none' found."
+    text = ask("trace", symbol="Apparel", mode="usages")
+    assert text.startswith("References to 'Apparel' (") and "[XML] `Belts.xml`\n  L" in text
+    assert ask("search_regex", pattern="mass", fileFilter=".cs") == (
+        "Regex matches for 'mass' (1 found):\n\n`Belt.cs`\n  L12: [Pure] public float Mass { get; set; } = 2f;"
+    )
+    assert ask("search_regex", pattern="nowhere") == "No matches for pattern: nowhere"
+    text = ask("read_code", path="/s/belt.cs", startLine=1, lineCount=1)
+    assert text == "```csharp\n// belt.cs (lines 2-2 of 24)\nL2: namespace Game.Core\n```\n\n[22 more lines available, use startLine=2]"
+    assert ask("read_code", path="belt", extractClass="Inner").startswith("```csharp\n// Inner\n")
+    for called, given in (("none", {}), ("locate", {}), ("search_regex", {"pattern": "("}), ("list_directory", {"path": str(tmp_path)}), ("inspect", {"name": "Nobody"})):
+        assert answer(corpus, called, **given)[1], called
+    (tmp_path / "a").mkdir()
+    (tmp_path / "b").write_text("")
+    own = tools.Corpus(corpus.files, corpus.found, corpus.defs, (str(tmp_path),))
+    text, failed = answer(own, "list_directory", path=str(tmp_path), limit=1)
+    assert not failed and text.split("\n")[1] in ("a/", "b") and text.endswith("increase limit]")
+
+
+def test_a_pattern_that_takes_too_long(spark, corpus):
+    """Files that go past the limit are told of; hits of others stay."""
+    rows = [("/s/slow.cs", "slow", "cs", "ok\n" + "a" * 70 + "b"), ("/s/fast.cs", "fast", "cs", "caaa"), ("/s/none.cs", "none", "cs", None)]
+    own = tools.Corpus(spark.createDataFrame(rows, "path string, stem string, ext string, content string"), corpus.found, corpus.defs)
+    text, failed = answer(own, "search_regex", pattern="(a|aa)+$")
+    assert not failed and text == "Regex matches for '(a|aa)+$' (1 found):\n\n`fast.cs`\n  L1: caaa\n\n[Left out, as they took over 1 s: 1 files, such as slow.cs]"
+    assert [r.text for r in request(own, "search_regex", pattern="(a|aa)+$").collect()] == ["`fast.cs`\n  L1: caaa", "`slow.cs` took too long"]
