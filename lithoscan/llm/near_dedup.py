@@ -230,12 +230,17 @@ def _wanted(table):
     return run
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, width: int, share: int) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, width: int, share: int, most: int | None = None) -> DataFrame:
     """The pairs whose full shingle sets are similar enough.  The text of ``a``
     comes first in its group, then its few partners; many are dealt over
-    several groups.  Only texts of nodes that may be in a pair are shuffled."""
-    groups = pairs.groupBy("a").agg(F.floor(F.count(F.lit(1)) / GROUP + 1).alias("_groups"))
-    pairs = pairs.join(groups, "a").select("a", F.pmod(F.xxhash64("b"), "_groups").alias("_g"), "b")
+    several groups, which need not be counted where a node has at most ``most``
+    partners and these fit one.  Only texts of nodes that may be in a pair are
+    shuffled."""
+    if most is not None and most < GROUP:
+        pairs = pairs.select("a", F.lit(0).cast("long").alias("_g"), "b")
+    else:
+        groups = pairs.groupBy("a").agg(F.floor(F.count(F.lit(1)) / GROUP + 1).alias("_groups"))
+        pairs = pairs.join(groups, "a").select("a", F.pmod(F.xxhash64("b"), "_groups").alias("_g"), "b")
     stars = pairs.unionByName(pairs.select("a", "_g", F.col("a").alias("b")).distinct())
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node"))
     low = F.col("node").bitwiseAND(F.lit((1 << 33) - 1))
@@ -509,13 +514,14 @@ def near_groups(
     )
     best = F.row_number().over(Window.partitionBy("x").orderBy(F.col("score").desc(), "a", "b"))
     first = materialize(both.withColumn("_r", best).where("_r <= 2").select("a", "b").distinct(), "first_pairs")
-    links = materialize(confirmed(first, texts, width, share), "links")
+    most = 4 * reach * trees  # neighbours on both sides, met once more at the ends of partitions
+    links = materialize(confirmed(first, texts, width, share, most), "links")
     roots = connected_components(links)
     rest = pairs.select("a", "b").join(first, ["a", "b"], "left_anti")
     for end in ("a", "b"):
         rest = rest.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"_{end}")), end, "left")
     apart = rest.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
-    more = materialize(confirmed(materialize(apart, "second_pairs"), texts, width, share), "links")
+    more = materialize(confirmed(materialize(apart, "second_pairs"), texts, width, share, most), "links")
     if not more.isEmpty():
         # The components so far are stars already: only what joins them is left to contract.
         stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
