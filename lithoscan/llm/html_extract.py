@@ -6,27 +6,30 @@ exception.  Tokens of a host's pages with the same occurrence vector (how often
 on which page) form an equivalence class.  Classes that occur on enough of the
 host's pages are valid; nested by path they make the host's template.  Text
 tokens of the template are site text, unless they stand in an article.  What
-lies between template tags are slots, and the template's tags say what a slot
-holds: a menu, a notice or content.  A page's text is what stands in content
-slots.
+lies between template tags are slots.  The article is sought in the slot that
+holds most of what the pages do not share: the innermost box of the template,
+once on a page, with more than half of the host's text that is neither site
+text nor in links.  On pages that have this box, the template's other boxes
+stand beside the article; so do, on all pages, what its tags and names say to
+be menus, notices, adverts or comments.
 
 Vectors are never held: a class is known by its support and by the sum of
 hashes of (page, count), which partial aggregation computes for hosts of any
-size.  Equal pages count once.  Hosts of few pages share one template, that of
-all of them together; if there are too few pages for that too, names of tags
-and classes decide on each page.
+size.  Equal pages count once.  Where a host has too few pages for a template,
+names of tags and classes decide on each page.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_hexdigest
+from xxhash import xxh32_hexdigest, xxh64_hexdigest
 
 from .common import materialize, prepare, text_or_empty
 
@@ -38,8 +41,10 @@ INLINE = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = "script|style|noscript|template|svg|iframe|object|textarea|select|canvas"
 #: Elements that are no part of an article wherever they stand, by name or role.
-ASIDE = frozenset("head title nav footer aside form button dialog menu fieldset".split())
-ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu form".split())
+ASIDE = frozenset("head title nav footer aside button menu".split())
+ROLES = frozenset("navigation banner contentinfo complementary search alert menu".split())
+#: The same, but for an article inside: some sites wrap the whole body in one.
+WRAPS = frozenset("form dialog fieldset".split())
 MAIN = frozenset(("article", "main"))
 CLOSES = {  # an opening tag that ends an open element of these names
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
@@ -53,6 +58,8 @@ NAMES = frozenset(
     "subscribe subscription share sharing social related breadcrumb breadcrumbs popup modal toolbar pager pagination".split()
 )
 PLACES = frozenset("site page main top bottom left right box bar wrap wrapper container list area block section widget item links".split())
+#: Those of them that name what readers wrote, inside articles too.
+REMARKS = frozenset("comment comments respond reply replies disqus".split())
 #: Elements that class names are looked up for.
 BOXES = frozenset("div section ul ol dl table details center".split())
 
@@ -69,30 +76,40 @@ _HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 LINKED = 0.8
 
 
+def words_of(name: str) -> set[str]:
+    return {p.lower() for p in _PARTS.split(name) if p}
+
+
 def names_a_box(name: str) -> bool:
     """Whether a class or an id says that a box is no part of the article."""
-    parts = {p.lower() for p in _PARTS.split(name) if p}
+    parts = words_of(name)
     return bool(parts & NAMES) and parts <= NAMES | PLACES
 
 
 class Element:
     """``aside``: it or one above is no part of an article by tag or role;
-    ``named``: by class or id; ``main``: it or one above is an article."""
+    ``wrapped``: in a form or the like, with no article between; ``named``: no
+    part by class or id; ``remark``: in readers' comments; ``main``: it or one
+    above is an article."""
 
-    __slots__ = ("above", "aside", "main", "name", "named", "own", "path")
+    __slots__ = ("above", "aside", "main", "name", "named", "own", "path", "remark", "wrapped")
 
     def __init__(self, name: str = "", above: Element | None = None, attrs: dict | None = None):
         attrs = attrs or {}
         self.name, self.above = name, above
-        self.main = name in MAIN or bool(above and above.main)
-        out = name in ASIDE or name == "header" and not self.main or attrs.get("role", "").lower() in ROLES
-        self.aside = out or bool(above and above.aside)
         marks = attrs.get("class", "").split()
-        marked = [m for m in [*marks, attrs.get("id", "")] if names_a_box(m)] if name in BOXES else []
+        boxes = name in BOXES or name == "article"
+        marked = [m for m in [*marks, attrs.get("id", "")] if names_a_box(m)] if boxes else []
+        self.remark = any(words_of(m) & REMARKS for m in marked) or bool(above and above.remark)
+        article = name in MAIN and not self.remark
+        self.main = article or bool(above and above.main)
+        role = attrs.get("role", "").lower()
+        self.aside = name in ASIDE or name == "header" and not self.main or role in ROLES or bool(above and above.aside)
+        self.wrapped = not article and (name in WRAPS or role in WRAPS or bool(above and above.wrapped))
         #: Its own class or id names a box.
-        self.own = bool(marked)
+        self.own = bool(marked) and name in BOXES
         self.named = self.own or bool(above and above.named)
-        place = ".".join([name, *sorted({*marks, *marked})])
+        place = ".".join([name, *sorted({*marks, *marked})]).replace("/", "|")
         self.path = f"{above.path}/{place}" if above else ""
 
 
@@ -151,12 +168,12 @@ def walk(page: str) -> Iterator[tuple[Element, str | None, int]]:
 
 
 def text_token(path: str, text: str) -> str:
-    return "#" + xxh64_hexdigest(f"{path}\n{text}")
+    return f"#{xxh32_hexdigest(path)}{xxh64_hexdigest(f'{path}\n{text}')}"
 
 
 def page_tokens(page: str) -> dict[str, list[int]]:
     """``token -> [occurrences, characters of text, of these in links]``; the
-    characters are those directly in a tag.  The empty token is the page."""
+    characters are those directly in a tag, or of a text.  The empty token is the page."""
     found: dict[str, list[int]] = {"": [1, 0, 0]}
     for element, text, linked in walk(page):
         own = found.setdefault(element.path, [0, 0, 0])
@@ -165,7 +182,10 @@ def page_tokens(page: str) -> dict[str, list[int]]:
         else:
             own[1] += len(text)
             own[2] += linked
-            found.setdefault(text_token(element.path, text), [0, 0, 0])[0] += 1
+            block = found.setdefault(text_token(element.path, text), [0, 0, 0])
+            block[0] += 1
+            block[1] += len(text)
+            block[2] += linked
     return found
 
 
@@ -178,21 +198,56 @@ def nested(tags: list[str]) -> set[str]:
     return kept
 
 
+def _beside(step: str) -> bool:
+    """Whether a step of a path is no part of an article by its tag or class."""
+    name, *marks = step.split(".")
+    return name in ASIDE or name in WRAPS or name == "header" or name in BOXES and any(map(names_a_box, marks))
+
+
+def article_slot(tokens: list[dict], tags: set[str]) -> str:
+    """The path of the innermost box, once on a page, that holds more than half of
+    the text that differs between pages; empty if there is none."""
+    site: Counter = Counter()
+    for t in tokens:
+        if t["token"].startswith("#"):
+            site[t["token"][1:9]] += t["chars"] - t["linked"]
+    mass: Counter = Counter()
+    for t in tokens:
+        path = t["token"]
+        own = t["chars"] - t["linked"] - site[xxh32_hexdigest(path)]
+        if path in tags and own > 0 and not any(map(_beside, path.split("/"))):
+            while path:
+                mass[path] += own
+                path = path.rpartition("/")[0]
+            mass[""] += own
+    names = BOXES | MAIN
+    able = [
+        t["token"] for t in tokens
+        if t["once"] and 2 * mass[t["token"]] > mass[""] and t["token"].rpartition("/")[2].partition(".")[0] in names
+    ]
+    return max(able, key=len, default="")
+
+
 class Template:
-    """``tags`` by path, ``texts`` by token, and the ``menus`` among the tags."""
+    """``tags`` by path, ``texts`` by token, the ``menus`` among the tags, and the
+    path of the ``article``."""
 
-    def __init__(self, tags: set[str], texts: set[str], menus: set[str]):
-        self.tags, self.texts, self.menus = tags, texts, menus
+    def __init__(self, tags: set[str], texts: set[str], menus: set[str], article: str = ""):
+        self.tags, self.texts, self.menus, self.article = tags, texts, menus, article
 
-    def holds(self, element: Element, text: str) -> bool:
+    def holds(self, element: Element, text: str, article: str) -> bool:
         """Whether the text is content: no site text, and in no slot beside the
-        article.  A tag of the page alone is no slot: its class does not count."""
-        if element.aside or not element.main and text_token(element.path, text) in self.texts:
+        article, which is ``article`` on this page.  Inside articles the class of
+        a box that the page alone has does not count."""
+        if not element.main and (element.named or text_token(element.path, text) in self.texts):
             return False
         at: Element | None = element
         while at is not None:
-            if at.path in self.tags and (at.own or at.path in self.menus):
-                return False
+            if at.path in self.tags:
+                if at.own or at.path in self.menus:
+                    return False
+                if article and not element.main and at.name in BOXES and not f"{article}/".startswith(f"{at.path}/") and not at.path.startswith(f"{article}/"):
+                    return False
             at = at.above
         return True
 
@@ -200,15 +255,15 @@ class Template:
 def main_text(page: str, template: Template | None) -> str:
     """The text in the page's content slots; without a template, what tags and
     the classes outside articles leave."""
+    blocks = list(walk(page))
+    article = template.article if template else ""
+    if not any(element.path == article for element, text, _ in blocks if text is None):
+        article = ""  # a page of another kind
     found = []
-    for element, text, _ in walk(page):
-        if text is None:
+    for element, text, _ in blocks:
+        if text is None or element.aside or element.wrapped or element.remark:
             continue
-        if template is not None:
-            good = template.holds(element, text)
-        else:
-            good = not element.aside and (element.main or not element.named)
-        if good:
+        if template.holds(element, text, article) if template else element.main or not element.named:
             found.append(text)
     return "\n".join(found)
 
@@ -237,53 +292,50 @@ def _nest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if t["token"] in tags and t["chars"] and t["linked"] >= LINKED * t["chars"]
                 and not any(s.partition(".")[0] in MAIN for s in t["token"].split("/"))
             ]
-            rows.append((sorted(tags), texts, sorted(menus)))
-        cols = [pa.array([r[i] for r in rows], pa.list_(pa.string())) for i in range(3)]
-        yield pa.RecordBatch.from_arrays([batch.column("_host"), *cols], names=["_host", "_tags", "_texts", "_menus"])
+            rows.append((sorted(tags), texts, sorted(menus), article_slot(tokens, tags)))
+        cols = [pa.array([r[i] for r in rows], pa.list_(pa.string()) if i < 3 else pa.string()) for i in range(4)]
+        yield pa.RecordBatch.from_arrays([batch.column("_host"), *cols], names=["_host", "_tags", "_texts", "_menus", "_article"])
 
 
 def host_templates(pages: DataFrame, min_support: float, min_text_support: float, min_pages: int) -> DataFrame:
-    """``pages (_host, _page, _html)`` to ``(_host, _tags, _texts, _menus)``.  Hosts
-    of fewer than ``min_pages`` different pages have the template of all of them
-    together, or none."""
+    """``pages (_host, _page, _html)`` to ``(_host, _tags, _texts, _menus, _article)``
+    of the hosts with ``min_pages`` different pages or more."""
     told = pages.mapInArrow(_tokens, TOKENS).dropDuplicates(["_host", "_page"])
     rows = told.select("_host", "_page", F.explode("_tokens").alias("t"))
     vectors = rows.groupBy("_host", F.col("t.token").alias("_token")).agg(
         F.count(F.lit(1)).alias("_support"),
         F.sum(F.xxhash64("_page", "t.n").cast("decimal(20,0)")).alias("_vector"),
+        F.sum(F.col("t.n").cast("long")).alias("_n"),
         F.sum(F.col("t.chars").cast("long")).alias("_chars"),
         F.sum(F.col("t.linked").cast("long")).alias("_linked"),
     )
     vectors = materialize(vectors, "occurrence_vectors")
-    sizes = vectors.where("_token = ''").select("_host", F.col("_support").alias("_pages"))
-    group = F.when(F.col("_pages") >= min_pages, F.concat(F.lit("="), "_host")).otherwise("*")
-    sizes = materialize(sizes.select("_host", group.alias("_group")), "host_groups")
-    sums = [F.sum(c).alias(c) for c in ("_support", "_vector", "_chars", "_linked")]
-    pooled = vectors.join(sizes, "_host").groupBy("_group", "_token").agg(*sums)
-    total = pooled.where("_token = ''").select("_group", F.col("_support").alias("_pages"))
+    total = vectors.where((F.col("_token") == "") & (F.col("_support") >= min_pages)).select("_host", F.col("_support").alias("_pages"))
     least = F.when(F.startswith("_token", F.lit("#")), min_text_support).otherwise(min_support) * F.col("_pages")
-    frequent = pooled.join(total, "_group").where((F.col("_pages") >= min_pages) & (F.col("_support") >= F.greatest(least, F.lit(2))))
+    frequent = vectors.join(total, "_host").where(F.col("_support") >= F.greatest(least, F.lit(2)))
     # Equivalence classes: equal support and vector.  A text is valid only in a
     # class with other tokens, a tag always.
-    token = F.struct(F.col("_token").alias("token"), F.col("_chars").alias("chars"), F.col("_linked").alias("linked"))
-    classes = frequent.groupBy("_group", "_support", "_vector").agg(F.collect_list(token).alias("_class"))
+    token = F.struct(
+        F.col("_token").alias("token"), F.col("_chars").alias("chars"), F.col("_linked").alias("linked"),
+        (F.col("_n") == F.col("_support")).alias("once"),
+    )
+    classes = frequent.groupBy("_host", "_support", "_vector").agg(F.collect_list(token).alias("_class"))
     is_text = F.startswith(F.col("_class")[0]["token"], F.lit("#"))
     valid = classes.where((F.size("_class") >= 2) | ~is_text)
-    lists = valid.groupBy(F.col("_group").alias("_host")).agg(F.flatten(F.collect_list("_class")).alias("_tokens"))
-    nest = lists.mapInArrow(_nest, "_host string, _tags array<string>, _texts array<string>, _menus array<string>")
-    return sizes.join(nest.withColumnRenamed("_host", "_group"), "_group").drop("_group")
+    lists = valid.groupBy("_host").agg(F.flatten(F.collect_list("_class")).alias("_tokens"))
+    return lists.mapInArrow(_nest, "_host string, _tags array<string>, _texts array<string>, _menus array<string>, _article string")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last, template = None, None
     for batch in batches:
         texts = []
-        cols = [batch.column(c) for c in ("_html", "_host", "_tags", "_texts", "_menus")]
-        for page, host, tags, site, menus in zip(*cols, strict=True):
+        cols = [batch.column(c) for c in ("_html", "_host", "_tags", "_texts", "_menus", "_article")]
+        for page, host, tags, site, menus, article in zip(*cols, strict=True):
             own = host.as_py()
             if own != last:
                 last = own
-                template = Template(set(tags.as_py()), set(site.as_py()), set(menus.as_py())) if tags.is_valid else None
+                template = Template(set(tags.as_py()), set(site.as_py()), set(menus.as_py()), article.as_py()) if tags.is_valid else None
             texts.append(main_text(page.as_py(), template))
         yield pa.RecordBatch.from_arrays(
             [batch.column("_id"), batch.column("_url"), pa.array(texts, pa.string())], names=["_id", "_url", "text"]
@@ -303,9 +355,11 @@ def extract_main_text(
 
     Pages are grouped by the host of their address (null or none: together).
     Tags on ``min_support`` of a host's different pages (two at least), and texts
-    on ``min_text_support`` of them, can be template.  Inside articles no text is
+    on ``min_text_support`` of them, can be template.  Hosts of fewer than
+    ``min_pages`` different pages have none.  Inside articles no text is
     dropped for its class, unless the host's template has a box of that class
-    there; navigation, forms and the like are dropped by their tag or role.
+    there or it names readers' comments; navigation, forms and the like are
+    dropped by their tag or role, but for an article that a form encloses.
 
     Null or empty pages have the empty text; markup that is cut off ends where
     the page ends; repeated rows and null ids are treated like any other; an
@@ -323,7 +377,7 @@ def extract_main_text(
     )
     keyed = rows.select("_host", F.xxhash64("_html").alias("_page"), "_html")
     templates = materialize(host_templates(keyed, min_support, min_text_support, min_pages), "templates")
-    joined = rows.join(templates, "_host", "left").select("_id", "_url", "_html", "_host", "_tags", "_texts", "_menus")
+    joined = rows.join(templates, "_host", "left").select("_id", "_url", "_html", "_host", "_tags", "_texts", "_menus", "_article")
     kind = df.schema[id_col].dataType.simpleString()
     done = joined.mapInArrow(_extract, f"_id {kind}, _url string, text string")
     return done.withColumnsRenamed({"_id": id_col, "_url": url_col})

@@ -188,6 +188,26 @@ def test_the_template_decides(spark):
     assert {r.text for r in got} == {"Story 0\nImpact 0\nAll rights reserved"}
 
 
+def test_the_article_is_the_slot_that_differs(spark):
+    """Boxes without telling names go where the template shows where the article is."""
+    shape = "<html><body><div class=x1>Trending {n}</div><h1>Title {n}</h1><div class=w-1/2><p>Story {n} goes on for {n} more words<p>Next {n}</div><div class=x9>Also read {n}</div></body></html>"
+    data = [(i, "http://h.example/", shape.format(n=i)) for i in range(6)]
+    data.append((9, "http://h.example/", "<html><body><div class=x1>Another kind of page</div></body></html>"))
+    data += [(20 + i, f"http://small{i}.example/", f"<body><div class=cookie-notice>We use cookies {i}</div><p>Story {i}<div class=comments>Reader {i}</div>") for i in range(12)]
+    data += [(40 + i, "http://rare.example/", f"<body><div class=text><p>Story {i}</div>" + "<div class=promo>Buy now</div>" * (i in (3, 50))) for i in range(60)]
+    got = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(6)] == [f"Title {i}\nStory {i} goes on for {i} more words\nNext {i}" for i in range(6)]
+    assert got[9] == "Another kind of page"
+    assert [got[20 + i] for i in range(12)] == [f"Story {i}" for i in range(12)]
+    assert [got[40 + i] for i in range(60)] == [f"Story {i}" for i in range(60)]
+
+
+def test_forms_around_articles_and_comments_in_them():
+    assert main_text("<form id=f><label>x</label><main><p>a<form>b</form></main></form>", None) == "a"
+    assert main_text("<article>a<div class=comment-list>b</div></article><section id=comments><article class=comment>c</article></section><form>d</form>", None) == "a"
+    assert main_text("<article class=comment>c</article><aside><article>d</article></aside><p>e", None) == "e"
+
+
 def test_nothing_goes_by_class_inside_an_article():
     page = "<article><p class='social impact'>a<section id=share-of-market>b</section><p>c <math><mi>x</mi></math></article><div class=content>d</div><div class='site-footer'>e</div>"
     assert main_text(page, None) == "a\nb\nc x\nd"
