@@ -66,7 +66,9 @@ def located_text(section: str) -> Column:
     if section == "members":
         return F.concat(F.lit("  "), _hit(F.concat("type_name", F.lit("."), "member_name"), "score", file_name(F.col("path"))))
     if section == "defs":
-        return _hit("def_name", "score", F.col("def_type"))
+        tag = F.when(F.col("is_abstract"), " [Abstract]").otherwise("")
+        label = F.when(F.col("label") != "", F.concat(F.lit(' "'), "label", F.lit('"'))).otherwise("")
+        return _hit("def_name", "score", F.concat("def_type", tag, label))
     if section == "content":
         more = F.when(F.col("more_fields") > 0, F.concat(F.lit(" +"), F.col("more_fields").cast("string"))).otherwise("")
         return F.concat(F.lit("- `"), "def_name", F.lit("` - "), F.array_join("fields", ", "), more)

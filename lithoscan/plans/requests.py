@@ -42,6 +42,15 @@ class Request:
         return out
 
 
+    def schema(self) -> dict:
+        """The arguments as a JSON schema."""
+        kinds = {str: "string", bool: "boolean", int: "integer"}
+        told = {name: {"type": "string"} for name in self.required}
+        for name, default in self.optional.items():
+            told[name] = {"type": "string"} if default is None else {"type": kinds[type(default)], "default": default}
+        return {"type": "object", "properties": told, "required": list(self.required)}
+
+
 def _locate(corpus: Corpus, query: str) -> DataFrame:
     sections = tools.locate(corpus, query)
     if all(rows.isEmpty() for rows in sections.values()):
@@ -93,6 +102,11 @@ REQUESTS = {
 }
 
 
+def described() -> list[dict]:
+    """Name, description and argument schema of every request, fit for ``json.dumps``."""
+    return [{"name": name, "description": own.about, "inputSchema": own.schema()} for name, own in REQUESTS.items()]
+
+
 def request(corpus: Corpus, called: str, /, **given) -> DataFrame:
     """Run a request by its name; an unknown one is a ``LookupError``."""
     if called not in REQUESTS:

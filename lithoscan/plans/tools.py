@@ -126,6 +126,13 @@ def _best(hits: DataFrame, *order, most: int = 10) -> DataFrame:
     return counted.orderBy(F.col("score").desc(), *order).limit(most)
 
 
+def _with_facts(hits: DataFrame, defs: DataFrame) -> DataFrame:
+    """A display's definitions with their ``label``, and whether they are abstract."""
+    key = ["def_type", "def_name", "path"]
+    own = defs.join(F.broadcast(hits.select(*key)), key).groupBy(*key)
+    return hits.join(own.agg(F.min("label").alias("label"), F.bool_or("is_abstract").alias("is_abstract")), key, "left")
+
+
 def locate(corpus: Corpus, raw: str) -> Sections:
     """Types, members, definitions and content that a search string asks for; files
     only where these are all empty.  Empty sections are left out; each one is
@@ -142,7 +149,9 @@ def locate(corpus: Corpus, raw: str) -> Sections:
         place = Window.partitionBy("member_type").orderBy(F.col("score").desc(), F.length("member_name"), *search.MEMBER)
         out["members"] = hits.withColumn("_r", F.row_number().over(place)).where("_r <= 5").orderBy("member_type", "_r").drop("_r")
     if "defs" in asked:
-        out["defs"] = _best(search.search_defs(corpus.defs, asked["defs"]), F.length("def_name"), "def_name", "def_type")
+        order = [F.length("def_name"), "def_name", "def_type"]
+        hits = shown(_best(search.search_defs(corpus.defs, asked["defs"]), *order))
+        out["defs"] = _with_facts(hits, corpus.defs).orderBy(F.col("score").desc(), *order)
     if "content" in asked:
         hits = corpus.best_content(asked["content"], 30).withColumnRenamed("hits", "score")
         hits = _best(hits, F.length("def_name"), "def_name", "def_type").withColumnRenamed("score", "hits")

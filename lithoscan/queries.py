@@ -764,12 +764,20 @@ def locate_members(spark, d):
     return render.locate_lines(tools.locate(_part_corpus(spark, d), "m:widgt")).select("section", "text")
 
 
-@query("WITH " + DEFS + ", " + _SD + """ SELECT 'defs' AS section, '- `' || def_name || '` (' || printf('%.0f', score) || '%) - ' || def_type AS text
-FROM (SELECT * FROM b ORDER BY b.score DESC, length(def_name), def_name, def_type LIMIT 10)""")
+@query("WITH " + DEFS + ", " + _SD + """ SELECT 'defs' AS section, '- `' || def_name || '` (' || printf('%.0f', score) || '%) - ' || def_type || CASE WHEN is_abstract THEN ' [Abstract]' ELSE '' END || ' "' || label || '"' AS text
+FROM (SELECT * FROM b ORDER BY b.score DESC, length(def_name), def_name, def_type LIMIT 10) JOIN (SELECT def_type, def_name, label, is_abstract FROM defs) USING (def_type, def_name)""")
 def locate_defs(spark, d):
     return render.locate_lines(tools.locate(_part_corpus(spark, d), "d:part_15")).select("section", "text")
 
 
+@query("""WITH t AS (SELECT unnest(list_distinct(list_filter(regexp_split_to_array(lower(p_name), '\\W+'), lambda w: length(w) >= 3))) AS token, p_type, 'Part_' || p_partkey AS def_name FROM part),
+hits AS (SELECT p_type, def_name, count(*) AS n FROM t WHERE token IN ('blue', 'widget') GROUP BY 1, 2)
+SELECT 'content' AS section, '- `' || def_name || '` - ' || p_type || '.label' AS text FROM (SELECT * FROM hits ORDER BY n DESC, length(def_name), def_name, p_type LIMIT 10)""")
+def locate_content(spark, d):
+    found = tools.locate(_part_corpus(spark, d), "blue widget")
+    return render.locate_lines({"content": found["content"]}).select("section", "text")
+
+
 @query("""WITH RECURSIVE up(k, depth) AS (SELECT 150, 1 UNION ALL SELECT k // 3, depth + 1 FROM up WHERE k // 3 > 0),
 t AS (SELECT p_partkey AS k, replace(p_brand, '#', '') || '.Part_' || p_partkey AS full_name, 'src/' || p_partkey || '.cs' AS path, p_size, """ + _NAME + """ AS n FROM part)
 SELECT 'chain' AS section, depth AS place, full_name || ' --> Part_' || (up.k // 3) AS text FROM up JOIN t ON t.k = up.k

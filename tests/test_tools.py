@@ -1,8 +1,10 @@
+import json
+
 import pytest
 
 from lithoscan.operators import csharp, xml_defs
 from lithoscan.plans import tools
-from lithoscan.plans.requests import answer, request
+from lithoscan.plans.requests import REQUESTS, answer, described, request
 
 from .test_sources import CODE, DEFS
 
@@ -120,6 +122,20 @@ def test_whole_answers(corpus, tmp_path):
     assert not failed and text.split("\n")[1] in ("a/", "b") and text.endswith("increase limit]")
 
 
+def test_definitions_tell_label_and_abstract_ones(corpus):
+    text, failed = answer(corpus, "locate", query="d:base")
+    assert not failed and any(line.endswith('- ThingDef [Abstract] "base"') for line in text.split("\n")), text
+    text, _ = answer(corpus, "locate", query="d:belt")
+    assert '- ThingDef "belt"' in text
+
+
+def test_requests_describe_their_arguments():
+    told = {one["name"]: one["inputSchema"] for one in json.loads(json.dumps(described()))}
+    assert set(told) == set(REQUESTS) and told["locate"] == {"type": "object", "properties": {"query": {"type": "string"}}, "required": ["query"]}
+    assert told["search_regex"]["properties"]["ignoreCase"] == {"type": "boolean", "default": True}
+    assert told["read_code"]["properties"]["lineCount"] == {"type": "integer", "default": 150} and told["read_code"]["required"] == ["path"]
+
+
 def test_a_pattern_that_takes_too_long(spark, corpus):
     """Files that go past the limit are told of; hits of others stay."""
     rows = [("/s/slow.cs", "slow", "cs", "ok\n" + "a" * 70 + "b"), ("/s/fast.cs", "fast", "cs", "caaa"), ("/s/none.cs", "none", "cs", None)]
