@@ -342,13 +342,13 @@ def name_dictionary(spark, d):
     return index.name_dictionary(types(spark, d))
 
 
-@query("SELECT p_size % 3 AS folder, p_name || ' ' || p_partkey AS line FROM part WHERE p_size % 3 <> 2")
+@query("SELECT doc_id % 3 AS folder, source || ' ' || lang || ' ' || doc_id AS line FROM documents WHERE doc_id % 3 <> 2")
 def scanned_tree(spark, d):
     """Lines of a tree of text files: one folder, one below it, and one that no scan enters."""
     root = scratch_path(spark, "tree")
-    named = F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("value")
+    named = F.concat_ws(" ", "source", "lang", F.col("doc_id").cast("string")).alias("value")
     for i, folder in enumerate(("a", "a/b.c/d", "a/b.c/Bin/e")):
-        _read(spark, d, "part").where(F.col("p_size") % 3 == i).select(named).write.text(f"{root}/{folder}", lineSep="\r\n")
+        _read(spark, d, "documents").where(F.col("doc_id") % 3 == i).select(named).write.text(f"{root}/{folder}", lineSep="\r\n")
     found = source_files.scan_files(spark, root, ("txt",))
     folder = F.when(F.contains("path", F.lit("/d/")), 1).otherwise(0).cast("bigint").alias("folder")
     return found.select(folder, F.explode(lines_of(F.col("content"))).alias("line"))
