@@ -1,21 +1,22 @@
 """C# declarations: types, first bases and members with their source spans.
 
-Two small helpers work on text: one blanks comments, literals and inactive
-``#if`` branches of a file, one reads the head of a single declaration.  What
-lies between is DataFrame work: braces, brackets, semicolons and arrows become
-rows; running sums in a window per file give nesting depths; what stands in
-brackets is left out as a unit; statements are numbered inside the innermost
-open brace, and joined to the type that the brace opens.
+Small helpers work on text: one blanks comments, literals and inactive ``#if``
+branches of a file, one what stands in brackets, one reads the head of a single
+declaration.  What lies between is DataFrame work: braces, semicolons and arrows
+become rows; running sums in a window per file give nesting depths; what stands
+in bodies is left out; statements are numbered inside the innermost open brace,
+and joined to the type that the brace opens.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
+from itertools import accumulate, chain
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,16 +24,31 @@ from ..sources.scratch import materialize
 
 MAX_BYTES = 10 * 1024 * 1024
 
+_MARK_COLUMNS = ("mark", "end", "lines", "level", "may_open")
+_CODE = T.StructType([T.StructField("masked", T.StringType()), *[T.StructField(c, T.ArrayType(T.IntegerType())) for c in _MARK_COLUMNS]])
 _TEXTS = ("kind", "name", "base_name", "type_params", "value_type", "params")
 HEADING = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in _TEXTS]))
+_HEADING = pa.list_(pa.struct([(c, pa.string()) for c in _TEXTS]))
+
+#: Code that one task cuts into statements, whatever the input.
+TASK_BYTES = 16 << 20
+#: Heads that a worker remembers, of so many characters at most.
+KNOWN_HEADS, KNOWN_LENGTH = 1 << 16, 512
 
 # ---- blanking ----
 
-_LEXEME = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|[$@]*\"+|'(?:\\.|[^'\\\n])+'|^[ \t]*\#[^\n]*", re.S | re.M)
+# Every choice starts with a character of its own, so the search skips what none starts with.
+_LEXEME = re.compile(r"""//[^\n]*|/\*.*?(?:\*/|\Z)|\$[$@]*"+|@[$@]*"+|"+|'(?:\\.|[^'\\\n])+'|\#[^\n]*""", re.S)
 _IN_STRING = re.compile(r'\\.|"+|\{+|\n', re.S)
 _IN_HOLE = re.compile(r"/\*.*?\*/|[$@]*\"+|'(?:\\.|[^'\\\n])+'|[{}]", re.S)
 _DIRECTIVE = re.compile(r"^[ \t]*\#[ \t]*(\w+)[ \t]*([^\n]*)", re.M)
 _NOT_NEWLINE = re.compile(r"[^\n]")
+_BRACKET = re.compile(r"[()\[\]]")
+_COMPOUND = re.compile(r"[<>!=+\-*/%&|^?~]=(?!>)")
+
+
+def _spaces(text: str) -> str:
+    return _NOT_NEWLINE.sub(" ", text) if "\n" in text else " " * len(text)
 
 
 def _string_end(code: str, opening: re.Match) -> int:
@@ -115,7 +131,7 @@ def blanked(code: str, symbols: frozenset[str] = frozenset()) -> str:
 
     def blank(upto: int) -> None:
         nonlocal done
-        out.append(_NOT_NEWLINE.sub(" ", code[done:upto]))
+        out.append(_spaces(code[done:upto]))
         done = upto
 
     while True:
@@ -123,15 +139,24 @@ def blanked(code: str, symbols: frozenset[str] = frozenset()) -> str:
         m = (_LEXEME if active else _DIRECTIVE).search(code, at)
         if m is None:
             break
-        at = m.end()
+        at, begin, told = m.end(), m.start(), None
         if active:
-            out.append(code[done : m.start()])
-            done = m.start()
-            if m[0][-1] == '"' and m[0][0] in '$@"':
+            if m[0][0] == "#":
+                begin = code.rfind("\n", 0, begin) + 1
+                if code[begin : m.start()].strip(" \t"):  # a directive has its line to itself
+                    at = m.start() + 1
+                    continue
+                told = _DIRECTIVE.fullmatch(m[0])
+            elif m[0][-1] == '"' and m[0][0] in '$@"':
                 at = _string_end(code, m)
+            out.append(code[done:begin])
+            done = begin
+        else:
+            told = m
         blank(at)
-        told = _DIRECTIVE.fullmatch(m[0]) if m[0].lstrip(" \t")[:1] == "#" else None
-        word, rest = told.groups() if told else ("", "")
+        if told is None:
+            continue
+        word, rest = told.groups()
         if word == "if":
             taken = active and _holds(rest, defined)
             stack.append([taken, taken, active])
@@ -149,6 +174,23 @@ def blanked(code: str, symbols: frozenset[str] = frozenset()) -> str:
     return "".join(out)
 
 
+def outside_brackets(masked: str) -> str:
+    """Blanked code at the same length, with spaces for what stands in brackets and
+    for signs that end in ``=`` but assign nothing.  Behind a bracket that has no
+    partner all is blank, until the brackets even out."""
+    out, done, depth = [], 0, 0
+    for m in _BRACKET.finditer(masked):
+        if not depth:
+            out.append(masked[done : m.start()])
+            done = m.start()
+        depth += 1 if m[0] in "([" else -1
+        if not depth:
+            out.append(_spaces(masked[done : m.end()]))
+            done = m.end()
+    out.append(_spaces(masked[done:]) if depth else masked[done:])
+    return _COMPOUND.sub("  ", "".join(out))
+
+
 # ---- the head of one declaration ----
 
 _MODIFIERS = re.compile(
@@ -163,12 +205,16 @@ _ASSIGN = re.compile(r"(?<![=!<>])=(?![=>])")
 _LIST = re.compile(r"(?<!:):(?!:)")
 
 
+_GROUPS = [("(", re.compile(r"\([^()]*\)")), ("[", re.compile(r"\[[^\[\]]*\]")), ("{", re.compile(r"\{[^{}]*\}")), ("<", re.compile(r"<[\w\s,.?&]*>"))]
+
+
+@lru_cache(1024)
 def _flat(text: str) -> str:
     """The text with what brackets hold filled up, at the same length."""
-    for group in (r"\([^()]*\)", r"\[[^\[\]]*\]", r"\{[^{}]*\}", r"<[\w\s,.?&]*>"):
-        before = None
-        while before != text:
-            before, text = text, re.sub(group, lambda m: "&" * len(m[0]), text)
+    for opening, group in _GROUPS:
+        found = 1
+        while found and opening in text:
+            text, found = group.subn(lambda m: "&" * len(m[0]), text)
     return text
 
 
@@ -210,7 +256,7 @@ def _members(head: str, mark: str) -> Iterator[Row]:
 
     if not head or re.match(r"(enum|delegate|using|extern)\b", head) or head[0] in "=~":
         return
-    cut = _LIST.search(_flat(head)) if mark != "=" else None
+    cut = _LIST.search(_flat(head)) if mark != "=" and ":" in head else None
     head = head[: cut.start()].rstrip() if cut else head  # this(...), base(...) and constraints
     kind = "Field"
     if event := re.match(r"event\s+", head):
@@ -254,80 +300,94 @@ def heading(text: str, mark: str) -> list[Row]:
     return list(_members(head, mark))
 
 
-@F.pandas_udf(HEADING)
-def _headings(texts: pd.Series, marks: pd.Series) -> pd.Series:
-    return pd.Series([heading(text, mark) for text, mark in zip(texts, marks, strict=True)])
+@lru_cache(KNOWN_HEADS)
+def _named(text: str, mark: str) -> list[dict]:
+    """Files repeat short heads, so a worker reads each of these once."""
+    return [dict(zip(_TEXTS, row, strict=True)) for row in heading(text, mark)]
+
+
+@F.arrow_udf(HEADING)
+def _headings(texts: pa.Array, marks: pa.Array) -> pa.Array:
+    each = zip(texts.to_pylist(), marks.to_pylist(), strict=True)
+    return pa.array([(_named if len(text) <= KNOWN_LENGTH else _named.__wrapped__)(text, mark) for text, mark in each], _HEADING)
 
 
 # ---- statements and scopes as rows ----
 
-#: A piece of a file: text, and the structural mark behind it.
-_PIECE = r"(?s)[^{}\[\]();=]*(?:=>|==|[{}\[\]();=]|$)"
-_SCOPE_WORD = r"\b(class|struct|interface|record|namespace)\b"
+_MARKS = ("{", "}", ";", "=>", "=")
+_OPEN, _CLOSE, _END, _ARROW, _IS = range(len(_MARKS))
+_MARK = re.compile(r"=>|[{};=]")
+_SCOPE_WORD = re.compile(r"\b(?:class|struct|interface|record|namespace)\b")
+
+
+def _marks(masked: str) -> Iterator[tuple[int, int, int, int, int]]:
+    """The marks outside brackets: which one, where it ends, the lines and the open
+    braces before it, and whether a word before it may open a type or namespace."""
+    flat, at, lines, level = outside_brackets(masked), 0, 0, 0
+    for m in _MARK.finditer(flat):
+        mark, begin, at = _MARKS.index(m[0]), at, m.end()
+        lines += flat.count("\n", begin, at)
+        level -= mark == _CLOSE
+        yield mark, at, lines, level, int(mark == _OPEN and _SCOPE_WORD.search(flat, begin, at) is not None)
+        level += mark == _OPEN
+
+
+def _code(texts: list[str]) -> pa.Array:
+    """Blanked texts with their marks, a list for each of ``_MARK_COLUMNS``."""
+    found = [list(_marks(text)) for text in texts]
+    ends = pa.array(accumulate(map(len, found), initial=0), pa.int32())
+    columns = zip(*chain.from_iterable(found)) if ends[-1].as_py() else [()] * len(_MARK_COLUMNS)
+    lists = [pa.ListArray.from_arrays(ends, pa.array(c, pa.int32())) for c in columns]
+    return pa.StructArray.from_arrays([pa.array(texts, pa.string()), *lists], ["masked", *_MARK_COLUMNS])
 
 
 def _statements(read: DataFrame) -> DataFrame:
-    """``read (_file, _masked)`` to one row per statement, whatever brace it stands in:
-    its place, its first mark, and the piece ``parent`` that opened the brace (-1
-    outside all)."""
-    rows = read.select("_file", F.posexplode(F.regexp_extract_all("_masked", F.lit(_PIECE), F.lit(0))).alias("i", "piece"))
-    piece = F.col("piece")
-    compound = piece.rlike(r"[<>!=+\-*/%&|^?~]=$")
-    mark = F.when(F.endswith(piece, F.lit("=>")), "=>").when(compound, "").otherwise(F.right(piece, F.lit(1)))
-    in_file = Window.partitionBy("_file").orderBy("i")
-    step = lambda up, down: F.when(F.col("mark").isin(*up), 1).when(F.col("mark").isin(*down), -1).otherwise(0)
-    rows = rows.select("_file", "i", mark.alias("mark"), F.length(piece).alias("n"), F.regexp_count(piece, F.lit("\n")).alias("nl"), piece.rlike(_SCOPE_WORD).cast("int").alias("word"))
-    rows = rows.select(
-        "_file", "i", "mark", *[F.sum(c).over(in_file).cast("int").alias(to) for c, to in (("n", "end"), ("nl", "lines"), ("word", "words"))],
-        F.sum(step("([", ")]")).over(in_file).alias("held"),
-    )
-    # What stands in brackets, attributes and lambdas among arguments too, is passed over as a unit.
-    rows = rows.where((F.col("held") == 0) & F.col("mark").isin("{", "}", ";", "=>", "="))
-    opens = F.col("mark") == "{"
-    rows = rows.withColumn("level", F.sum(step("{", "}")).over(in_file) - opens.cast("int"))
+    """``read (_file, _marks)`` to one row per statement that stands in no brace or in
+    one that may open a type or namespace: its place, its first mark, and the mark
+    ``parent`` that opened the brace (-1 outside all).
+
+    All windows are of one file, so rows stay in the tasks that ``read`` is dealt
+    to; columns are numbers, which need no sorting to be put together."""
+    rows = read.select("_file", F.posexplode("_marks").alias("i", "m")).select("_file", "i", "m.*")
+    opens = F.col("mark") == _OPEN
     # A brace stands in the scope around it, and opens the one inside it.
-    roles = F.when(opens, F.array(F.struct(F.col("level"), F.lit(False).alias("opener")), F.struct((F.col("level") + 1).alias("level"), F.lit(True).alias("opener"))))
-    roles = roles.otherwise(F.array(F.struct(F.col("level"), F.lit(False).alias("opener"))))
-    rows = rows.withColumn("_r", F.explode(roles)).select("_file", "i", "mark", "end", "lines", "words", "_r.level", "_r.opener")
-    by_level = Window.partitionBy("_file", "level").orderBy("i")
-    parent = F.coalesce(F.last(F.when(F.col("opener"), F.col("i")), ignorenulls=True).over(by_level), F.lit(-1))
-    rows = rows.withColumn("parent", parent)
-    in_scope = Window.partitionBy("_file", "parent").orderBy("i")
-    before = in_scope.rowsBetween(Window.unboundedPreceding, -1)
-    latest = lambda when, what: F.last(F.when(when, F.col(what)), ignorenulls=True).over(before)
+    around = F.struct(F.col("level"), F.lit(False).alias("opener"))
+    inside = F.struct((F.col("level") + 1).alias("level"), F.lit(True).alias("opener"))
+    roles = F.when(opens, F.array(around, inside)).otherwise(F.array(around))
+    rows = rows.withColumn("_r", F.explode(roles)).select("_file", "i", "mark", "may_open", "end", "lines", "_r.level", "_r.opener")
+    by_level = Window.partitionBy("_file", "level").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    opened = F.when(F.col("opener"), F.when(F.col("may_open") == 1, F.col("i")).otherwise(-2))
+    # Bodies hold most statements; only those that stand in what may be a type or namespace are looked at.
+    rows = rows.withColumn("parent", F.coalesce(F.last(opened, ignorenulls=True).over(by_level), F.lit(-1))).where("parent > -2").drop("may_open")
+    before = Window.partitionBy("_file", "parent").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    latest = lambda when, what: F.last(F.when(when, what), ignorenulls=True).over(before)
     # Behind an assignment or an arrow a brace is part of an expression, which a semicolon ends.
-    semicolon = F.coalesce(latest(F.col("mark") == ";", "i"), F.lit(-1))
-    expression = F.coalesce(latest(F.col("mark").isin("=", "=>") & ~F.col("opener"), "i"), F.lit(-1)) > semicolon
-    rows = rows.withColumn("stops", F.col("opener") | (F.col("mark") == ";") | ((F.col("mark") == "}") & ~expression))
-    origin = [F.coalesce(latest(F.col("stops"), c), F.lit(0)).alias(f"{c}_before") for c in ("end", "lines", "words")]
+    expression = F.coalesce(latest(F.col("mark").isin(_END, _IS, _ARROW), F.col("mark") != _END), F.lit(False))
+    rows = rows.withColumn("stops", F.col("opener") | (F.col("mark") == _END) | ((F.col("mark") == _CLOSE) & ~expression))
+    origin = [F.coalesce(latest(F.col("stops"), F.col(c)), F.lit(0)).alias(f"{c}_before") for c in ("end", "lines")]
     number = F.coalesce(F.sum(F.col("stops").cast("int")).over(before), F.lit(0)).alias("number")
     rows = rows.select("*", *origin, number).where(~F.col("opener"))
-    first = F.min(F.struct("i", "mark", "end", "words")).alias("m")
     told = rows.groupBy("_file", "parent", "number").agg(
-        first, F.min("level").alias("level"), F.max("end").alias("end"), F.min("end_before").alias("start"),
-        F.min("lines_before").alias("lines"), F.min("words_before").alias("words"),
-    )
-    return told.select(
-        "_file", "parent", "level", "start", "end", "lines", F.col("m.i").alias("brace"), F.col("m.mark").alias("mark"),
-        (F.col("m.end") - F.length("m.mark")).alias("head_end"), (F.col("m.words") > F.col("words")).alias("may_open"),
+        F.min("i").alias("brace"), F.min_by("mark", "i").alias("mark"), F.min_by("end", "i").alias("head_end"), F.min("level").alias("level"),
+        F.max("end").alias("end"), F.min("end_before").alias("start"), F.min("lines_before").alias("lines"),
     )
+    sign = F.get(F.array(*map(F.lit, _MARKS)), F.col("mark"))
+    return told.select("_file", "parent", "level", "start", "end", "lines", "brace", sign.alias("mark"), (F.col("head_end") - F.length(sign)).alias("head_end"))
 
 
-def _full_names(scopes: DataFrame) -> DataFrame:
-    """``(_file, brace, full_name)`` of namespaces and types: one join per level of
-    nesting puts the name of what is around in front."""
+def _full_names(scopes: DataFrame, first: int, last: int) -> DataFrame:
+    """The namespaces and types, at levels ``first`` to ``last``, with their
+    ``full_name``: one join per level of nesting puts the name of what is around in front."""
     spaces = scopes.where("kind = 'Namespace' AND mark = ';'").groupBy("_file").agg(F.min_by("name", "start").alias("_space"))
     scopes = scopes.join(spaces, "_file", "left").where("kind <> 'Namespace' OR mark = '{'")
-    full = F.concat_ws(".", "_space", "name").alias("full_name")
-    bounds = scopes.agg(F.min("level"), F.max("level")).first()  # below 0 where braces close that nothing opened
-    levels = []
-    for level in range(bounds[0] or 0, (bounds[1] or 0) + 1):
+    columns, levels = [c for c in scopes.columns if c != "_space"], []
+    for level in range(first, last + 1):  # below 0 where braces close that nothing opened
         here = scopes.where(F.col("level") == level)
-        named = here.where("parent = -1").select("_file", "brace", "name", full)
+        named = here.where("parent = -1").select(*columns, F.concat_ws(".", "_space", "name").alias("full_name"))
         if levels:
             outer = levels[-1].select("_file", F.col("brace").alias("parent"), F.col("full_name").alias("_outer"))
             inner = here.join(outer, ["_file", "parent"])
-            named = named.unionByName(inner.select("_file", "brace", "name", F.concat_ws(".", "_outer", "name").alias("full_name")))
+            named = named.unionByName(inner.select(*columns, F.concat_ws(".", "_outer", "name").alias("full_name")))
         levels.append(named)
     return reduce(DataFrame.unionByName, levels)
 
@@ -338,32 +398,34 @@ def scan_declarations(files: DataFrame, symbols: frozenset[str] = frozenset()) -
     and empty contents, and files over 10 MiB, give no rows; repeated files give
     their rows each; other columns are not carried."""
 
-    @F.pandas_udf(T.StringType())
-    def masked(codes: pd.Series) -> pd.Series:
-        return codes.map(lambda code: blanked(code, symbols))
-
-    read = files.select("path", "content").where(F.octet_length("content") <= MAX_BYTES)
-    read = materialize(read.select("path", "content", masked("content").alias("_masked"), F.monotonically_increasing_id().alias("_file")), "code")
-    every = materialize(_statements(read), "statements")
-    # Bodies hold most statements; only those that stand in what may be a type or namespace are looked at.
-    scopes = every.where("mark = '{' AND may_open").select("_file", F.col("brace").alias("parent"), F.lit(True).alias("_in"))
-    near = every.join(scopes, ["_file", "parent"], "left").where("_in OR parent = -1").drop("_in", "may_open")
+    @F.arrow_udf(_CODE)
+    def masked(codes: pa.Array) -> pa.Array:
+        return _code([blanked(code, symbols) for code in codes.to_pylist()])
+
+    read, size = files.select("path", "content").where(F.octet_length("content") <= MAX_BYTES), Observation()
+    read = read.select("path", "content", masked("content").alias("_c"), F.monotonically_increasing_id().alias("_file"))
+    marks = F.arrays_zip(*[F.col(f"_c.{c}").alias(c) for c in _MARK_COLUMNS]).alias("_marks")
+    read = read.select("path", "content", F.col("_c.masked").alias("_masked"), marks, "_file")
+    read = materialize(read.observe(size, F.sum(F.octet_length("_masked")).alias("bytes")), "code")
+    # Texts are dealt out before they become rows, many for each; a task's share does not grow with the input.
+    tasks = max(int(read.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(size.get["bytes"] or 0) // TASK_BYTES))
+    near = _statements(read.select("_file", "_marks").repartition(tasks, "_file"))
     whole = F.col("mark").isin("=", ";")
     text = F.substr("_masked", F.col("start") + 1, F.when(whole, F.col("end") - F.lit(1)).otherwise(F.col("head_end")) - F.col("start"))
-    near = near.join(read, "_file").withColumn("_text", text)
+    near = near.join(read.drop("_marks").repartition(tasks, "_file").hint("merge"), "_file").withColumn("_text", text)
     blank = F.regexp_count(F.regexp_extract("_text", r"^\s*", 0), F.lit("\n"))
     near = near.select(
         "_file", "path", "parent", "level", "brace", "mark", "start", (F.col("end") - F.col("start")).alias("length"),
         (F.col("lines") + blank + 1).cast("int").alias("line"), F.substr("content", F.col("start") + 1, F.col("end") - F.col("start")).alias("source"),
         F.explode(_headings("_text", "mark")).alias("d"),
     )
-    near = materialize(near.select("*", "d.*").drop("d"), "headings")
-    is_scope = F.col("kind").isin("Namespace", *_TYPE_KINDS)
-    names = _full_names(near.where(is_scope))
+    is_scope, nesting = F.col("kind").isin("Namespace", *_TYPE_KINDS), Observation()
+    levels = [f(F.when(is_scope, F.col("level"))).alias(f.__name__) for f in (F.min, F.max)]
+    near = materialize(near.select("*", "d.*").drop("d").observe(nesting, *levels), "headings")
+    names = _full_names(near.where(is_scope), nesting.get["min"] or 0, nesting.get["max"] or 0).withColumnRenamed("full_name", "type_name")
     columns = ["path", "kind", "type_name", *_TEXTS[1:], "start", "length", "line", "source"]
-    types = near.where(is_scope & (F.col("kind") != "Namespace")).join(names.select("_file", "brace", F.col("full_name").alias("type_name")), ["_file", "brace"])
-    owners = near.where(F.col("kind").isin(*_TYPE_KINDS)).select("_file", "brace").join(names, ["_file", "brace"])
-    owners = owners.select("_file", F.col("brace").alias("parent"), F.col("full_name").alias("type_name"), F.col("name").alias("_owner"))
+    types = names.where("kind <> 'Namespace'")
+    owners = types.select("_file", F.col("brace").alias("parent"), "type_name", F.col("name").alias("_owner"))
     inside = near.where(~is_scope).join(owners, ["_file", "parent"]).where("kind <> 'Constructor' OR name = _owner")
     return types.select(columns).unionByName(inside.select(columns))
 
