@@ -15,16 +15,17 @@ def name_dictionary(types: DataFrame) -> DataFrame:
 
 
 def name_ngrams(names: DataFrame, n: int = 2) -> DataFrame:
-    """``(ngram, name)``, distinct."""
-    return names.select(F.explode(ngrams(F.col("name"), n)).alias("ngram"), "name").dropDuplicates(["ngram", "name"])
+    """``(ngram, name)``, distinct: names are made distinct, then the n-grams inside
+    each, so no task holds the pairs."""
+    return names.select("name").distinct().select(F.explode(F.array_distinct(ngrams(F.col("name"), n))).alias("ngram"), "name")
 
 
 def member_keys(members: DataFrame) -> DataFrame:
-    """``(key, members' columns)``: lower-cased words of two characters or more, and the whole name."""
+    """``(key, members' columns)``, distinct: lower-cased words of two characters or more, and the whole name."""
     name = F.col("member_name")
     words = F.filter(F.transform(split_words(name), lambda w: F.lower(w)), lambda w: F.length(w) >= 2)
     keys = F.array_distinct(F.concat(words, F.array(F.lower(name))))
-    return members.select(F.explode(keys).alias("key"), "*").dropDuplicates()
+    return members.dropDuplicates().select(F.explode(keys).alias("key"), "*")
 
 
 def posting_lists(rows: DataFrame, key: str, value: str) -> DataFrame:

@@ -1,9 +1,13 @@
 """What a task holds does not grow with the input, and nothing is done twice."""
 
+import time
+
+import pyarrow as pa
 import pytest
 
 from lithoscan import queries
-from lithoscan.operators import csharp
+from lithoscan.operators import csharp, index, search, stored
+from lithoscan.sources import snapshot
 
 
 @pytest.fixture(scope="module")
@@ -39,3 +43,40 @@ def test_what_stands_in_brackets_has_no_marks():
     assert len(flat) == len(code) and [m for m in flat if m in "{}=;"] == ["{", ";", "=", ";", "}"]
     assert csharp.outside_brackets("a; ) b; ( c;") == "a;        c;"
     assert csharp.outside_brackets("a; ( b;\n c;").strip() == "a;"
+
+
+def test_ngrams_are_made_of_distinct_names(spark):
+    rows = spark.createDataFrame([("Aaab", 1), ("Aaab", 2), ("b", 1), (None, 1)], "name string, other int")
+    found = index.name_ngrams(rows)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate") and plan.count("Aggregate") == 1
+    assert sorted(map(tuple, found.collect())) == [("aa", "Aaab"), ("ab", "Aaab")]
+
+
+def test_member_keys_are_made_of_distinct_members(spark):
+    rows = spark.createDataFrame([("T", "GoGo", "Method", "p")] * 2, ", ".join(f"{c} string" for c in search.MEMBER))
+    found = index.member_keys(rows)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate")
+    assert sorted(r.key for r in found.collect()) == ["go", "gogo"]
+
+
+def test_an_index_holds_what_is_asked(spark, tables):
+    own = queries.stored_index(spark, tables, "defs")
+    assert set(own.told) == {"defs"} and queries.stored_index(spark, tables, "defs").path == own.path
+    whole = queries.stored_index(spark, tables)
+    assert set(whole.told) == set(stored.RELATIONS)
+    assert stored.find_def(own, "PART_30").collect() == stored.find_def(whole, "PART_30").collect() != []
+    assert queries.stored_index(spark, tables, "types").path == whole.path
+    with pytest.raises(snapshot.Rejected, match="relation missing"):
+        stored.open_index(spark, own.path)
+
+
+def test_a_line_that_takes_all_the_time_is_tried_once():
+    trap, seconds = "an" * 60 + "-.", 0.5
+    texts = [trap + "\nan."] * 8 + ["an.\nno", "", None, "an.\n" + trap]
+    batch = pa.RecordBatch.from_pydict({"path": [str(i) for i in range(len(texts))], "content": texts})
+    began = time.monotonic()
+    rows = [r for b in search._within(iter([batch]), r"(a|an|n|na)+\.$", 5, 100, seconds) for r in b.to_pylist()]
+    assert time.monotonic() - began < 4 * seconds
+    assert [(r["path"], r["line_no"]) for r in rows] == [*[(str(i), None) for i in range(8)], ("8", 1), ("11", None)]
