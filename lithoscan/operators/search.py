@@ -19,6 +19,9 @@ from ..sources.scratch import materialize
 
 MEMBER = ["type_name", "member_name", "member_type", "path"]
 
+#: Lines that ran into a time limit: how many characters of them a task remembers.
+LATE_CHARS = 1 << 20
+
 #: Hits of a search with a time limit; only the path is set for a file that went past it.
 TIMED = pa.schema([("path", pa.string()), ("line_no", pa.int32()), ("line", pa.string()), ("file_hits", pa.int32())])
 
@@ -176,20 +179,27 @@ def grep(files: DataFrame, pattern: str, ignore_case: bool = True, ext: str | No
 def _within(batches: Iterator[pa.RecordBatch], pattern: str, per_file: int, most_lines: int, seconds: float) -> Iterator[pa.RecordBatch]:
     """Rows of ``TIMED`` of ``(path, content)`` rows."""
     asked, ends = regex.compile(pattern), regex.compile(r"\r\n|\n|\r")
+    endless, held = set(), 0  # lines that take the whole time alone: a file with one is late
     for batch in batches:
         out = []
         for path, content in zip(*(c.to_pylist() for c in batch.columns)):
             lines = ends.split(content or "")
             lines = lines[: len(lines) - (lines[-1] == "")][:most_lines]
             hits, until = [], time.monotonic() + seconds
+            line = ""
             try:
                 for i, line in enumerate(lines):
-                    left = until - time.monotonic()
-                    if left <= 0:
-                        raise TimeoutError
-                    if asked.search(line, timeout=left):
+                    if time.monotonic() >= until or line in endless:
+                        break
+                    if asked.search(line, timeout=seconds):
                         hits.append((i + 1, line))
+                late = bool(lines) and time.monotonic() >= until or line in endless
             except TimeoutError:
+                late = True
+                if held + len(line) <= LATE_CHARS:
+                    held += len(line)
+                    endless.add(line)
+            if late:
                 out.append((path, None, None, None))
                 continue
             out += [(path, no, line, len(hits)) for no, line in hits[:per_file]]
@@ -201,7 +211,8 @@ def matching_lines_within(files: DataFrame, pattern: str, per_file: int, seconds
     """``(path, line_no, line, file_hits)`` as :func:`matching_lines` gives them, but a
     file that takes longer than ``seconds`` has one row with nulls instead.
 
-    Spark's own match can't be stopped, so this one runs in Python's ``regex``, whose
+    A line that takes the whole time by itself makes each file late that holds it, so a
+    task tries such a line once.  Spark's own match can't be stopped, so this one runs in Python's ``regex``, whose
     searches take a time limit; its classes (letters, digits, case) are those of
     Unicode.  A malformed pattern is a ``ValueError`` before anything runs; null
     contents have no lines."""
