@@ -123,25 +123,26 @@ def _dealt(rows: DataFrame, buckets: int) -> DataFrame:
     return rows.withColumn("bucket", _bucket(F.col("key"), buckets)).repartition("bucket", spread)
 
 
-def write_index(spark: SparkSession, found: dict[str, DataFrame], path: str, buckets: int = 32) -> StoredIndex:
+def write_index(spark: SparkSession, found: dict[str, DataFrame], path: str, buckets: int = 32, needed: Iterable[str] = RELATIONS) -> StoredIndex:
     """Write the relations to ``path``, then the catalogue; an index that is there
-    already is replaced."""
+    already is replaced.  Relations that are not ``needed`` may be left out: those
+    that no request to this index reads."""
     for name, rows in found.items():
         _dealt(rows, buckets).sortWithinPartitions("bucket", "key").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
     told = [(name, buckets, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", bucket int") for name, rows in found.items()]
     spark.createDataFrame(told, _CATALOGUE).coalesce(1).write.mode("overwrite").parquet(f"{path}/catalogue")
-    return open_index(spark, path)
+    return open_index(spark, path, needed)
 
 
-def open_index(spark: SparkSession, path: str) -> StoredIndex:
+def open_index(spark: SparkSession, path: str, needed: Iterable[str] = RELATIONS) -> StoredIndex:
     """The index at ``path``; :class:`snapshot.Rejected` where there is none, or one
-    without some relation."""
+    without some relation that is ``needed``."""
     try:
         rows = spark.read.schema(_CATALOGUE).parquet(f"{path}/catalogue").collect()  # a row for each relation
     except AnalysisException as error:
         raise snapshot.Rejected("catalogue missing") from error
     told = {r.relation: (r.buckets, r.schema) for r in rows}
-    if missing := set(RELATIONS) - set(told):
+    if missing := set(needed) - set(told):
         raise snapshot.Rejected(f"relation missing: {', '.join(sorted(missing))}")
     return StoredIndex(spark, path, told)
 
