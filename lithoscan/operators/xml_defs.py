@@ -1,8 +1,8 @@
 """XML definitions: extraction, tokens, inheritance and linked classes.
 
 Files are parsed once, in parallel; ancestors are found by joins; chains, of 15
-nodes at the most, are merged in the order of their nodes, so that what chains
-share is merged once in a task.
+nodes as a rule, are numbers, and are merged in the order of their nodes, so that
+what chains share is read and merged once in a part.
 """
 
 from __future__ import annotations
@@ -11,12 +11,13 @@ import copy
 import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
+from functools import partial
 from itertools import islice
 from xml.parsers import expat
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,6 +49,9 @@ _REFERENCE = re.compile(r"&([^\s#;&]+);")
 #: Definitions that a task hands over at a time.
 BATCH_DEFS = 1000
 
+#: Chains that a task merges, whatever the input, and the parts of these: it holds the texts of one at a time.
+TASK_CHAINS, TASK_PARTS = 20_000, 4
+
 _FIELD = pa.struct([("field_path", pa.string()), ("name", pa.string()), ("leaf_text", pa.string())])
 _DEF = pa.schema([
     ("path", pa.string()), ("position", pa.int32()), ("def_type", pa.string()), ("def_name", pa.string()),
@@ -125,7 +129,7 @@ def _definitions(text: str | None) -> ET.Element:
     return root
 
 
-def _rows(path: str | None, text: str | None) -> Iterator[dict]:
+def _rows(path: str | None, text: str | None, with_fields: bool = True) -> Iterator[dict]:
     """One file's definitions."""
     try:
         root = _definitions(text)
@@ -140,25 +144,26 @@ def _rows(path: str | None, text: str | None) -> Iterator[dict]:
             "def_name": named if named is not None else f"[Unnamed_{kind}_{position}]",
             "def_name_elem": own or None, "name_attr": base or None, "parent_name": node.get("ParentName"),
             "label": _value(node.find("label")), "is_abstract": node.get("Abstract", "").lower() == "true",
-            "xml": ET.tostring(node, encoding="unicode"), "fields": list(_fields(node)),
+            "xml": ET.tostring(node, encoding="unicode"), "fields": list(_fields(node)) if with_fields else None,
         }
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parse(batches: Iterator[pa.RecordBatch], with_fields: bool = True) -> Iterator[pa.RecordBatch]:
     """Definitions of many files in one batch."""
     files = ((p.as_py(), t.as_py()) for batch in batches for p, t in zip(batch["path"], batch["content"], strict=True))
-    rows = (row for path, text in files for row in _rows(path, text))
+    rows = (row for path, text in files for row in _rows(path, text, with_fields))
     while some := list(islice(rows, BATCH_DEFS)):
         yield pa.RecordBatch.from_pylist(some, schema=_DEF)
 
 
-def extract_defs(files: DataFrame) -> DataFrame:
+def extract_defs(files: DataFrame, with_fields: bool = True) -> DataFrame:
     """``files (path, content)`` to one row per definition.
 
     Null, empty and malformed files, files with another root and files whose
     entities are external or too large give no rows (:func:`rejected_files`).  A definition without a name gets one
-    from its type and place; the path of fields starts at the definition."""
-    return files.select(F.col("path").cast("string"), F.col("content").cast("string")).mapInArrow(_parse, _DEF_DDL)
+    from its type and place; the path of fields starts at the definition.  ``fields``
+    are what tokens are made of; they may be left null."""
+    return files.select(F.col("path").cast("string"), F.col("content").cast("string")).mapInArrow(partial(_parse, with_fields=with_fields), _DEF_DDL)
 
 
 @F.pandas_udf(T.StringType())
@@ -221,36 +226,49 @@ def _finished(whole: ET.Element) -> str:
             whole.remove(head)
             whole.insert(0, head)
     for part in whole.iter():
-        dropped = ["ParentName", "Abstract", "Inherit"] + ["Name"] * (part.find("defName") is not None)
-        for key in dropped:
-            part.attrib.pop(key, None)
+        if part.keys():
+            dropped = ["ParentName", "Abstract", "Inherit"] + ["Name"] * (part.find("defName") is not None)
+            for key in dropped:
+                part.attrib.pop(key, None)
     ET.indent(whole)
     return ET.tostring(whole, encoding="unicode")
 
 
+_MERGED = pa.schema([("name", pa.string()), ("def_type", pa.string()), ("depth", pa.int32()), ("xml", pa.string())])
+
+
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chains in the order of their nodes, the root first, to merged definitions.
+    """Parts of chains to merged definitions: of each part first the texts of its
+    nodes, at depth 0, then its chains in the order of their nodes, the root first.
 
     Neighbours share most of their ancestors: each level's merged form is held
-    until a chain leaves it, so a task merges each definition once."""
-    keys: list[str] = []
+    until a chain leaves it, so a part merges each definition once.  A task holds
+    the texts of one part."""
+    now, texts = None, {}
+    keys: list[int] = []
     forms: list[ET.Element] = []
     for batch in batches:
-        merged = []
-        for nodes, texts in zip(batch.column("keys").to_pylist(), batch.column("xmls").to_pylist(), strict=True):
+        out = []
+        for row in zip(*(batch.column(c).to_pylist() for c in ("part", "name", "def_type", "depth", "keys", "xml")), strict=True):
+            part, name, def_type, depth, nodes, xml = row
+            if part != now:
+                now, texts, keys, forms = part, {}, [], []
+            if depth == 0:
+                texts[nodes[0]] = xml
+                continue
             shared = 0
             while shared < min(len(keys), len(nodes)) and keys[shared] == nodes[shared]:
                 shared += 1
             del forms[shared:]
-            for text in texts[shared:]:
-                own = _read(text)
+            for node in nodes[shared:]:
+                own = _read(texts[node])
                 form = copy.deepcopy(forms[-1]) if forms else ET.Element(own.tag)
                 _overlay(form, own)
                 forms.append(form)
             keys = nodes
-            merged.append(_finished(copy.deepcopy(forms[-1])))
-        names = ["name", "def_type", "depth"]
-        yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(merged, pa.string())], names=[*names, "xml"])
+            out.append((name, def_type, depth, _finished(copy.deepcopy(forms[-1]))))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _MERGED, strict=True)], schema=_MERGED)
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -271,22 +289,37 @@ def linked_classes(xml: pd.Series) -> pd.Series:
     return xml.map(found)
 
 
-def resolve_defs(defs: DataFrame, names: DataFrame) -> DataFrame:
-    """``names (name)`` to ``(name, def_type, depth, xml, classes)``: the definition
-    with all it inherits, its type that of the root ancestor.  Unknown names
-    give no rows; a chain ends before a repeat and after 15 nodes."""
-    # Parsed once, with the names that may come from the same parse.
-    names = materialize(names.distinct(), "asked")
-    defs = materialize(defs.select("path", "position", "def_type", "def_name", "def_name_elem", "name_attr", "parent_name", "xml"), "defs")
-    chain = graph.def_ancestors(defs, names)
-    first = defs.groupBy("path", "def_name").agg(F.min_by("xml", "position").alias("xml"))
-    steps = chain.join(first, ["path", "def_name"])
-    # A chain has 15 nodes at the most, so these lists are small.
-    node = F.struct("depth", "def_type", F.to_json(F.array("path", "def_name")).alias("key"), "xml")
-    whole = steps.groupBy("name").agg(F.sort_array(F.collect_list(node), asc=False).alias("c"))
-    whole = materialize(whole.select("name", F.col("c")[0]["def_type"].alias("def_type"), F.size("c").alias("depth"), F.col("c.key").alias("keys"), F.col("c.xml").alias("xmls")), "chains")
-    # A given number of tasks: merging costs far more than the few bytes that tasks would be joined by.
-    tasks = int(defs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = whole.repartitionByRange(tasks, "keys").sortWithinPartitions("keys")
+def resolve_defs(defs: DataFrame, names: DataFrame | None = None, most: int = 15) -> DataFrame:
+    """``names (name)``, or all that are defined, to ``(name, def_type, depth, xml,
+    classes)``: the definition with all it inherits, its type that of the root
+    ancestor.  Unknown names give no rows; a chain ends before a repeat and after
+    ``most`` nodes.
+
+    Chains are of numbers; a text goes once to each part of the chains that names
+    it, and parts are neighbours in the order of nodes, so they share few.  Where few
+    names are asked for, only what is on their way up is looked at."""
+    spark, own = defs.sparkSession, ["path", "position", "def_type", "def_name", "def_name_elem", "name_attr", "parent_name"]
+    if names is not None:  # may come from the same parse
+        names = materialize(names.distinct(), "asked")
+    defs = materialize(defs.select(F.monotonically_increasing_id().alias("_row"), *own, "xml"), "defs")
+    if names is None:
+        names = defs.select(F.col("def_name").alias("name")).distinct()
+    elif names.limit(graph.FEW_NAMES + 1).count() <= graph.FEW_NAMES:
+        defs = materialize(graph.reachable(defs, names, most), "reached")
+    # Of definitions of one name in a file the first is read; those without a path are not.
+    node = F.min_by("_row", "position").over(Window.partitionBy("path", "def_name"))
+    nodes = defs.drop("xml").withColumn("node", F.when(F.col("path").isNotNull() & F.col("def_name").isNotNull(), node))
+    chain = graph.def_chains(materialize(nodes, "nodes"), names, most, ["node", "def_type"], lambda x: x["node"])
+    root_first = chain.select("name", F.reverse(F.filter("items", lambda x: x["node"].isNotNull())).alias("c")).where("size(c) > 0")
+    chains = materialize(root_first.select("name", F.col("c")[0]["def_type"].alias("def_type"), F.size("c").alias("depth"), F.col("c.node").alias("keys")), "chains")
+    n, most = chains.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(min(most, -(-n // 100)), -(-n // TASK_CHAINS), 1)
+    dealt = materialize(chains.repartitionByRange(TASK_PARTS * tasks, "keys").withColumn("part", F.spark_partition_id()), "dealt")
+    needed = dealt.select("part", F.explode("keys").alias("_row")).distinct()
+    texts = needed.join(defs.select("_row", "xml"), "_row").select(
+        "part", *[F.lit(None).cast("string").alias(c) for c in ("name", "def_type")], F.lit(0).alias("depth"), F.array("_row").alias("keys"), "xml"
+    )
+    both = texts.unionByName(dealt.withColumn("xml", F.lit(None).cast("string")))
+    ordered = both.repartition(tasks, "part").sortWithinPartitions("part", F.col("depth") > 0, "keys")
     merged = ordered.mapInArrow(_merge, "name string, def_type string, depth int, xml string")
     return merged.withColumn("classes", linked_classes("xml"))

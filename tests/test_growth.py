@@ -1,12 +1,15 @@
 """What a task holds does not grow with the input, and nothing is done twice."""
 
+import re
 import time
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lithoscan import queries
-from lithoscan.operators import csharp, index, search, stored
+from lithoscan.operators import csharp, graph, index, search, stored, xml_defs
+from lithoscan.plans import tools
 from lithoscan.sources import snapshot
 
 
@@ -80,3 +83,73 @@ def test_a_line_that_takes_all_the_time_is_tried_once():
     rows = [r for b in search._within(iter([batch]), r"(a|an|n|na)+\.$", 5, 100, seconds) for r in b.to_pylist()]
     assert time.monotonic() - began < 4 * seconds
     assert [(r["path"], r["line_no"]) for r in rows] == [*[(str(i), None) for i in range(8)], ("8", 1), ("11", None)]
+
+
+def _family(spark, n):
+    """Definitions with three children each, some named by a base name, in one file each."""
+    xml = "concat('<D', if(id % 10 = 0, concat(' Name=\"P', id, '\"'), ''), if(id > 0, concat(' ParentName=\"p', id div 3, '\"'), ''), '>', if(id % 10 <> 0, concat('<defName>P', id, '</defName>'), ''), '<tags><li>', id, '</li></tags></D>')"
+    files = spark.range(n).selectExpr("concat(id, '.xml') AS path", f"concat('<Defs>', {xml}, '</Defs>') AS content")
+    return xml_defs.extract_defs(files)
+
+
+def _tags(rows):
+    return {r.name: (r.depth, re.findall(r"<li>(\d+)</li>", r.xml)) for r in rows}
+
+
+def _upward(k):
+    return [*(_upward(k // 3) if k else []), str(k)]
+
+
+def test_a_text_goes_once_to_each_part_of_the_chains(spark, monkeypatch):
+    made, kept = {}, xml_defs.materialize
+    monkeypatch.setattr(xml_defs, "materialize", lambda df, name: made.setdefault(name, kept(df, name)))
+    whole = _tags(xml_defs.resolve_defs(_family(spark, 300)).collect())
+    assert whole == {f"P{k}": (len(_upward(k)), _upward(k)) for k in range(300)}
+    assert dict(made["chains"].dtypes)["keys"] == "array<bigint>" and "xml" not in made["dealt"].columns
+    dealt = made["dealt"].collect()
+    assert len({r.part for r in dealt}) > 4
+    held = len({(r.part, key) for r in dealt for key in r["keys"]})
+    assert held < 300 + 16 * 6 < sum(r.depth for r in dealt)  # 300 texts and a few ancestors for each of 16 parts
+
+
+def test_few_names_are_walked_up(spark, monkeypatch):
+    met, kept = [], graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, name: met.append(kept(df, name)) or met[-1])
+    names = spark.createDataFrame([("p250",), ("P250",), ("P31",), ("none",), (None,)], "name string")
+    defs = _family(spark, 300)
+    whole = _tags(xml_defs.resolve_defs(defs, names).collect())
+    assert whole == {"p250": (len(_upward(250)), _upward(250)), "P250": (len(_upward(250)), _upward(250)), "P31": (len(_upward(31)), _upward(31))}
+    assert max(df.count() for df in met) < 20
+    monkeypatch.setattr(graph, "FEW_NAMES", 0)
+    assert _tags(xml_defs.resolve_defs(defs, names).collect()) == whole
+
+
+def test_few_types_are_walked_up(spark, monkeypatch):
+    rows = [(f"N.T{k}", f"T{k}", f"t{k // 3}" if k else None, f"{k}.cs") for k in range(300)]
+    rows += [("M.T9", "T9", "N.T8", "m.cs"), ("n.T27", "T27", "Other", "n.cs"), ("N.T27", "T27", "A", "z.cs")]
+    types = spark.createDataFrame(rows, "full_name string, short_name string, base_name string, path string")
+    names = spark.createDataFrame([("T250",), ("n.t83",), ("M.T9",), ("none",), (None,)], "name string")
+    assert graph.types_above(types, names, 21).count() < 20
+    few = sorted(map(tuple, graph.inheritance_chains(types, names).collect()))
+    assert ("T250", 2, "N.T83", "t27") in few and ("T250", 4, "M.T9", "N.T8") in few
+    monkeypatch.setattr(graph, "FEW_NAMES", 0)
+    assert sorted(map(tuple, graph.inheritance_chains(types, names).collect())) == few
+
+
+def test_a_request_reads_its_types_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(name):
+        read.add(1)
+        return name
+
+    files = spark.range(40).selectExpr("concat(id, '.cs') AS path", "concat('f', id) AS stem", "'cs' AS ext", "concat('class Part_', id, if(id > 0, concat(' : Part_', id div 3), ''), ' { int a; }') AS content")
+    found = csharp.scan_declarations(files).withColumn("name", counted("name"))
+    corpus = tools.Corpus(files, found, xml_defs.extract_defs(files))
+    assert tools.locate(corpus, "t:Pa")["types"].count() == 10
+    assert read.value <= 80  # each type, and the members beside it if they are not left out before
+    read.value = 0
+    lines = tools.inspect_lines(tools.inspect(corpus, "part_31")).collect()
+    assert [r.text for r in lines if r.section == "chain"] == ["Part_31 --> Part_10", "Part_10 --> Part_3", "Part_3 --> Part_1", "Part_1 --> Part_0"]
+    assert read.value <= 160
