@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.text import lines_of
 from ..operators import csharp, graph, index, search, stored, xml_defs
 from ..sources.files import is_allowed, one_file
+from ..sources.scratch import materialize
 from .query import parse
 from .render import chain_lines, file_name
 
@@ -63,6 +64,10 @@ class Corpus:
     def types(self) -> DataFrame:
         return csharp.types_of(self.found)
 
+    def with_types(self) -> Corpus:
+        """The same corpus with its types written, for requests that ask for them more than once."""
+        return _Typed(**{f.name: getattr(self, f.name) for f in fields(self)}, written_types=materialize(self.types, "types"))
+
     @property
     def members(self) -> DataFrame:
         return csharp.members_of(self.found)
@@ -98,6 +103,15 @@ class Corpus:
         return stored.inheritors(self.stored, symbol) if self.stored else graph.inheritors(self.types, symbol)
 
 
+@dataclass
+class _Typed(Corpus):
+    written_types: DataFrame | None = None
+
+    @property
+    def types(self) -> DataFrame:
+        return self.written_types
+
+
 def paths_of_names(names: DataFrame, types: DataFrame, missing: str) -> DataFrame:
     """``names (name, ...)`` with all ``paths`` of each as a full, else as a short type
     name, and the smallest as ``path``.  The names are a display's few rows, so
@@ -138,10 +152,13 @@ def locate(corpus: Corpus, raw: str) -> Sections:
     only where these are all empty.  Empty sections are left out; each one is
     searched once.  ``total`` counts the hits of a section (of members: of
     their kind), of which the best are shown."""
-    asked, types, out = parse(raw).sections(), corpus.types, {}
+    asked, out = parse(raw).sections(), {}
     if "types" in asked:
-        hits = search.collapse_aliases(corpus.best_types(asked["types"]), types)
-        hits = _best(hits, F.length("name"), "name")
+        corpus = corpus.with_types()
+        types = corpus.types
+        # The few hits are fetched before they are joined, so no join searches again.
+        hits = search.collapse_aliases(shown(corpus.best_types(asked["types"])), types)
+        hits = shown(_best(hits, F.length("name"), "name"))
         out["types"] = paths_of_names(hits, types, "unknown").orderBy(F.col("score").desc(), F.length("name"), "name")
     if "members" in asked:
         kind = Window.partitionBy("member_type")
@@ -172,7 +189,7 @@ def inspect(corpus: Corpus, name: str) -> Sections:
     """A definition with all it inherits, the files of its type and of the classes
     it names; else a type's files, chain upward and outline.  An unknown name is
     a ``LookupError``."""
-    types, spark = corpus.types, corpus.files.sparkSession
+    spark = corpus.files.sparkSession
     asked = spark.createDataFrame([(name,)], "name string")
     found = corpus.find_def(name).select("def_type").first()
     if found:
@@ -185,14 +202,15 @@ def inspect(corpus: Corpus, name: str) -> Sections:
                 F.size(F.split("xml", "\n")).alias("n_lines"), F.size("classes").alias("n_classes"),
             ),
             "type_files": corpus.paths_of_type(found["def_type"]),
-            "classes": paths_of_names(linked, types, "not indexed"),
+            "classes": paths_of_names(linked, corpus.types, "not indexed"),
         }
+    corpus = corpus.with_types()
     paths = shown(corpus.paths_of_type(name))
     if paths.isEmpty():
         raise LookupError(name)
     return {
         "type_files": paths,
-        "chain": graph.inheritance_chains(types, asked),
+        "chain": graph.inheritance_chains(corpus.types, asked),
         "outline": csharp.outline(corpus.found, name).join(paths, "path", "left_semi"),
     }
 
