@@ -183,10 +183,15 @@ def rejected_files(files: DataFrame) -> DataFrame:
     return files.select("path", _reason(F.col("content").cast("string")).alias("reason")).where("reason IS NOT NULL")
 
 
-def def_tokens(defs: DataFrame) -> DataFrame:
+def def_tokens(defs: DataFrame, tasks: int | None = None) -> DataFrame:
     """``(token, field_path, path, def_type, def_name)`` distinct: element names
-    and the words of leaves, of three characters or more, lower-cased."""
-    found = defs.select("path", "def_type", "def_name", F.explode("fields").alias("f"))
+    and the words of leaves, of three characters or more, lower-cased.
+
+    Definitions are dealt to ``tasks`` (as many as shuffles have) before they become
+    rows, and made distinct there: a given number, which Spark does not join by their
+    few bytes, so what a task holds does not grow with the input."""
+    own, most = ["path", "def_type", "def_name"], int(defs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = defs.select(*own, "fields").repartition(tasks or most, *own).select(*own, F.explode("fields").alias("f"))
     words = F.split(F.coalesce("f.leaf_text", F.lit("")), r"(?U)\W+")
     every = F.transform(F.concat(F.array("f.name"), words), lambda w: F.lower(w))
     tokens = F.array_distinct(F.filter(every, lambda w: F.length(w) >= 3))

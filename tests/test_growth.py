@@ -153,3 +153,12 @@ def test_a_request_reads_its_types_once(spark):
     lines = tools.inspect_lines(tools.inspect(corpus, "part_31")).collect()
     assert [r.text for r in lines if r.section == "chain"] == ["Part_31 --> Part_10", "Part_10 --> Part_3", "Part_3 --> Part_1", "Part_1 --> Part_0"]
     assert read.value <= 160
+
+
+def test_tokens_of_definitions_are_not_joined_in_few_tasks(spark):
+    found = xml_defs.def_tokens(_family(spark, 300))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1  # distinct where definitions were dealt to
+    sizes = found.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert len(sizes) == 4 and max(sizes) < sum(sizes) / 2
+    assert xml_defs.def_tokens(_family(spark, 300), 9).rdd.getNumPartitions() == 9
